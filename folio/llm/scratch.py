@@ -1,0 +1,36 @@
+"""Tables written to the shared checkpoint folder, to cut lineage in a way that survives lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one is made only where the setting is absent (tests)."""
+    found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="folio-")
+        spark.conf.set(SETTING, found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as Parquet into the shared folder and reads it back with its own schema."""
+    path = f"{folder(df.sparkSession)}/folio-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `saved` wrote and that no later result reads."""
+    path, spark = getattr(df, "_folio_path", None), df.sparkSession
+    if path:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
