@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, chat, fingerprint, jaccard, licenses, packing, pii, quality, secrets
+from folio.llm import bpe, chat, embeddings, fingerprint, jaccard, licenses, packing, pii, quality, secrets
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("FOLIO_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digested(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -52,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_licenses, op4_secrets, op5_jaccard, op7_bpe, op8_chat, op9_fingerprints, op10_packing)}
-SQL = {"op3_licenses": licenses.SQL, "op5_jaccard": jaccard.SQL, "op8_chat": chat.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_licenses, op4_secrets, op5_jaccard, op6_embeddings, op7_bpe, op8_chat, op9_fingerprints, op10_packing)}
+SQL = {"op3_licenses": licenses.SQL, "op5_jaccard": jaccard.SQL, "op6_embeddings": embeddings.SQL, "op8_chat": chat.SQL}
