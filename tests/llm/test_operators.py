@@ -1,0 +1,433 @@
+"""Operators against brute force, exact round trips and held-out accuracy, and their behaviour on odd rows."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from folio.llm import bpe, chat, embeddings, fingerprint, jaccard, licenses, packing, pii, quality, secrets
+from folio.llm.queries import QUERIES, TOKENIZERS, table
+from folio.llm.words import shingle_sets
+
+WORD_BPE, BYTE_BPE, RANKS = (f"{TOKENIZERS}/{n}" for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, spans int"
+
+
+def documents(spark, texts):
+    rows = [(k if k != 3 else None, t, "en", "s", len(t or ""), "clash", "clash", 7) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def strange():
+    rng = random.Random(3)
+    long = " ".join(rng.choice("alpha beta gamma delta mit license cc by token=abcdef12 a@b.co".split()) for _ in range(30_000))
+    return [
+        None, "", " ", "Null id, +1 415 555 2671", "word", "five words and no more", "A MIT License, gnu General public license; CC-BY cc by",
+        long, "a" * 50_000, "1" * 20_000, "deadbeef" * 4 + " AKIA" + "Q" * 16 + " api_key = 'abcdefg' token:: x PASSWORD:\"abcdef\" token=short",
+        "mail a.b@c.de, x@y and a@b@c.org. ip 10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 4111111111111112", "été ﬁ \U0001f600 K",
+        "same words repeated here again and again", "same words repeated here again and again", "tab\tand\x1c\xa0nbsp　 <|endoftext|> it's\n\n x",
+    ]
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf_dir):
+    return {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+
+
+def _joined(spans, order):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=order))
+
+
+# --- personal data ------------------------------------------------------------------------------------------------------------
+
+
+def plain_pii(text):
+    kinds = ("email", "ip", "card", "phone")
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 13 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (kinds.index(s[0]), s[1]))
+
+
+def _check_pii(rows, texts):
+    for r, t in zip(rows, texts, strict=True):
+        spans = plain_pii(t)
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert all(r[f"n_{k}"] == sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r["spans"].split(","))
+
+
+def test_pii_is_the_base_and_more(spark, real):
+    texts = [t if t is None or len(t) < 19_000 or "@" in t else t[:300] for t in strange()]
+    rows = sorted(pii.detect(documents(spark, texts)).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    order = [3, *(k for k in range(len(texts)) if k != 3)]
+    _check_pii(rows, [texts[k] or "" for k in order])
+    ids = list(real)
+    _check_pii(sorted(pii.detect(spark.createDataFrame([(k, real[k]) for k in ids], "doc_id long, text string")).collect(), key=lambda r: r["doc_id"]), [real[k] for k in sorted(ids)])
+
+
+def test_pii_linear_time_on_long_runs():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+" * 100_000, "a@" * 100_000, "1 " * 150_000):
+        pii.candidates(t)
+
+
+def test_pii_em_prefers_agreeing_labelers():
+    counts = {(2, 1, 1, 1, 1, 3, 2, 0): 500, (2, -1, -1, 0, -1, 0, 1, 3): 500, (2, -1, 1, 1, 1, 3, 2, 0): 20}
+    model = pii.fit(counts)
+    assert model.probability((2, 1, 1, 1, 1, 3, 2, 0)) > 0.9 > 0.1 > model.probability((2, -1, -1, 0, -1, 0, 1, 3))
+    assert pii.Model().probability((2, 1, 1, 1, 1, 3, 2, 0)) == 0.0
+
+
+def test_pii_redaction(spark):
+    docs = documents(spark, ["write to a@b.org now", None, "", None, "clean text stays"])
+    rows = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert rows[0]["text"] == "write to <EMAIL> now" and rows[0]["n_chars"] == len(rows[0]["text"])
+    assert rows[1]["text"] is None and rows[4]["text"] == "clean text stays" and rows[4]["score"] == "clash"
+
+
+# --- secrets --------------------------------------------------------------------------------------------------------------------
+
+
+def plain_secrets(text):
+    key = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_", "api"))
+    key = key.replace("[aA][pP][iI]_|[aA][pP][iI]", "[aA][pP][iI]_?[kK][eE][yY]")
+    out = [("assign", *m.span()) for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_secrets_are_the_base_and_more(spark, real):
+    texts = strange() + list(real.values())
+    rows = secrets.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    found = 0
+    for r in rows:
+        spans = plain_secrets(texts[r["doc_id"]] or "")
+        found += len(spans)
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r["spans"].split(","))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+    assert found > 4
+
+
+def test_trigram_queries_never_lose_a_match():
+    for rule in secrets.RULES:
+        clauses = secrets.trigram_query(rule)
+        assert bool(clauses) == (rule.kind != "hex")
+    samples = ["API_KEY='abcdefgh'", "apikey=abcdefgh", "Passwd: abcdefgh", "secret=abcdefgh", "AKIA" + "A" * 16, "ghp_" + "a" * 40, "xoxb-12345678901", "-----BEGIN RSA PRIVATE KEY-----", "eyJa.eyJb.c" + "d" * 40]
+    for s, rule in itertools.product(samples, secrets.RULES):
+        clauses = secrets.trigram_query(rule)
+        if rule.compiled().search(s) and clauses:
+            assert any(all(g.decode() in s.lower() for g in c) for c in clauses), (s, rule.kind)
+
+
+# --- licenses -------------------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_against_plain_search(spark, real):
+    texts = strange() + list(real.values())
+    rows = licenses.scan(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string, diagonal int".replace(", diagonal int", ""))).collect()
+    assert len(rows) == len(texts)
+    phrases = {p: label for label, p in licenses.BASE}
+    for r in rows:
+        low = (texts[r["doc_id"]] or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert r["n_words"] == len(w) and r["n_base"] == len(places)
+        assert r["first_word"] == min((i for i, _ in places), default=None) and r["last_word"] == max((i for i, _ in places), default=None)
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_licenses_find_a_passage_with_gaps(spark):
+    text = "x " * 20 + "Permission is hereby granted, free of any charge, to any person obtaining a copy" + " y" * 20
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == "mit-text" and row["base_labels"] == "" and 0.7 < row["score"] < 1
+
+
+# --- Jaccard --------------------------------------------------------------------------------------------------------------------
+
+
+def plain_set(text):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def plain_components(sets):
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        i = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * i >= 75 * (len(sets[a]) + len(sets[b]) - i):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {k: root(k) for k in sets}
+
+
+def family(seed, copies, words=90, rate=0.05, line=""):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    return [line + " ".join(f"v{rng.randrange(10**6)}" if rng.random() < rate * rng.random() else w for w in base) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("config", [jaccard.JaccardConfig(), jaccard.JaccardConfig(cell=4, bucket=50, hot_part=3)])
+def test_jaccard_against_all_pairs(spark, config):
+    line = "the one line that very many of these documents begin with today "
+    texts = [t for s in range(6) for t in family(s, 14, rate=0.02 + 0.02 * s)] + [line + f"and {k} tail {k * k}" for k in range(30)] + family(99, 20, line=line) + strange()[4:] + ["a b c d e f g"] * 9 + [None, "", "x y", "x y", "x Y"]
+    texts = [t if t is None or len(t) < 200_000 else t[:5000] for t in texts]
+    rows = jaccard.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), config).collect()
+    sets = {k: plain_set(t) for k, t in enumerate(texts)}
+    want = plain_components(sets)
+    assert {r["doc_id"]: r["n_shingles"] for r in rows} == {k: len(s) for k, s in sets.items()}
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+    assert 20 < len(set(want.values())) < len(texts)
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f", "z"), (5, "a b c d e f", "z"), (5, "a b c d e f", "z"), (7, "a b c d e f", "z"), (9, None, "z")], "doc_id long, text string, rep string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.components(docs).collect())
+    assert got == Counter({(None, 2, None): 1, (5, 2, 5): 2, (7, 2, 5): 1, (9, 0, 9): 1})
+
+
+def test_shingle_hashes_are_sets():
+    texts = ["", "a", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e"]
+    raw = [t.encode() for t in texts]
+    _, at = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.diff(at).tolist() == [0, 1, 1, 1, 5]
+
+
+# --- embeddings -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("config", [embeddings.EmbeddingConfig(), embeddings.EmbeddingConfig(tile=7, step=3)])
+def test_embeddings_against_all_pairs(spark, config):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 8))
+    vectors = [(centres[k % 12] + 0.22 * rng.standard_normal(8)).astype(np.float32).tolist() for k in range(150)]
+    vectors += [vectors[0]] * 30 + [[0.0] * 8, None, [], [1.0, None] + [0.0] * 6, [float("nan")] * 8, [float("inf")] * 8, [1.0, 2.0], [1.0, 2.0]]
+    labels = [k % 2 for k in range(150)] + [0] * 30 + [0] * 7 + [None]
+    rows = [(k, v, labels[k]) for k, v in enumerate(vectors)]
+    got = {r["vec_id"]: r for r in embeddings.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), config).collect()}
+    good = {k: np.array(v, float) for k, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    near = defaultdict(set)
+    for a, b in itertools.combinations(good, 2):
+        if labels[a] == labels[b] and len(good[a]) == len(good[b]) and good[a] @ good[b] / (np.linalg.norm(good[a]) * np.linalg.norm(good[b])) >= 0.93:
+            near[a].add(b)
+            near[b].add(a)
+    comp = {}
+    for k in range(len(rows)):
+        if k not in comp:
+            todo = [k]
+            while todo:
+                x = todo.pop()
+                if x not in comp:
+                    comp[x] = k
+                    todo += near[x]
+    assert {k: r["n_links"] for k, r in got.items()} == {k: len(near[k]) for k in range(len(rows))}
+    assert {k: r["component_id"] for k, r in got.items()} == comp
+    assert all(r["kept"] == (r["component_id"] == k) for k, r in got.items())
+
+
+# --- tokenizers and packing --------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, real):
+    texts = [t or "" for t in strange()] + list(real.values())[:60] + ["İstanbul ǅ ß ẞ", "² ½ ª µ ×", "don't we'll O'Neil's", "日本語 テスト", "a<|startoftext|>b"]
+    tok = bpe.tokenizer(WORD_BPE)
+    rows = bpe.digested(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD_BPE).collect()
+    for r in rows:
+        ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    sample = texts[6]
+    ids = tok.encode(sample, add_special_tokens=False).ids
+    assert bpe.encode(sample, WORD_BPE) == ids and bpe.decode(ids, WORD_BPE) == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_reuses_chunks_of_copies():
+    text = " ".join(f"word{k} some{k % 7}" for k in range(4000))
+    raw = np.frombuffer((text + " tail " + text).encode(), np.uint8)
+    coder = bpe.ChunkCoder(WORD_BPE)
+    coder.encode(raw, np.array([0, len(raw)]))
+    cut = len(bpe.cuts(np.frombuffer(text.encode(), np.uint8)))
+    assert cut > 20 and coder.fresh <= cut + 6
+
+
+def test_packing_keeps_every_token_once(spark, real):
+    texts = [t or "" for t in strange()] + list(real.values())
+    tok = packing.tokenizer(BYTE_BPE)
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), BYTE_BPE, RANKS).collect()
+    config, pieces, sequences = packing.PackConfig(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for k, t in enumerate(texts):
+        ids, at = [*tok.encode(t, add_special_tokens=False).ids, config.end_id], 0
+        for r in sorted(pieces[k], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["length"] > 0
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    padding = total = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= config.tokens and len(parts) <= config.segments
+        total += at
+        padding += 0 if at & (at - 1) == 0 else config.tokens - at
+    assert padding <= 0.01 * total
+
+
+def test_packing_limits_segments_and_loss():
+    config = packing.PackConfig(tokens=64, segments=3, loss=40, waiting=8)
+    packer, out = packing.Packer(config, 0), []
+    lengths = [random.Random(1).randrange(1, 90) for _ in range(200)]
+    for k, n in enumerate(lengths):
+        out += packer.add(k, n)
+    out += packer.finish()
+    by = defaultdict(list)
+    for doc, start, length, seq, offset in out:
+        by[seq].append(length)
+    assert all(len(v) <= 3 and sum(v) <= 64 and sum(x - 1 for x in v) <= 40 for v in by.values())
+    assert sum(map(sum, by.values())) == sum(lengths)
+
+
+# --- chat -------------------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_perspectives(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 2)
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 4, "ann", "é😀"), (1, 4, "ann", "é😀"), (1, None, "bob", "late"), (None, 1, "ann", "a"), (3, 1, "system", "s")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["conv_id"], r["perspective"]].append(r)
+    assert set(by) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    for (conv, who), parts in by.items():
+        parts.sort(key=lambda r: r["position"])
+        text = "".join(r["rendered"] for r in parts)
+        assert [r["position"] for r in parts] == list(range(7 if conv else 1))
+        for r in parts:
+            assert text[r["start"] : r["end"]] == r["rendered"] and r["loss"] == (r["speaker"] == who) == (r["role"] == "assistant")
+            if r["loss"]:
+                assert text[r["loss_start"] : r["loss_end"]].endswith("<|im_end|>") and text[: r["loss_start"]].endswith("assistant\n")
+            else:
+                assert r["loss_start"] is None
+    assert "hi < |im_end|>" in by[1, "ann"][1]["rendered"] and by[1, "ann"][2]["rendered"] == "<|im_start|>user name=bob\n<|im_end|>\n"
+
+
+# --- fingerprints -----------------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints_edits_and_order(spark, real):
+    texts = [t for t in strange() if t is None or len(t) < 60_000] + list(real.values())
+    rows = [(k * 3 - 7, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in fingerprint.compared(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, reverse=True)
+    same = defaultdict(set)
+    for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        t, after, r = t or "", after or "", got[k]
+        cut = len(t) // 3
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        same[t].add(r["fingerprint"])
+    assert all(len(s) == 1 for s in same.values())
+    long = [r for r in got.values() if r["n_chars"] > 600]
+    assert np.mean([r["near_edited"] for r in long]) > 0.4 > np.mean([r["near_next"] for r in long])
+
+
+def test_fingerprints_one_row_and_none(spark):
+    assert fingerprint.compared(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()["near_next"] == 1.0
+    assert fingerprint.compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_entropy_levels_match_counting():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 105, 700).astype(np.uint8)
+    levels = fingerprint.entropy_levels(data)
+    for i in range(0, len(levels), 37):
+        h = -sum(c / 32 * math.log2(c / 32) for c in Counter(data[i : i + 32].tolist()).values())
+        assert abs(levels[i] - h / 5 * 255) <= 1.01
+
+
+# --- quality ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_the_held_out_fold(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items())
+    held = [(got[k]["predicted"], y) for k, y in truth.items() if k in got and got[k]["held_out"]]
+    assert len(got) == docs.count() and np.mean([p == y for p, y in held]) > 0.9
+    kept = quality.accepted(docs, labels)
+    assert kept.schema == docs.schema and {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k, r in got.items() if r["predicted"]}
+
+
+def test_quality_without_labels_and_odd_rows(spark):
+    docs = documents(spark, strange())
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality.classify(docs, none).collect()
+    assert len(rows) == len(strange()) and all(r["score"] == 1.0 and r["predicted"] == 1 for r in rows)
+
+
+# --- all --------------------------------------------------------------------------------------------------------------------------
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    empty, odd = documents(spark, []), documents(spark, [t for t in strange() if t is None or len(t) < 3000])
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(12)], "doc_id long, quality int, text string")
+    runs = {
+        "quality": lambda d: quality.classify(d, labels), "pii": pii.detect, "licenses": licenses.scan, "secrets": secrets.scan, "jaccard": jaccard.components,
+        "bpe": lambda d: bpe.digested(d, WORD_BPE), "fingerprint": fingerprint.compared, "packing": lambda d: packing.pack(d, BYTE_BPE, RANKS),
+    }
+    for name, run in runs.items():
+        assert run(empty).count() == 0, name
+        rows = run(odd).collect()
+        assert len(rows) >= odd.count(), name
+    assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_ten_queries_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in kept.collect()}
+        kept = spark.createDataFrame(stage(spark, kept, sf_dir).collect(), docs.schema)
+        after = {r["doc_id"]: r["text"] for r in kept.collect()}
+        assert kept.columns == docs.columns and set(after) <= set(before), name
+        if name == "near-duplicates":
+            comp = plain_components({k: plain_set(t) for k, t in before.items()})
+            assert set(after) == {k for k, c in comp.items() if k == c}
+        if name == "personal-data":
+            assert set(after) == set(before) and not any(plain_pii(t or "") for t in after.values())
+            assert all(after[k] == before[k] for k in before if not plain_pii(before[k]))
+    rows = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == set(after)
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == set(after)
