@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.lineage import saved
 from folio.operators.graph import both_ways
 from folio.operators.ranking import top_k
 
@@ -97,13 +98,13 @@ def louvain(edges: DataFrame, group: str | None = None, resolution: float = 1.0)
 def components(edges: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
     """(entity_id, component): the smallest id reachable inside one label; min-label propagation with pointer jumping until nothing changes."""
     inside = edges.join(members.select(F.col("entity_id").alias("src"), F.col("label").alias("l1")), "src").join(members.select(F.col("entity_id").alias("dst"), F.col("label").alias("l2")), "dst").where("l1 = l2")
-    near = both_ways(inside.withColumn("weight", F.lit(1))).select("src", "dst").distinct()
+    near = saved(both_ways(inside.withColumn("weight", F.lit(1))).select("src", "dst").distinct(), "edges")
     labels = members.select("entity_id", F.col("entity_id").alias("component"))
     for _ in range(rounds):
         heard = near.join(labels.withColumnRenamed("entity_id", "dst"), "dst").groupBy(F.col("src").alias("entity_id")).agg(F.min("component").alias("_heard"))
         fresh = labels.join(heard, "entity_id", "left").select("entity_id", F.least("component", F.coalesce("_heard", "component")).alias("component"))
         jump = fresh.select(F.col("entity_id").alias("component"), F.col("component").alias("_up"))
-        fresh = _kept(fresh.join(jump, "component", "left").select("entity_id", F.coalesce("_up", "component").alias("component")))
+        fresh = saved(fresh.join(jump, "component", "left").select("entity_id", F.coalesce("_up", "component").alias("component")), "labels")
         changed = fresh.join(labels.withColumnRenamed("component", "_was"), "entity_id").where("component <> _was").limit(1).count()
         labels = fresh
         if not changed:
@@ -111,15 +112,10 @@ def components(edges: DataFrame, members: DataFrame, rounds: int = 30) -> DataFr
     return labels
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: reliably where the session names a checkpoint folder, else (tests) by caching."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
 def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3, min_mentions: int = 2, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(entity_id, community, size) of communities of `min_size` or more, c000 being the largest; and the entities of the rest."""
     pruned, kept = prune(nodes, edges, min_mentions)
-    label = louvain(kept, resolution=resolution)
+    label = saved(louvain(kept, resolution=resolution), "labels")
     parts = components(kept, label)
     size = parts.groupBy("component").agg(F.count("*").alias("size"))
     large = size.where(F.col("size") >= min_size)

@@ -125,8 +125,8 @@ def points(chunks: DataFrame, books: DataFrame, embed: Callable[[Column], Column
     out = chunks.join(books.select("book_id", "group_id", "book_title", "author", F.length("cleaned").cast("long").alias("book_chars")), "book_id")
     said = F.coalesce(context(F.substring("text", 1, 2400)), F.lit("")) if context else F.lit("")
     out = out.withColumn("context", F.nullif(said, F.lit("")))
-    vector = l2_normalize(embed(embedding_text(F.col("text"), F.col("context")))).cast("array<float>")
-    return out.withColumn("vector", vector).withColumn("chunk_key", chunk_key(F.col("book_id"), F.col("chunk_index")))
+    out = out.withColumn("_raw", embed(embedding_text(F.col("text"), F.col("context")))).withColumn("vector", l2_normalize(F.col("_raw")).cast("array<float>")).drop("_raw")
+    return out.withColumn("chunk_key", chunk_key(F.col("book_id"), F.col("chunk_index")))
 
 
 def ingest(texts: DataFrame, embed: Callable[[Column], Column], store=None, context=None, dry_run: bool = False, compose: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +150,7 @@ def ingest(texts: DataFrame, embed: Callable[[Column], Column], store=None, cont
 def reembed(chunks: DataFrame, contexts: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """Chunks with contexts from a checkpoint and vectors made anew."""
     out = chunks.drop("context", "vector").join(contexts.select("chunk_key", "context"), "chunk_key", "left")
-    return out.withColumn("vector", l2_normalize(embed(embedding_text(F.col("text"), F.col("context")))).cast("array<float>"))
+    return out.withColumn("_raw", embed(embedding_text(F.col("text"), F.col("context")))).withColumn("vector", l2_normalize(F.col("_raw")).cast("array<float>")).drop("_raw")
 
 
 def text_mismatches(chunks: DataFrame, books: DataFrame) -> DataFrame:
