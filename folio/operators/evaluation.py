@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from folio.functions.text import answer_tokens, sentences
+from folio.functions.text import sentences
 
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -52,11 +52,10 @@ def percentile(c: str, q: float) -> Column:
 
 
 def token_f1(predicted: Column, gold: Column) -> Column:
-    """F1 of word multisets."""
-    p, g = F.array_sort(answer_tokens(predicted)), F.array_sort(answer_tokens(gold))
+    """F1 of two word multisets, given as arrays (see functions.text.answer_tokens). Give columns, not expressions: the arrays are read once a word."""
     count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w)))
-    return F.when((F.size(p) == 0) | (F.size(g) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(p) + F.size(g)))
+    common = F.aggregate(F.array_distinct(predicted), F.lit(0), lambda s, w: s + F.least(count(predicted, w), count(gold, w)))
+    return F.when((F.size(predicted) == 0) | (F.size(gold) == 0) | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(predicted) + F.size(gold)))
 
 
 @F.pandas_udf(DoubleType())

@@ -319,8 +319,11 @@ def bm25_topk(spark, d):
 
 
 def _weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = T.tokens(F.col(text))
-    return df.select(key, F.transform_values(F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.length(w)))), lambda k, n: n / (10.0 + F.size(words))).alias("weights"))
+    """Learned weights' stand-in: a word weighs its length over the text's. Words are made distinct by grouping; array_distinct compares strings pair by pair."""
+    posts = lexical.postings(df, key, text)
+    n = posts.groupBy(key).agg(F.sum("tf").alias("n"))
+    entry = F.struct("term", (F.length("term") / (10.0 + F.col("n"))).alias("w"))
+    return posts.join(n, key).groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("weights"))
 
 
 @query(f"""with {BENCH}, sq as (select query_id, doc_id, round(sum((length(term) / (10.0::double + len(w))) * (length(term) / (10.0::double + qn))), 6) as score from qp join (select query_id, sum(qtf) as qn from qp group by 1) using (query_id) join po using (term) join tk using (doc_id) group by 1, 2)
@@ -569,7 +572,8 @@ def _pairs(spark, d):
   o as (select *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) as c from w)
   select conv_id, turn, round(case when len(p) = 0 or len(g) = 0 or c = 0 then 0.0 else 2.0 * c::double / (len(p) + len(g)) end, 6) as f1 from o""")
 def token_f1(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", F.round(evaluation.token_f1(F.col("pred"), F.col("gold")), 6).alias("f1"))
+    words = _pairs(spark, d).select("conv_id", "turn", T.answer_tokens(F.col("pred")).alias("p"), T.answer_tokens(F.col("gold")).alias("g"))
+    return words.select("conv_id", "turn", F.round(evaluation.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @query()

@@ -270,7 +270,7 @@ def test_statistics(spark):
 
 def test_answer_metrics(spark):
     rows = spark.createDataFrame([("the cat sat", "The cat, sat!"), ("a b c", "c b a"), ("", "x"), ("the the cat", "the cat")], "p string, g string")
-    got = [(r[0], r[1]) for r in rows.select(evaluation.token_f1(F.col("p"), F.col("g")), evaluation.rouge_l("p", "g")).collect()]
+    got = [(r[0], r[1]) for r in rows.select(evaluation.token_f1(T.answer_tokens(F.col("p")), T.answer_tokens(F.col("g"))), evaluation.rouge_l("p", "g")).collect()]
     assert got == [(1.0, 1.0), (1.0, pytest.approx(1 / 3)), (0.0, 0.0), (0.8, pytest.approx(0.8))]
     rate = values(spark, ["A long sentence here [1]. And another one without it. Short.", "Hm."], evaluation.citation_rate)
     assert rate == [0.5, None]
