@@ -5,13 +5,14 @@ its members' tokens. A query opens a group only if its overlap with that union c
 verified exactly.
 
 1. Every document is hashed into its set (profiles): size and two checksums; equal profiles are one class.
-2. Two sets that link share a token within the first n - ceil(0.75 n) + 1 tokens of each, in any common order. The order puts
-   tokens that very many documents hold last, others by hash. These leading tokens travel in columnar blocks to buckets, where each
-   token's list of classes is found; lists are kept once, however many tokens have them.
+2. Tokens have a common order: those that very many documents hold come last, others by hash. The first half of each set travels
+   in columnar blocks to buckets, where each token's list of classes is found; equal lists are kept once, with the number of their
+   tokens. Of a set that links, at least (half of it less the quarter that may be missing) of these tokens are in lists with its
+   partner; a class with fewer tokens in lists has no partner and goes, which is done twice.
 3. Classes that share lists form groups (those with the same hub, in cells of bounded size). Within a cell all members are
    compared by one product of incidence matrices; what links becomes a component.
 4. The matrix of lists and groups then gives, for each class, the groups that hold a class of another component with which it shares
-   a list (asked from the smaller component's side). Those groups are opened, and a query is compared only where the
+   enough tokens (asked from the smaller component's side). Those groups are opened, and a query is compared only where the
    union bound allows it. So every pair that could link is either in one component already or verified.
 
 Links inside a component that is known need no further proof; so a large group of copies costs cells, not all its pairs.
@@ -33,17 +34,18 @@ from pyspark.sql import functions as F
 
 from folio.llm.arrow import TextBlock, map_blocks
 from folio.llm.components import Forest, connected
-from folio.llm.scratch import saved
+from folio.llm.scratch import dropped, saved
 from folio.llm.words import lowered, mixed, shingle_sets
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """Link where 100 * intersection >= percent * union. `cell`: members of a group; `bucket`: leading tokens of a bucket;
-    `hot_part`: a token is put last in the order if at least one document in so many leads with it."""
+    """Link where 100 * intersection >= percent * union. `lead`: percent of a set's tokens that are searched by; `cell`: members of a
+    group; `bucket`: leading tokens of a bucket; `hot_part`: a token is put last in the order if at least one document in so many leads with it."""
 
     width: int = 5
     percent: int = 75
+    lead: int = 50
     cell: int = 192
     bucket: int = 200_000
     hot_part: int = 2000
@@ -54,6 +56,21 @@ def _least(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
+def _lead(n, config: JaccardConfig, larger=np.maximum):
+    """How many tokens a set of n is searched by: no fewer than any two linked sets need to share one."""
+    return larger(n - _least(n, config.percent) + 1, (config.lead * n + 99) // 100)
+
+
+def fewest_shared(n: int, config: JaccardConfig) -> int:
+    """A lower bound of the leading tokens that a set of n shares with the leading tokens of any set it links with.
+
+    Of two linked sets take the one whose leading tokens end first in the order, of size m: those of them that the other holds lead there
+    too, and all but m - least(m) are held. m is no smaller than least(n); the bound for that size may exceed that for larger ones by 1.
+    """
+    m = _least(n, config.percent)
+    return max(1, _lead(m, config, max) - (m - _least(m, config.percent)) - 1)
+
+
 def _sets(block: TextBlock, width: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(lowered(block.data), block.offsets, width)
 
@@ -79,7 +96,7 @@ def profiles(docs: DataFrame, config: JaccardConfig, key: str, text: str) -> Dat
             tokens, at = _sets(block, config.width)
             n = np.diff(at)
             h1, h2 = _sums(tokens, at)
-            lead = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(n - _least(n, config.percent) + 1, n)
+            lead = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(_lead(n, config), n)
             _, once = np.unique(h1, return_index=True)
             chosen = np.zeros(len(n), bool)
             chosen[once] = True  # copies count once
@@ -104,7 +121,25 @@ def hot_tokens(profile: DataFrame, n_docs: int, config: JaccardConfig) -> np.nda
     return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
 
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
+#: Bytes of a token that travel beside its bucket; tokens that are equal in these only make candidates, which are verified.
+TOKEN_BYTES = 6
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _columnar(tokens: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Tokens cut short, the distinct ids, and for each token its id's place among them."""
+    known, place = np.unique(ids, return_inverse=True)
+    return _short(tokens), known.tobytes(), place.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes()
 
 
 def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig, key: str, text: str) -> DataFrame:
@@ -124,7 +159,8 @@ def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardC
             pairs = list(zip(first.tolist(), ends, strict=True))
             kept.clear()
             seen.clear()
-            return {"bucket": bucket[first], "tokens": [tokens[a:b].tobytes() for a, b in pairs], "ids": [ids[a:b].tobytes() for a, b in pairs]}
+            made = [_columnar(tokens[a:b], ids[a:b]) for a, b in pairs]
+            return {"bucket": bucket[first], "tokens": [m[0] for m in made], "ids": [m[1] for m in made], "places": [m[2] for m in made]}
 
         size = 0
         for block in found:
@@ -144,29 +180,31 @@ def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardC
                     seen.add(h)
                     fresh[k] = True
             key_ok = np.asarray(block.rows.column(1).is_valid())
-            lead = (place < np.repeat(n - _least(n, config.percent) + 1, n)) & np.repeat(fresh & key_ok, n)
+            lead = (place < np.repeat(_lead(n, config), n)) & np.repeat(fresh & key_ok, n)
             for k in np.flatnonzero(fresh & ~key_ok).tolist():
                 seen.discard(int(h1[k]))
             kept.append((tokens[lead], np.repeat(h1, n)[lead]))
             size += int(lead.sum())
-            if size >= 1 << 20:
+            if size >= 1 << 21:
                 yield send()
                 size = 0
         if size:
             yield send()
 
-    return map_blocks(docs, key, text, "bucket int, tokens binary, ids binary", work, _BLOCK)
+    return map_blocks(docs, key, text, "bucket int, tokens binary, ids binary, places binary", work, _BLOCK)
 
 
-_LIST = pa.schema([("list", pa.int64()), ("ids", pa.list_(pa.int64()))])
+_LIST = pa.schema([("list", pa.int64()), ("shared", pa.int64()), ("ids", pa.list_(pa.int64()))])
 #: A list of classes is written in rows of at most so many ids.
 LIST_ROW = 2048
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The distinct lists of two or more classes that share a token of this bucket."""
-    tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()])
-    ids = np.concatenate([np.frombuffer(t, np.int64) for t in group.column("ids").to_pylist()])
+    """The distinct lists of two or more classes that share a token of this bucket, and how many tokens each has."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("tokens", "ids", "places")), strict=True))
+    tokens = np.concatenate([_long(r[0]) for r in rows])
+    known = [np.frombuffer(r[1], np.int64) for r in rows]
+    ids = np.concatenate([k[np.frombuffer(r[2], np.uint16 if len(k) < 1 << 16 else np.uint32)] for k, r in zip(known, rows, strict=True)])
     order = np.argsort(tokens, kind="stable")
     tokens, ids = tokens[order], ids[order]
     same = tokens[1:] == tokens[:-1]
@@ -184,14 +222,16 @@ def _lists(group: pa.Table) -> pa.Table:
     total = np.zeros(len(ids) + 1, np.uint64)
     np.cumsum(mixed(ids.view(np.uint64)), out=total[1:])
     name = (total[first + size] - total[first]).view(np.int64) if len(first) else np.zeros(0, np.int64)
-    _, pick = np.unique(np.where(size > 1, name, 0), return_index=True)
-    out: tuple[list, list] = ([], [])
-    for k in pick.tolist():
-        if size[k] > 1:
-            for a in range(int(first[k]), int(first[k] + size[k]), LIST_ROW):
-                out[0].append(int(name[k]))
-                out[1].append(ids[a : min(a + LIST_ROW, int(first[k] + size[k]))])
-    return pa.table({"list": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64()))}, schema=_LIST)
+    several = size > 1
+    name, first, size = name[several], first[several], size[several]
+    _, pick, times = np.unique(name, return_index=True, return_counts=True)
+    out: tuple[list, list, list] = ([], [], [])
+    for k, n in zip(pick.tolist(), times.tolist(), strict=True):
+        for a in range(int(first[k]), int(first[k] + size[k]), LIST_ROW):
+            out[0].append(int(name[k]))
+            out[1].append(n)
+            out[2].append(ids[a : min(a + LIST_ROW, int(first[k] + size[k]))])
+    return pa.table({"list": pa.array(out[0], pa.int64()), "shared": pa.array(out[1], pa.int64()), "ids": pa.array(out[2], pa.list_(pa.int64()))}, schema=_LIST)
 
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
@@ -281,15 +321,24 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     """doc_id, n_shingles and component_id of every row."""
     profile = saved(profiles(docs, config, key, text), "profiles")
     rows = profile.where("doc_id is not null and n > 0")
-    total = rows.agg(F.count("*").alias("docs"), F.sum(F.expr(f"n - (({config.percent} * n + 99) div 100) + 1")).alias("lead")).first()
+    total = rows.agg(F.count("*").alias("docs"), F.sum(F.expr(f"greatest(n - (({config.percent} * n + 99) div 100) + 1, ({config.lead} * n + 99) div 100)")).alias("lead")).first()
     hot = hot_tokens(profile, total["docs"], config)
     bits = max(0, int(total["lead"] or 0) // config.bucket).bit_length()
     classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
 
-    lists = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_lists, "list long, ids array<long>")
-    lists = saved(lists.distinct(), "lists")
-    named = lists.select("list", F.explode("ids").alias("id")).distinct().join(classes.select(F.col("h1").alias("id"), "rep"), "id").select("list", "rep")
+    lists = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
+    lists = lists.groupBy("list", "ids").agg(F.sum("shared").alias("shared"))
+    named = lists.select("list", "shared", F.explode("ids").alias("id")).join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id").select("list", "shared", "rep", "n")
     named = saved(named, "list-members")
+    least = F.expr(f"(({config.percent} * n + 99) div 100)")
+    far_least = F.floor((config.percent * least + 99) / 100)
+    fewest = F.greatest(F.lit(1), F.greatest(least - far_least + 1, F.floor((config.lead * least + 99) / 100)) - (least - far_least) - 1)
+    for _ in range(2):
+        able = named.groupBy("rep", "n").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep").distinct()
+        fewer = named.join(able, "rep", "left_semi")
+        fewer = saved(fewer.join(fewer.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1"), "list", "left_semi"), "list-members")
+        dropped(named)
+        named = fewer
 
     # hubs: of the smallest classes of a class' lists, the one that most of the lists have
     smallest = named.groupBy("list").agg(F.min("rep").alias("hub"))
@@ -313,9 +362,10 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     weight = first.groupBy("component").agg(F.count("*").alias("weight"))
     mixed_lists = labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     open_ = labelled.join(mixed_lists, "list", "left_semi").join(weight, "component", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "component"))
-    open_ = saved(open_.select("list", "rep", "component", "hub", "cell", "rank"), "open")
+    open_ = saved(open_.select("list", "shared", "rep", "n", "component", "hub", "cell", "rank"), "open")
     held = open_.groupBy("list", "hub", "cell").agg(F.max("rank").alias("top"))
-    asked = open_.select("list", "rep", "component", "rank").join(held, "list").where(F.col("rank") < F.col("top")).select("rep", "component", "hub", "cell").distinct()
+    met = open_.select("list", "shared", "rep", "n", "component", "rank").join(held, "list").where(F.col("rank") < F.col("top"))
+    asked = met.groupBy("rep", "n", "component", "hub", "cell").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep", "component", "hub", "cell").distinct()
     asked = saved(asked, "asked")
     salts = asked.groupBy("hub", "cell").agg(F.ceil(F.count("*") / config.cell).cast("int").alias("salts"))
     queries = asked.join(salts, ["hub", "cell"]).select("rep", "component", "hub", "cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("ask"))
