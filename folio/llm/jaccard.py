@@ -6,9 +6,10 @@ verified exactly.
 
 1. Every document is hashed into its set (profiles): size and two checksums; equal profiles are one class.
 2. Tokens have a common order: those that very many documents hold come last, others by hash. The first half of each set travels
-   in columnar blocks to buckets, where each token's list of classes is found; equal lists are kept once, with the number of their
-   tokens. Of a set that links, at least (half of it less the quarter that may be missing) of these tokens are in lists with its
-   partner; a class with fewer tokens in lists has no partner and goes, which is done twice.
+   in columnar blocks to buckets, which count the tokens that each class has in common with any other. Of a set that links, at
+   least (half of it less the quarter that may be missing) of these tokens are its partner's too; a class with fewer common tokens
+   has no partner. The others' sets are kept, and from them each token's list of classes; equal lists are kept once, with the number
+   of their tokens.
 3. Classes that share lists form groups (those with the same hub, in cells of bounded size). Within a cell all members are
    compared by one product of incidence matrices; what links becomes a component.
 4. The matrix of lists and groups then gives, for each class, the groups that hold a class of another component with which it shares
@@ -142,56 +143,109 @@ def _columnar(tokens: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]
     return _short(tokens), known.tobytes(), place.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes()
 
 
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _leading(found: Iterator[Batch], hot: np.ndarray, bits: int, config: JaccardConfig) -> Iterator[dict]:
+    """From (ids, which of them count, tokens, starts) of sets: their leading tokens and ids, a row for each bucket (a token's upper bits) and piece of input."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[int] = set()
+
+    def send() -> dict:
+        tokens, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.argsort(tokens)
+        tokens, ids = tokens[order], ids[order]
+        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(tokens), np.int32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        pairs = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
+        kept.clear()
+        seen.clear()
+        made = [_columnar(tokens[a:b], ids[a:b]) for a, b in pairs]
+        return {"bucket": bucket[first], "tokens": [m[0] for m in made], "ids": [m[1] for m in made], "places": [m[2] for m in made]}
+
+    size = 0
+    for ids, ok, tokens, at in found:
+        n = np.diff(at)
+        place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+            before = np.concatenate([[0], np.cumsum(is_hot)])
+            hot_before = before[:-1] - np.repeat(before[at[:-1]], n)
+            cold = np.repeat(n - (before[at[1:]] - before[at[:-1]]), n)
+            place = np.where(is_hot, cold + hot_before, place - hot_before)
+        fresh = np.zeros(len(n), bool)
+        for k in np.flatnonzero(ok).tolist():  # copies count once
+            if (h := int(ids[k])) not in seen:
+                seen.add(h)
+                fresh[k] = True
+        lead = (place < np.repeat(_lead(n, config), n)) & np.repeat(fresh, n)
+        kept.append((tokens[lead], np.repeat(ids, n)[lead]))
+        size += int(lead.sum())
+        if size >= 1 << 20:
+            yield send()
+            size = 0
+    if size:
+        yield send()
+
+
+_BLOCK_DDL = "bucket int, tokens binary, ids binary, places binary"
+
+
 def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig, key: str, text: str) -> DataFrame:
-    """The leading tokens of all sets with their class, as one row for each bucket (the token's upper bits) and piece of input."""
+    """Leading tokens of all documents; the ids are the sets' first checksums."""
 
-    def work(found: Iterator[TextBlock]) -> Iterator[dict]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[int] = set()
-
-        def send() -> dict:
-            tokens, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.argsort(tokens)
-            tokens, ids = tokens[order], ids[order]
-            bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(tokens), np.int32)
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = [*first[1:].tolist(), len(bucket)]
-            pairs = list(zip(first.tolist(), ends, strict=True))
-            kept.clear()
-            seen.clear()
-            made = [_columnar(tokens[a:b], ids[a:b]) for a, b in pairs]
-            return {"bucket": bucket[first], "tokens": [m[0] for m in made], "ids": [m[1] for m in made], "places": [m[2] for m in made]}
-
-        size = 0
+    def batches(found: Iterator[TextBlock]) -> Iterator[Batch]:
         for block in found:
             tokens, at = _sets(block, config.width)
-            n = np.diff(at)
-            h1, _ = _sums(tokens, at)
-            place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-                before = np.concatenate([[0], np.cumsum(is_hot)])
-                hot_before = before[:-1] - np.repeat(before[at[:-1]], n)
-                cold = np.repeat(n - (before[at[1:]] - before[at[:-1]]), n)
-                place = np.where(is_hot, cold + hot_before, place - hot_before)
-            fresh = np.zeros(len(n), bool)
-            for k, h in enumerate(h1.tolist()):
-                if h not in seen:
-                    seen.add(h)
-                    fresh[k] = True
-            key_ok = np.asarray(block.rows.column(1).is_valid())
-            lead = (place < np.repeat(_lead(n, config), n)) & np.repeat(fresh & key_ok, n)
-            for k in np.flatnonzero(fresh & ~key_ok).tolist():
-                seen.discard(int(h1[k]))
-            kept.append((tokens[lead], np.repeat(h1, n)[lead]))
-            size += int(lead.sum())
-            if size >= 1 << 21:
-                yield send()
-                size = 0
-        if size:
-            yield send()
+            yield _sums(tokens, at)[0], np.asarray(block.rows.column(1).is_valid()), tokens, at
+
+    return map_blocks(docs, key, text, _BLOCK_DDL, lambda found: _leading(batches(found), hot, bits, config), _BLOCK)
 
-    return map_blocks(docs, key, text, "bucket int, tokens binary, ids binary, places binary", work, _BLOCK)
+
+def set_blocks(sets: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig) -> DataFrame:
+    """Leading tokens of sets that are at hand; the ids are documents."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+        for b in found:
+            for start in range(0, b.num_rows, 512):
+                ids, raw = b.column(0).slice(start, 512).to_numpy(), b.column(1).slice(start, 512).to_pylist()
+                yield ids, np.ones(len(ids), bool), np.frombuffer(b"".join(raw), np.uint64), np.cumsum([0, *(len(r) // 8 for r in raw)])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _leading(batches(found), hot, bits, config):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
+
+    return sets.select("doc_id", "tokens").mapInArrow(run, _BLOCK_DDL)
+
+
+def _bucket(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of token and id of a bucket, by token, of tokens that two ids or more have."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("tokens", "ids", "places")), strict=True))
+    tokens = np.concatenate([_long(r[0]) for r in rows])
+    known = [np.frombuffer(r[1], np.int64) for r in rows]
+    ids = np.concatenate([k[np.frombuffer(r[2], np.uint16 if len(k) < 1 << 16 else np.uint32)] for k, r in zip(known, rows, strict=True)])
+    for distinct in (False, True):
+        order = np.lexsort((ids, tokens)) if distinct else np.argsort(tokens, kind="stable")
+        tokens, ids = tokens[order], ids[order]
+        if distinct:
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
+            tokens, ids = tokens[new], ids[new]
+        same, often = tokens[1:] == tokens[:-1], np.zeros(len(tokens), bool)
+        often[1:] |= same
+        often[:-1] |= same
+        tokens, ids = tokens[often], ids[often]
+    return tokens, ids
+
+
+_COUNTS = pa.schema([("ids", pa.list_(pa.int64())), ("shared", pa.list_(pa.int32()))])
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """How many tokens of this bucket each class has in common with any other; arrays of bounded length."""
+    ids, count = np.unique(_bucket(group)[1], return_counts=True)
+    cut = [(ids[a : a + 65536], count[a : a + 65536].astype(np.int32)) for a in range(0, len(ids), 65536)]
+    return pa.table({"ids": pa.array([c[0] for c in cut], pa.list_(pa.int64())), "shared": pa.array([c[1] for c in cut], pa.list_(pa.int32()))}, schema=_COUNTS)
 
 
 _LIST = pa.schema([("list", pa.int64()), ("shared", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -201,22 +255,7 @@ LIST_ROW = 2048
 
 def _lists(group: pa.Table) -> pa.Table:
     """The distinct lists of two or more classes that share a token of this bucket, and how many tokens each has."""
-    rows = list(zip(*(group.column(c).to_pylist() for c in ("tokens", "ids", "places")), strict=True))
-    tokens = np.concatenate([_long(r[0]) for r in rows])
-    known = [np.frombuffer(r[1], np.int64) for r in rows]
-    ids = np.concatenate([k[np.frombuffer(r[2], np.uint16 if len(k) < 1 << 16 else np.uint32)] for k, r in zip(known, rows, strict=True)])
-    order = np.argsort(tokens, kind="stable")
-    tokens, ids = tokens[order], ids[order]
-    same = tokens[1:] == tokens[:-1]
-    often = np.zeros(len(tokens), bool)
-    often[1:] |= same
-    often[:-1] |= same
-    tokens, ids = tokens[often], ids[often]
-    order = np.lexsort((ids, tokens))
-    tokens, ids = tokens[order], ids[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
-    tokens, ids = tokens[new], ids[new]
+    tokens, ids = _bucket(group)
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
     size = np.diff([*first.tolist(), len(tokens)])
     total = np.zeros(len(ids) + 1, np.uint64)
@@ -326,19 +365,25 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     bits = max(0, int(total["lead"] or 0) // config.bucket).bit_length()
     classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
 
-    lists = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
-    lists = lists.groupBy("list", "ids").agg(F.sum("shared").alias("shared"))
-    named = lists.select("list", "shared", F.explode("ids").alias("id")).join(classes.select(F.col("h1").alias("id"), "rep", "n"), "id").select("list", "shared", "rep", "n")
-    named = saved(named, "list-members")
     least = F.expr(f"(({config.percent} * n + 99) div 100)")
     far_least = F.floor((config.percent * least + 99) / 100)
     fewest = F.greatest(F.lit(1), F.greatest(least - far_least + 1, F.floor((config.lead * least + 99) / 100)) - (least - far_least) - 1)
-    for _ in range(2):
-        able = named.groupBy("rep", "n").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep").distinct()
-        fewer = named.join(able, "rep", "left_semi")
-        fewer = saved(fewer.join(fewer.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1"), "list", "left_semi"), "list-members")
-        dropped(named)
-        named = fewer
+    counts = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_shared, "ids array<long>, shared array<int>")
+    counts = counts.select(F.explode(F.arrays_zip("ids", "shared")).alias("c")).groupBy(F.col("c.ids").alias("h1")).agg(F.sum("c.shared").alias("_s"))
+    able = saved(counts.join(classes, "h1").where(F.col("_s") >= fewest).select(F.col("rep").alias("key")).distinct(), "able")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    sets = saved(_full_sets(texts.join(able, "key", "left_semi"), config), "sets").where("n > 0")
+    dropped(able)
+
+    lists = set_blocks(sets, hot, bits, config).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
+    lists = lists.groupBy("list", "ids").agg(F.sum("shared").alias("shared"))
+    sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"))
+    named = saved(lists.select("list", "shared", F.explode("ids").alias("rep")).join(sizes, "rep").select("list", "shared", "rep", "n"), "list-members")
+    again = named.groupBy("rep", "n").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep").distinct()
+    fewer = named.join(again, "rep", "left_semi")
+    fewer = saved(fewer.join(fewer.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1"), "list", "left_semi"), "list-members")
+    dropped(named)
+    named = fewer
 
     # hubs: of the smallest classes of a class' lists, the one that most of the lists have
     smallest = named.groupBy("list").agg(F.min("rep").alias("hub"))
@@ -348,9 +393,6 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     cells = homes.join(size, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), "cells")
     cells = saved(cells, "cells")
 
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = saved(_full_sets(texts.join(cells.select(F.col("rep").alias("key")), "key", "left_semi"), config), "sets").where("n > 0")
-
     placed = cells.select("rep", "hub", "cell").unionByName(cells.select("hub", "cells").distinct().select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))).distinct()
     within = placed.join(sets, F.col("rep") == F.col("doc_id")).select("hub", "cell", "doc_id", "n", "tokens")
     near = saved(within.groupBy("hub", "cell").applyInArrow(_cell_links(config.percent), "src long, dst long"), "cell-links")
