@@ -41,13 +41,14 @@ from folio.llm.words import lowered, mixed, shingle_sets
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """Link where 100 * intersection >= percent * union. `lead`: percent of a set's tokens that are searched by; `cell`: members of a
-    group; `bucket`: leading tokens of a bucket; `hot_part`: a token is put last in the order if at least one document in so many leads with it."""
+    """Link where 100 * intersection >= percent * union. `lead`: percent of a set's tokens that are searched by; `cell` and
+    `cell_tokens`: members of a group and their tokens; `bucket`: leading tokens of a bucket; `hot_part`: a token is put last in the order if at least one document in so many leads with it."""
 
     width: int = 5
     percent: int = 75
     lead: int = 50
-    cell: int = 192
+    cell: int = 768
+    cell_tokens: int = 2_000_000
     bucket: int = 200_000
     hot_part: int = 2000
 
@@ -289,7 +290,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192)
     """Sizes of all intersections of sets left[i] and right[j], by products of incidence matrices over their common tokens."""
     out = np.zeros((len(left), len(right)))
     lt, rt = np.concatenate(left), np.concatenate(right)
-    common = np.intersect1d(lt, rt)
+    if left is right:
+        common, times = np.unique(lt, return_counts=True)
+        common = common[times > 1]  # the diagonal is not asked for
+    else:
+        common = np.intersect1d(lt, rt)
     if not len(common):
         return out
 
@@ -375,7 +380,9 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     sets = saved(_full_sets(texts.join(able, "key", "left_semi"), config), "sets").where("n > 0")
     dropped(able)
 
-    lists = set_blocks(sets, hot, bits, config).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
+    # a list is heavier than a token, so there are more buckets; then a list's rows follow its tokens, not the number of buckets
+    led = sets.agg(F.sum(F.expr(f"({config.lead} * n + 99) div 100")).alias("led")).first()["led"] or 0
+    lists = set_blocks(sets, hot, (16 * int(led) // config.bucket).bit_length(), config).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
     lists = lists.groupBy("list", "ids").agg(F.sum("shared").alias("shared"))
     sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"))
     named = saved(lists.select("list", "shared", F.explode("ids").alias("rep")).join(sizes, "rep").select("list", "shared", "rep", "n"), "list-members")
@@ -389,7 +396,7 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     smallest = named.groupBy("list").agg(F.min("rep").alias("hub"))
     votes = named.join(smallest, "list").groupBy("rep", "hub").count()
     homes = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select("rep", (-F.col("best.hub")).alias("hub"))
-    size = homes.groupBy("hub").agg(F.ceil(F.count("*") / config.cell).cast("int").alias("cells"))
+    size = homes.join(sizes, "rep").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("cells"))
     cells = homes.join(size, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), "cells")
     cells = saved(cells, "cells")
 
@@ -407,9 +414,9 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     open_ = saved(open_.select("list", "shared", "rep", "n", "component", "hub", "cell", "rank"), "open")
     held = open_.groupBy("list", "hub", "cell").agg(F.max("rank").alias("top"))
     met = open_.select("list", "shared", "rep", "n", "component", "rank").join(held, "list").where(F.col("rank") < F.col("top"))
-    asked = met.groupBy("rep", "n", "component", "hub", "cell").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep", "component", "hub", "cell").distinct()
+    asked = met.groupBy("rep", "n", "component", "hub", "cell").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep", "n", "component", "hub", "cell")
     asked = saved(asked, "asked")
-    salts = asked.groupBy("hub", "cell").agg(F.ceil(F.count("*") / config.cell).cast("int").alias("salts"))
+    salts = asked.groupBy("hub", "cell").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("salts"))
     queries = asked.join(salts, ["hub", "cell"]).select("rep", "component", "hub", "cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("ask"))
     members = cells.select("rep", "hub", "cell").join(salts, ["hub", "cell"]).join(first.withColumnRenamed("node", "rep"), "rep", "left")
     members = members.select("rep", F.coalesce("component", "rep").alias("component"), "hub", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ask"))
