@@ -239,14 +239,29 @@ def _bucket(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tokens, ids
 
 
-_COUNTS = pa.schema([("ids", pa.list_(pa.int64())), ("shared", pa.list_(pa.int32()))])
+_COUNTS = pa.schema([("piece", pa.int32()), ("ids", pa.binary()), ("shared", pa.binary())])
+_SUMS = pa.schema([("h1", pa.int64()), ("_s", pa.int64())])
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """How many tokens of this bucket each class has in common with any other; arrays of bounded length."""
-    ids, count = np.unique(_bucket(group)[1], return_counts=True)
-    cut = [(ids[a : a + 65536], count[a : a + 65536].astype(np.int32)) for a in range(0, len(ids), 65536)]
-    return pa.table({"ids": pa.array([c[0] for c in cut], pa.list_(pa.int64())), "shared": pa.array([c[1] for c in cut], pa.list_(pa.int32()))}, schema=_COUNTS)
+def _shared(bits: int):
+    """How many tokens of a bucket each class has in common with any other; a row for each piece (the id's upper bits) that has any."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, count = np.unique(_bucket(group)[1].view(np.uint64), return_counts=True)  # unsigned, so that pieces are stretches
+        piece = (ids >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
+        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        cut = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)) if len(ids) else []
+        return pa.table({"piece": pa.array(piece[first], pa.int32()), "ids": pa.array([ids[x:y].tobytes() for x, y in cut], pa.binary()), "shared": pa.array([count[x:y].astype(np.int32).tobytes() for x, y in cut], pa.binary())}, schema=_COUNTS)
+
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """The classes of a piece with the sums of their counts."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("ids").to_pylist()])
+    shared = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("shared").to_pylist()])
+    known, place = np.unique(ids, return_inverse=True)
+    return pa.table({"h1": pa.array(known, pa.int64()), "_s": pa.array(np.bincount(place, weights=shared).astype(np.int64), pa.int64())}, schema=_SUMS)
 
 
 _LIST = pa.schema([("list", pa.int64()), ("shared", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -373,8 +388,9 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     least = F.expr(f"(({config.percent} * n + 99) div 100)")
     far_least = F.floor((config.percent * least + 99) / 100)
     fewest = F.greatest(F.lit(1), F.greatest(least - far_least + 1, F.floor((config.lead * least + 99) / 100)) - (least - far_least) - 1)
-    counts = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_shared, "ids array<long>, shared array<int>")
-    counts = counts.select(F.explode(F.arrays_zip("ids", "shared")).alias("c")).groupBy(F.col("c.ids").alias("h1")).agg(F.sum("c.shared").alias("_s"))
+    pieces = (int(total["docs"]) // 50_000).bit_length()
+    counts = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_shared(pieces), "piece int, ids binary, shared binary")
+    counts = counts.groupBy("piece").applyInArrow(_summed, "h1 long, _s long")
     able = saved(counts.join(classes, "h1").where(F.col("_s") >= fewest).select(F.col("rep").alias("key")).distinct(), "able")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     sets = saved(_full_sets(texts.join(able, "key", "left_semi"), config), "sets").where("n > 0")
