@@ -15,6 +15,7 @@ from folio.config import Settings
 from folio.functions import json as J
 from folio.functions import text as T
 from folio.functions.vectors import l2_normalize
+from folio.lineage import saved
 from folio.models import HashEmbedder, complete, embed, lexical_score
 from folio.operators import catalog, communities, evaluation, graph, intervals, lexical, ranking
 from folio.operators.ranking import top_k
@@ -151,13 +152,18 @@ ac as (select query_id, entity_id, round(max(a), 6) as activation from (
          select l.query_id, nb.dst, 0.5 * l.score from ln l join nb on l.entity_id = nb.src where not exists (select 1 from ln x where x.query_id = l.query_id and x.entity_id = nb.dst)) group by 1, 2)"""
 
 
-def nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Each 5th vector with its most similar vector: edges of a graph."""
-    c = chunks(spark, d).where(F.col("vec_id") % 5 == 0)
+#: The SQL of four graph queries is written over these vectors only; their namesakes in _whole, and global_search, take all.
+FIFTH = "vec_id % 5 = 0"
+
+
+def nearest(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Each vector with its most similar other one: edges of a graph. Of the first two one at most is the vector itself. Saved, as callers read it several times."""
+    c = chunks(spark, d).where(where)
     q = c.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    best = top_k(ranking.pair_scores(c, q, on=F.expr(OTHERS)), 1, "query_id", F.desc("score"), F.col("vec_id"))
+    two = ranking.dense_top_k_blocks(c, q, 2, 64, key="vec_id").drop("rank").where(OTHERS)
+    best = top_k(two, 1, "query_id", F.desc("score"), F.col("vec_id"))
     name = lambda x: F.format_string("v%06d", x)
-    return best.select(name(F.least("query_id", "vec_id")).alias("src"), name(F.greatest("query_id", "vec_id")).alias("dst"), F.lit(1).alias("weight")).distinct()
+    return saved(best.select(name(F.least("query_id", "vec_id")).alias("src"), name(F.greatest("query_id", "vec_id")).alias("dst"), F.lit(1).alias("weight")).distinct(), "nearest")
 
 
 NEAREST = """
@@ -651,27 +657,48 @@ def alias_merge_candidates(spark, d):
 
 @query(f"with recursive {NEAREST.strip()}, bo as (select src as a, dst as b from ne union all select dst, src from ne), re(x, y) as (select a, a from bo union select r.x, b.b from re r join bo b on r.y = b.a) select x as entity_id, min(y) as component from re group by 1")
 def connected_components(spark, d):
-    e = nearest(spark, d)
+    return _components(nearest(spark, d, FIFTH))
+
+
+@query(SQL["connected_components"].replace(f" where {FIFTH}", ""))
+def connected_components_whole(spark, d):
+    return _components(nearest(spark, d))
+
+
+def _components(e: DataFrame) -> DataFrame:
     nodes = e.select(F.col("src").alias("entity_id")).unionByName(e.select(F.col("dst").alias("entity_id"))).distinct().withColumn("label", F.lit("all"))
     return communities.components(e, nodes)
 
 
-def _labelled(spark, d):
-    return t(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.format_string("c%03d", "label").alias("community"))
+def _labelled(spark, d, where="true"):
+    return t(spark, d, "embeddings").where(where).select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.format_string("c%03d", "label").alias("community"))
+
+
+def _keyed(spark, d, where="true"):
+    return t(spark, d, "embeddings").where(where).select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.concat(F.lit("k"), F.col("vec_id") % 13).alias("chunk_key"))
 
 
 @query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c from cv), dg as (select e, sum(w) as deg from (select src as e, weight as w from ne union all select dst, weight from ne) group by 1), m as (select sum(weight)::double as m from ne),
   inn as (select a.c, sum(weight) as i, count(*) as k from ne join mb a on a.e = src join mb b on b.e = dst where a.c = b.c group by 1)
   select mb.c as community, count(*) as size, coalesce(any_value(i), 0)::bigint as internal, coalesce(any_value(k), 0)::bigint as internal_edges, sum(deg)::bigint as degree, round(coalesce(any_value(i), 0) / any_value(m) - pow(sum(deg) / (2 * any_value(m)), 2), 6) as modularity from mb join dg using (e) left join inn on inn.c = mb.c, m group by 1""")
 def modularity_terms(spark, d):
+    return communities.modularity_terms(nearest(spark, d, FIFTH), _labelled(spark, d, FIFTH))
+
+
+@query(SQL["modularity_terms"].replace(f" where {FIFTH}", ""))
+def modularity_terms_whole(spark, d):
     return communities.modularity_terms(nearest(spark, d), _labelled(spark, d))
 
 
 @query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c, 'k' || (vec_id % 13) as chunk_key from cv), dg as (select e, sum(w) as deg from (select src as e, weight as w from ne union all select dst, weight from ne) group by 1)
   select community, rank, chunk_key, score from (select c as community, chunk_key, sum(coalesce(deg, 0))::bigint as score, row_number() over (partition by c order by sum(coalesce(deg, 0)) desc, chunk_key) as rank from mb left join dg using (e) group by 1, 2) where rank <= 3""")
 def community_representatives(spark, d):
-    m = t(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.concat(F.lit("k"), F.col("vec_id") % 13).alias("chunk_key"))
-    return communities.representatives(_labelled(spark, d), m, nearest(spark, d)).select("community", "rank", "chunk_key", "score")
+    return communities.representatives(_labelled(spark, d, FIFTH), _keyed(spark, d, FIFTH), nearest(spark, d, FIFTH)).select("community", "rank", "chunk_key", "score")
+
+
+@query(SQL["community_representatives"].replace(f" where {FIFTH}", ""))
+def community_representatives_whole(spark, d):
+    return communities.representatives(_labelled(spark, d), _keyed(spark, d), nearest(spark, d)).select("community", "rank", "chunk_key", "score")
 
 
 @query()
@@ -710,11 +737,21 @@ def graph_build(spark, d):
          select s.query_id, s.chunk_key, sc.score, 1, s.r, s.g from sh s join sc using (query_id, chunk_key) where s.r <= 20 and not exists (select 1 from rk x where x.query_id = s.query_id and x.chunk_key = s.chunk_key))
   select query_id, chunk_key, round(score + 0.10 * g, 6) as fused, round(g, 4) as graph_score from al""")
 def fuse_scores(spark, d):
+    return _fused(spark, d, "vec_id % 3 = 0")
+
+
+@query(SQL["fuse_scores"].replace(" where vec_id % 3 = 0", ""))
+def fuse_scores_whole(spark, d):
+    return _fused(spark, d, "true")
+
+
+def _fused(spark, d, pool):
+    """`pool`: the chunks that the graph's own ranking takes."""
     c = chunks(spark, d)
     q = asked(c)
     scores = ranking.pair_scores(c, q, on=F.expr(OTHERS))
     dense = top_k(scores, 8, "query_id", F.desc("score"), F.col("chunk_key"))
-    g = top_k(scores.where("vec_id % 3 = 0"), 40, "query_id", F.desc(F.col("chunk_index") % 7), F.col("chunk_key")).select("query_id", "chunk_key", (1.0 * (F.col("chunk_index") % 7)).alias("graph_score"))
+    g = top_k(scores.where(pool), 40, "query_id", F.desc(F.col("chunk_index") % 7), F.col("chunk_key")).select("query_id", "chunk_key", (1.0 * (F.col("chunk_index") % 7)).alias("graph_score"))
     # without overlaps between candidates nothing is dropped, so that scores alone are seen
     apart = lambda x: x.withColumn("book_id", F.concat_ws("/", "book_id", "chunk_key"))
     return graph.fuse(apart(dense), g, apart(scores), 0, graph.GraphParams(alpha=0.10)).select("query_id", "chunk_key", "fused", "graph_score")
@@ -836,9 +873,8 @@ def crag_flow(spark, d):
 
 @query()
 def global_search(spark, d):
-    members = _labelled(spark, d)
-    keys = t(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.concat(F.lit("k"), F.col("vec_id") % 13).alias("chunk_key"))
-    reps = communities.representatives(members, keys, nearest(spark, d))
+    keys = _keyed(spark, d)
+    reps = communities.representatives(_labelled(spark, d), keys, nearest(spark, d))
     reports = reps.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_key"))), lambda x: x["chunk_key"]).alias("chunk_keys")).withColumn("text", F.concat(F.lit("report "), "community"))
     scores = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(F.broadcast(reports.select("community")), F.lit(True)).withColumn("score", F.round(F.pmod(F.xxhash64("query_id", "community"), F.lit(1000)) / 1000.0, 3))
     texts = keys.select("chunk_key", F.concat(F.lit("text of "), "chunk_key").alias("text")).distinct()

@@ -22,3 +22,41 @@ def test_matrix_ranking_of_many_queries(spark, monkeypatch):
         assert {(r["query_id"], r["rank"]): (r["chunk_key"], r["score"]) for r in ranking.dense_top_k_blocks(chunks, queries, 3, 3).collect()} == want
     assert len(want) == 36
     assert ranking.dense_top_k_blocks(chunks, queries.where("false"), 3, 3).count() == 0
+
+
+@pytest.fixture(scope="module")
+def nearest_edges(spark, sf_dir):
+    """Edges to the most similar other vector by brute force over all vectors."""
+    rows = sorted(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(m @ m.T, 6)
+    np.fill_diagonal(scores, -2)
+    return ids, {tuple(sorted((f"v{a:06d}", f"v{b:06d}"))) for a, b in zip(ids, ids[scores.argmax(1)], strict=True)}
+
+
+def test_every_vector_is_node_and_candidate(spark, sf_dir, nearest_edges):
+    ids, want = nearest_edges
+    assert {(r["src"], r["dst"]) for r in Q.nearest(spark, sf_dir).collect()} == want
+    assert {r["entity_id"] for r in Q.QUERIES["connected_components_whole"](spark, sf_dir).collect()} == {f"v{k:06d}" for k in ids}
+    assert Q.QUERIES["modularity_terms_whole"](spark, sf_dir).agg(F.sum("size")).first()[0] == len(ids)
+
+
+def test_global_search_ranks_passages_over_all_vectors(spark, sf_dir, nearest_edges):
+    degree = Counter(v for edge in nearest_edges[1] for v in edge)
+    score = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label").collect():
+        score[f"c{r['label']:03d}", f"k{r['vec_id'] % 13}"] += degree[f"v{r['vec_id']:06d}"]
+    best = {c: [k for (_, k), _ in sorted(((x, n) for x, n in score.items() if x[0] == c), key=lambda x: (-x[1], x[0][1]))[:2]] for c, _ in score}
+    first = Q.QUERIES["global_search"](spark, sf_dir).where("marker <= 3 and kind = 'chunk'").collect()
+    top = {r["query_id"]: r["community"] for r in Q.QUERIES["global_search"](spark, sf_dir).where("marker = 1").collect()}
+    found = {q: [r["chunk_key"] for r in sorted(first, key=lambda r: r["marker"]) if r["query_id"] == q and r["community"] == c] for q, c in top.items()}
+    assert found == {q: best[c] for q, c in top.items()}
+
+
+def test_every_vector_is_in_the_graph_pool(spark, sf_dir):
+    c = Q.chunks(spark, sf_dir)
+    rows = c.select("vec_id", "chunk_key", "chunk_index").collect()
+    got = {r["chunk_key"] for r in Q.QUERIES["fuse_scores_whole"](spark, sf_dir).where("query_id = 0 and graph_score > 0").collect()}
+    pool = sorted((r for r in rows if r["vec_id"] != 0), key=lambda r: (-(r["chunk_index"] % 7), r["chunk_key"]))[:40]
+    assert {r["chunk_key"] for r in pool[:20]} <= got and any(r["vec_id"] % 3 for r in pool[:20])
