@@ -596,7 +596,15 @@ def boilerplate_lines(spark, d):
 @query(f"""with {PARAS}, q as (select book_id, para, case when para % 11 = 5 then 'CHAPTER ' || (para % 40) when book_id like '%3' and para % 5 = 0 then 'CHAPTER I CHAPTER II CHAPTER III' else paragraph end as paragraph from pa where para % 2 = 1)
   select book_id, para, (regexp_matches(paragraph, '^(CHAPTER|Chapter|KAPITEL|Kapitel|BOOK|Book)\\b.{{0,70}}$') and length(paragraph) <= 80) as heading, len(regexp_extract_all(paragraph, '(?i)\\b(CHAPTER|KAPITEL)\\b')) >= 3 as contents from q""")
 def heading_flags(spark, d):
-    p = paragraphs_of_books(spark, d).where("para % 2 = 1")
+    return _flagged(paragraphs_of_books(spark, d).where("para % 2 = 1"))
+
+
+@query(SQL["heading_flags"].replace(" where para % 2 = 1", ""))
+def heading_flags_whole(spark, d):
+    return _flagged(paragraphs_of_books(spark, d))
+
+
+def _flagged(p: DataFrame) -> DataFrame:
     text = F.when(F.col("para") % 11 == 5, F.concat(F.lit("CHAPTER "), (F.col("para") % 40).cast("string"))).when(F.col("book_id").endswith("3") & (F.col("para") % 5 == 0), F.lit("CHAPTER I CHAPTER II CHAPTER III")).otherwise(F.col("paragraph"))
     flagged = I.heading_flags(p.withColumn("paragraph", text))
     return flagged.select("book_id", "para", F.col("heading"), T.is_contents(F.col("paragraph")).alias("contents"))

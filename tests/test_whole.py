@@ -60,3 +60,9 @@ def test_every_vector_is_in_the_graph_pool(spark, sf_dir):
     got = {r["chunk_key"] for r in Q.QUERIES["fuse_scores_whole"](spark, sf_dir).where("query_id = 0 and graph_score > 0").collect()}
     pool = sorted((r for r in rows if r["vec_id"] != 0), key=lambda r: (-(r["chunk_index"] % 7), r["chunk_key"]))[:40]
     assert {r["chunk_key"] for r in pool[:20]} <= got and any(r["vec_id"] % 3 for r in pool[:20])
+
+
+def test_every_paragraph_is_flagged(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+    got = [r["para"] for r in Q.QUERIES["heading_flags_whole"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(r[0] for r in docs) and any(k % 2 == 0 for k in got)
