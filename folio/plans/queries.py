@@ -721,7 +721,7 @@ def louvain_communities(spark, d):
 def extraction_parse(spark, d):
     """Extraction answers in fences, cut off, or without an object."""
     words = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))
-    one = F.array_join(F.transform(F.slice(words, 1, 10), lambda w: F.concat(F.lit('{"name":"'), w, F.lit('","type":"character","desc":"x"}'))), ",")
+    one = F.array_join(F.transform(words, lambda w: F.concat(F.lit('{"name":"'), w, F.lit('","type":"character","desc":"x"}'))), ",")
     whole = F.concat(F.lit('{"entities":['), one, F.lit('],"relations":[{"source":"A","target":"B","rel":"r"}]}'))
     raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```"))).when(F.col("doc_id") % 4 == 1, F.substring(whole, 1, 200)).when(F.col("doc_id") % 4 == 2, whole).otherwise(F.lit("none"))
     out = J.parse_extractions(t(spark, d, "documents").select("doc_id", raw.alias("raw")), out="x")
@@ -732,7 +732,7 @@ def extraction_parse(spark, d):
 def graph_build(spark, d):
     """The whole graph from extraction rows: nodes with idf, degree and aliases."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
-    rows = t(spark, d, "documents").select(F.concat(F.lit("b:"), "doc_id").alias("key"), F.lit("b").alias("book_id"), F.slice(words, 1, 8).alias("w"))
+    rows = t(spark, d, "documents").select(F.concat(F.lit("b:"), "doc_id").alias("key"), F.lit("b").alias("book_id"), words.alias("w"))
     rows = rows.select("key", "book_id", F.transform("w", lambda w: F.struct(w.alias("name"), F.lit("PERSON").alias("type"), F.lit("").alias("desc"))).alias("entities"),
                        F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda w: F.struct(F.get("w", F.lit(0)).alias("source"), w.alias("target"), F.lit("near").alias("rel"))).alias("relations"))
     g = graph.build(rows, t(spark, d, "documents").count())
@@ -792,6 +792,11 @@ def calibration_pairs(spark, d):
     return evaluation.calibration_pairs(t(spark, d, "benchmark").select("item_id", F.substring("text", 1, 20).alias("answer")))
 
 
+@query(SQL["calibration_pairs"].replace("left(text, 20)", "text"))
+def calibration_pairs_whole(spark, d):
+    return evaluation.calibration_pairs(t(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")))
+
+
 @query("select user_id, round(case when tokens > 0 then tokens / greatest((value * 3 - value) / 1000.0::double, 1e-6) else 0 end, 4) as tps, event_id from (select *, (props->>'$.k')::bigint as tokens from events)")
 def decode_speed(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")

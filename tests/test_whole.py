@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import communities, ranking
+from folio.functions import text as T
+from folio.operators import ranking
 from folio.plans import answer as A
 from folio.plans import queries as Q
 
@@ -66,3 +67,21 @@ def test_every_paragraph_is_flagged(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
     got = [r["para"] for r in Q.QUERIES["heading_flags_whole"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(r[0] for r in docs) and any(k % 2 == 0 for k in got)
+
+
+def test_graph_is_built_from_all_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))).alias("w"))
+    keyed = words.select("doc_id", T.entity_key(F.col("w"), F.lit("PERSON")).alias("e")).where("e <> 'PERSON:'").distinct()
+    want = {r["e"]: r["count"] for r in keyed.groupBy("e").count().collect()}
+    rows = Q.QUERIES["graph_build"](spark, sf_dir).collect()
+    assert {r["entity_id"]: r["n_mentions"] for r in rows} == want
+    assert keyed.groupBy("doc_id").count().agg(F.max("count")).first()[0] > 8
+
+
+def test_extraction_and_calibration_take_whole_texts(spark, sf_dir, tmp_path):
+    names = ["Bcdefg", "Cdefgh", "Defghi", "Efghij", "Fghijk", "Ghijkl", "Hijklm"]
+    spark.createDataFrame([(2, " ".join(["Abcdef"] * 12 + names))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert Q.QUERIES["extraction_parse"](spark, str(tmp_path)).first()["n_entities"] == 8
+    texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()}
+    assert {r["item_id"]: r["answer"] for r in Q.QUERIES["calibration_pairs_whole"](spark, sf_dir).collect()} == texts
