@@ -712,8 +712,7 @@ def community_representatives_whole(spark, d):
 @query()
 def louvain_communities(spark, d):
     nodes, edges, _, _ = entity_graph(spark, d)
-    often = edges.where("weight >= 2")
-    members, _ = communities.communities(nodes, often, min_size=3)
+    members, _ = communities.communities(nodes, edges, min_size=3)
     return members
 
 

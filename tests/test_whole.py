@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import ranking
+from folio.operators import communities, ranking
 from folio.plans import answer as A
 from folio.plans import queries as Q
 
@@ -85,3 +85,26 @@ def test_extraction_and_calibration_take_whole_texts(spark, sf_dir, tmp_path):
     assert Q.QUERIES["extraction_parse"](spark, str(tmp_path)).first()["n_entities"] == 8
     texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()}
     assert {r["item_id"]: r["answer"] for r in Q.QUERIES["calibration_pairs_whole"](spark, sf_dir).collect()} == texts
+
+
+def test_communities_use_edges_of_single_documents(spark, sf_dir):
+    nodes, edges, _, _ = Q.entity_graph(spark, sf_dir)
+    often = {r["entity_id"] for r in nodes.where("n_mentions >= 2").collect()}
+    kept = [(r["src"], r["dst"], float(r["weight"])) for r in edges.collect() if {r["src"], r["dst"]} <= often]
+    home = communities.local_moves(kept)
+    up = {n: n for n in home}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b, _ in kept:
+        if home[a] == home[b]:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    size = Counter(root(n) for n in home)
+    want = {n: size[root(n)] for n in home if size[root(n)] >= 3}
+    rows = Q.QUERIES["louvain_communities"](spark, sf_dir).collect()
+    assert {r["entity_id"]: r["size"] for r in rows} == want
+    assert len({(r["community"], root(r["entity_id"])) for r in rows}) == len({r["community"] for r in rows}) == len({root(n) for n in want})
+    assert any(w == 1 and a in want for a, _, w in kept)
