@@ -144,13 +144,13 @@ def _columnar(tokens: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]
     return _short(tokens), known.tobytes(), place.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes()
 
 
-Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _leading(found: Iterator[Batch], hot: np.ndarray, bits: int, config: JaccardConfig) -> Iterator[dict]:
-    """From (ids, which of them count, tokens, starts) of sets: their leading tokens and ids, a row for each bucket (a token's upper bits) and piece of input."""
+    """From (ids, checksums, which of them count, tokens, starts) of sets: their leading tokens and ids, a row for each bucket (a token's upper bits) and piece of input."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
 
     def send() -> dict:
         tokens, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -165,7 +165,7 @@ def _leading(found: Iterator[Batch], hot: np.ndarray, bits: int, config: Jaccard
         return {"bucket": bucket[first], "tokens": [m[0] for m in made], "ids": [m[1] for m in made], "places": [m[2] for m in made]}
 
     size = 0
-    for ids, ok, tokens, at in found:
+    for ids, sums, ok, tokens, at in found:
         n = np.diff(at)
         place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
         if len(hot):
@@ -176,7 +176,7 @@ def _leading(found: Iterator[Batch], hot: np.ndarray, bits: int, config: Jaccard
             place = np.where(is_hot, cold + hot_before, place - hot_before)
         fresh = np.zeros(len(n), bool)
         for k in np.flatnonzero(ok).tolist():  # copies count once
-            if (h := int(ids[k])) not in seen:
+            if (h := (int(ids[k]), int(sums[k]))) not in seen:
                 seen.add(h)
                 fresh[k] = True
         lead = (place < np.repeat(_lead(n, config), n)) & np.repeat(fresh, n)
@@ -198,19 +198,21 @@ def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardC
     def batches(found: Iterator[TextBlock]) -> Iterator[Batch]:
         for block in found:
             tokens, at = _sets(block, config.width)
-            yield _sums(tokens, at)[0], np.asarray(block.rows.column(1).is_valid()), tokens, at
+            sums = _sums(tokens, at)[0]
+            yield sums, sums, np.asarray(block.rows.column(1).is_valid()), tokens, at
 
     return map_blocks(docs, key, text, _BLOCK_DDL, lambda found: _leading(batches(found), hot, bits, config), _BLOCK)
 
 
 def set_blocks(sets: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig) -> DataFrame:
-    """Leading tokens of sets that are at hand; the ids are documents."""
+    """Leading tokens of sets that are at hand; the ids are documents, which may have several sets."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
         for b in found:
             for start in range(0, b.num_rows, 512):
                 ids, raw = b.column(0).slice(start, 512).to_numpy(), b.column(1).slice(start, 512).to_pylist()
-                yield ids, np.ones(len(ids), bool), np.frombuffer(b"".join(raw), np.uint64), np.cumsum([0, *(len(r) // 8 for r in raw)])
+                tokens, at = np.frombuffer(b"".join(raw), np.uint64), np.cumsum([0, *(len(r) // 8 for r in raw)])
+                yield ids, _sums(tokens, at)[0], np.ones(len(ids), bool), tokens, at
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in _leading(batches(found), hot, bits, config):

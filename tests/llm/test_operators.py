@@ -204,6 +204,14 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert got == Counter({(None, 2, None): 1, (5, 2, 5): 2, (7, 2, 5): 1, (9, 0, 9): 1})
 
 
+def test_jaccard_texts_that_share_an_id(spark):
+    (one, two), words = (family(seed, 1, rate=0)[0] for seed in (71, 72)), "some other words at the end"
+    for texts in ((one, two), (two, one)):
+        docs = spark.createDataFrame([*((5, t) for t in texts), (8, f"{one} {words}"), (9, f"{two} {words}"), (11, words)], "doc_id long, text string").coalesce(1)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.components(docs).collect()}
+        assert got == {(5, 5), (8, 5), (9, 5), (11, 11)}
+
+
 def test_shingle_hashes_are_sets():
     texts = ["", "a", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e"]
     raw = [t.encode() for t in texts]
