@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.config import Settings
 from folio.functions import text as T
 from folio.functions.json import grade as parsed_grade
+from folio.models import windows
 from folio.operators.ranking import dedup_overlaps, dense_top_k, expand, interleave, rerank, top_k
 
 Model = Callable[[Column], Column]
@@ -57,20 +58,27 @@ def cited_sources(answers: DataFrame, hits: DataFrame, query: str = "query_id")
     return found.withColumn("score", F.round("score", 4)) if "score" in found.columns else found
 
 
+def word_windows(text: Column) -> Column:
+    """A passage as overlapping windows that a model of bounded input can read whole; a short or null one as it is."""
+    words = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
+    return F.when(F.size(words) > 380, F.transform(windows(words), lambda w: F.array_join(w, ""))).otherwise(F.array(text))
+
+
 def faithfulness(sources: DataFrame, answers: DataFrame, entails: Callable[[Column, Column], Column], threshold: float = 0.5, query: str = "query_id") -> DataFrame:
-    """Adds supported and support_score: the best entailment of a sentence that cites the source (else of the whole answer)."""
+    """Adds supported and support_score: the best entailment, by any window of the source, of a sentence that cites it (else of the whole answer)."""
     said = sources.join(answers.select(query, F.col("answer").alias("_answer")), query)
     mark = F.concat(F.lit("["), F.col("marker").cast("string"), F.lit("]"))
     citing = F.filter(T.sentences(F.col("_answer")), lambda s: s.contains(mark))
     lines = said.select(query, "marker", "text", F.explode(F.when(F.size(citing) > 0, citing).otherwise(F.array("_answer"))).alias("_s"))
+    lines = lines.withColumn("text", F.explode(word_windows(F.col("text"))))
     best = lines.groupBy(query, "marker").agg(F.max(entails(F.col("text"), F.col("_s"))).alias("_best"))
     return sources.join(best, [query, "marker"]).withColumn("supported", F.col("_best") >= threshold).withColumn("support_score", F.round("_best", 3)).drop("_best")
 
 
 def answer_faithfulness(answers: DataFrame, hits: DataFrame, entails: Callable[[Column, Column], Column], passages: int = 5, threshold: float = 0.5, query: str = "query_id") -> DataFrame:
-    """Share of sentences over 15 characters that one of the first five passages supports; 0 without such sentences."""
+    """Share of sentences over 15 characters that a window of one of the first five passages supports; 0 without such sentences."""
     lines = answers.select(query, F.posexplode(F.filter(T.sentences(T.without_citations(F.col("answer"))), lambda s: F.length(s) > 15)).alias("k", "s"))
-    pairs = lines.join(hits.where(F.col("rank") <= passages).select(query, "text"), query, "left")
+    pairs = lines.join(hits.where(F.col("rank") <= passages).select(query, F.explode(word_windows(F.col("text"))).alias("text")), query, "left")
     best = pairs.groupBy(query, "k").agg(F.max(F.coalesce(entails(F.col("text"), F.col("s")), F.lit(0.0))).alias("best"))
     share = best.groupBy(query).agg(F.avg((F.col("best") >= threshold).cast("double")).alias("faithfulness"))
     return answers.select(query).join(share, query, "left").withColumn("faithfulness", F.round(F.coalesce("faithfulness", F.lit(0.0)), 6))

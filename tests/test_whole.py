@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.models import lexical_score
 from folio.operators import communities, ranking
 from folio.plans import answer as A
 from folio.plans import queries as Q
@@ -108,3 +109,15 @@ def test_communities_use_edges_of_single_documents(spark, sf_dir):
     assert {r["entity_id"]: r["size"] for r in rows} == want
     assert len({(r["community"], root(r["entity_id"])) for r in rows}) == len({r["community"] for r in rows}) == len({root(n) for n in want})
     assert any(w == 1 and a in want for a, _, w in kept)
+
+
+def test_support_late_in_a_long_passage(spark):
+    bounded = lambda premise, said: lexical_score(F.array_join(F.slice(F.split(premise, " "), 1, 381), " "), said)
+    long = " ".join(["nothing"] * 1300) + " the red fox ran"
+    hits = spark.createDataFrame([(1, 1, long, 0.5), (1, 2, "a blue whale", 0.4), (1, 3, None, 0.3)], "query_id int, rank int, text string, score double")
+    answers = spark.createDataFrame([(1, "The red fox ran [1]. A blue whale swam [2]. Unknown words [3].")], "query_id int, answer string")
+    sources = A.faithfulness(A.cited_sources(answers, hits), answers, bounded).collect()
+    assert {r["marker"]: r["supported"] for r in sources} == {1: True, 2: True, 3: False}
+    one = spark.createDataFrame([(1, "The red fox ran [1].")], "query_id int, answer string")
+    assert A.answer_faithfulness(one, hits.where("rank = 1"), bounded).first()["faithfulness"] == 1.0
+    assert A.answer_faithfulness(one, hits.where("rank > 9"), bounded).first()["faithfulness"] == 0.0
