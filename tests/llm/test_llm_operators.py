@@ -276,6 +276,47 @@ def test_bpe_reuses_chunks_of_copies():
     assert cut > 20 and coder.fresh <= cut + 6
 
 
+def _spaceless(seed, pieces, n=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(pieces) for _ in range(rng.choice((30, 90, 400, 1500)))) for _ in range(n)]
+
+
+SPACELESS = ["the quick brown fox".replace(" ", ""), "aab", "a'sretvlmd", "12ab,.'", "é中文ab", "aÁéK", ["ing", "tion", "'s", "the", "ation", "日本"]]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 6])
+def test_bpe_repairs_joins_in_texts_without_white_space(bits):
+    texts = [t for k, p in enumerate(SPACELESS) for t in _spaceless(k, p, 20)] + [a + mid + b for a, b, mid in zip(_spaceless(8, "abc", 6), _spaceless(9, "ab'", 6), (" ", "\u3000", "\x1c", "<|endoftext|>", "İ", "\xa0"), strict=True)]
+    tok, coder = bpe.tokenizer(WORD_BPE), bpe.ChunkCoder(WORD_BPE)
+    raw = [t.encode() for t in texts]
+    got = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), bits)
+    assert [g[1] for g in got] == [" ".join(map(str, tok.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
+def test_bpe_is_wrong_without_the_repair(monkeypatch):
+    def only_joined(self, a, b, end=b""):
+        a += b or (self.merger.encode_single_piece(self.raw[a.pop()] + end) if end else [])
+
+    text = _spaceless(1, SPACELESS[0], 4)[-1] * 3
+    want, raw = bpe.tokenizer(WORD_BPE).encode(text, add_special_tokens=False).ids, np.frombuffer(text.encode(), np.uint8)
+    said = lambda: bpe.ChunkCoder(WORD_BPE).encode(raw, np.array([0, len(raw)]), 3)[0][0]
+    assert said() == len(want) and len(bpe.cuts(raw, 3)) > 5
+    bpe.word_coder.cache_clear()
+    monkeypatch.setattr(bpe.WordCoder, "_repair", only_joined)
+    assert said() > len(want)
+
+
+def test_bpe_reuses_parts_of_long_words():
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    coder = bpe.ChunkCoder(WORD_BPE)
+    coder.word.open.clear()
+    raw = np.frombuffer((word + "x" + word).encode(), np.uint8)
+    assert len(coder.encode(raw, np.array([0, len(raw)]))[0][1].split()) > 1000
+    parts = len(bpe.cuts(np.frombuffer(word.encode(), np.uint8)))
+    assert parts > 30 and len(coder.word.open) <= parts + 4
+
+
 def test_packing_keeps_every_token_once(spark, real):
     texts = [t or "" for t in strange()] + list(real.values())
     tok = packing.tokenizer(BYTE_BPE)
