@@ -344,18 +344,46 @@ def test_packing_keeps_every_token_once(spark, real):
     assert padding <= 0.01 * total
 
 
-def test_packing_limits_segments_and_loss():
-    config = packing.PackConfig(tokens=64, segments=3, loss=40, waiting=8)
+def _pack_all(config, ids):
     packer, out = packing.Packer(config, 0), []
-    lengths = [random.Random(1).randrange(1, 90) for _ in range(200)]
-    for k, n in enumerate(lengths):
-        out += packer.add(k, n)
+    for k, x in enumerate(ids):
+        out += packer.add(k, packing.bearing(x))
     out += packer.finish()
+    assert not packer.sums
+    at = defaultdict(int)
+    for doc, start, length, _, _ in sorted(out):
+        assert start == at[doc] and length > 0
+        at[doc] += length
+    assert [at[k] for k in range(len(ids))] == [len(x) for x in ids]
     by = defaultdict(list)
     for doc, start, length, seq, offset in out:
-        by[seq].append(length)
-    assert all(len(v) <= 3 and sum(v) <= 64 and sum(x - 1 for x in v) <= 40 for v in by.values())
-    assert sum(map(sum, by.values())) == sum(lengths)
+        assert offset == sum(len(p) for p in by[seq])
+        by[seq].append(ids[doc][start : start + length])
+    return by
+
+
+def _plain_loss(piece):
+    return sum(x != y for x, y in itertools.pairwise(piece.tolist()))
+
+
+def test_packing_limits_segments_and_loss():
+    rng = np.random.default_rng(1)
+    ids = [np.repeat(rng.integers(0, 9, n), rng.integers(1, 3, n))[:n].astype(np.uint32) for n in rng.integers(1, 300, 200)]
+    for config in (packing.PackConfig(tokens=64, segments=3, loss=40, waiting=8), packing.PackConfig(tokens=64, segments=64, loss=20, waiting=8, least=1)):
+        by = _pack_all(config, ids)
+        assert all(len(v) <= config.segments and sum(map(len, v)) <= 64 and sum(map(_plain_loss, v)) <= config.loss for v in by.values())
+
+
+def test_packing_production_limits_bind(spark, real):
+    """Without the limit on loss-bearing tokens, or on segments, sequences would be others."""
+    tok, config = packing.byte_coder(BYTE_BPE, RANKS), packing.PackConfig()
+    ids = [np.append(np.frombuffer(tok(t), np.uint32), np.uint32(1)) for t in real.values()]
+    by = _pack_all(config, ids)
+    free = _pack_all(packing.PackConfig(loss=10**6), ids)
+    loss = [sum(map(_plain_loss, v)) for v in by.values()]
+    assert max(loss) == config.loss and max(sum(map(_plain_loss, v)) for v in free.values()) > config.loss
+    short = [np.array([5, 1], np.uint32)] * 3000
+    assert max(len(v) for v in _pack_all(config, short).values()) == config.segments < max(len(v) for v in _pack_all(packing.PackConfig(segments=10**6), short).values())
 
 
 # --- chat -------------------------------------------------------------------------------------------------------------------------
