@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import bpe, chat, embeddings, fingerprint, jaccard, licenses, packing, pii, quality, secrets
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = os.environ.get("FOLIO_TOKENIZERS", "/opt/tokenizers")
+#: A folder of the public tokenizers' files, if they are not to be taken from where their package is.
+TOKENIZERS = os.environ.get("FOLIO_TOKENIZERS")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +50,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digested(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digested(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +62,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_licenses, op4_secrets, op5_jaccard, op6_embeddings, op7_bpe, op8_chat, op9_fingerprints, op10_packing)}

@@ -12,10 +12,10 @@ import numpy as np
 import pytest
 
 from folio.llm import bpe, chat, embeddings, fingerprint, jaccard, licenses, packing, pii, quality, secrets
-from folio.llm.queries import QUERIES, TOKENIZERS, table
+from folio.llm.queries import QUERIES, table, vocabulary
 from folio.llm.words import shingle_sets
 
-WORD_BPE, BYTE_BPE, RANKS = (f"{TOKENIZERS}/{n}" for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+WORD_BPE, BYTE_BPE, RANKS = (vocabulary(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, spans int"
 
 
@@ -489,6 +489,22 @@ def test_ten_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
 
 
+def test_pipeline_leaves_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    same, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"x{k}" for k in range(40))
+    rows = [(5, same), (5, same), (7, same), (9, other), (9, "another text"), (None, "no id"), (None, "no id"), (None, None), (None, None), (11, None), (11, None), (12, "alone")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(5, same), (9, other), (9, "another text"), (None, "no id"), (None, None), (11, None), (12, "alone")])
+    unique = docs.where("doc_id = 7 or doc_id = 12")
+    assert corpus_pipeline.drop_near_duplicates(spark, unique, "").count() == 2
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, "").count() == 0, name
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
