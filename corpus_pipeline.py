@@ -3,8 +3,8 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 
-Rejected documents go at the first stage; of each group of near-duplicates the document with the smallest id stays; personal
-data are masked in the text; what is left is packed into sequences.
+Rejected documents go at the first stage; of each group of near-duplicates the document with the smallest id stays, and of rows with equal
+id and text one (rows that share an id but not the text both stay); personal data are masked in the text; what is left is packed into sequences.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import jaccard, packing, pii, quality
-from folio.llm.queries import TOKENIZERS, table
+from folio.llm.queries import table, vocabulary
 from folio.llm.scratch import saved
 
+#: So many ids are broadcast at most.
+BROADCAST_IDS = 1_000_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
@@ -24,7 +27,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.components(docs)
     surplus = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(surplus, "doc_id", "left_anti").select(*docs.columns)
+    # rows that repeat an id are none or few: only their texts are shuffled; those without an id are compared by text
+    again = saved(kept.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    n = again.count()
+    if not n:
+        return kept
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +43,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
