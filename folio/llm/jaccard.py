@@ -1,22 +1,26 @@
 """N-gram Jaccard self-join by a token-group matrix: exact components of documents whose shingle sets are alike.
 
-Documents with equal sets are one class. Similar classes are dealt to groups of bounded size; a group keeps the union of
-its members' tokens. A query opens a group only if its overlap with that union can reach the threshold, and members are
-verified exactly.
+Sets that look alike are dealt to groups of bounded size, and each group's token union is stored. A query set is held against the stored
+unions first: how many of its tokens a union holds is an upper bound of what any member shares with it. Only groups whose bound reaches
+what a link needs are opened, and their members compared.
 
 1. Every document is hashed into its set (profiles): size and two checksums; equal profiles are one class.
-2. Tokens have a common order: those that very many documents hold come last, others by hash. The first half of each set travels
-   in columnar blocks to buckets, which count the tokens that each class has in common with any other. Of a set that links, at
-   least (half of it less the quarter that may be missing) of these tokens are its partner's too; a class with fewer common tokens
-   has no partner. The others' sets are kept, and from them each token's list of classes; equal lists are kept once, with the number
-   of their tokens.
-3. Classes that share lists form groups (those with the same hub, in cells of bounded size). Within a cell all members are
-   compared by one product of incidence matrices; what links becomes a component.
-4. The matrix of lists and groups then gives, for each class, the groups that hold a class of another component with which it shares
-   enough tokens (asked from the smaller component's side). Those groups are opened, and a query is compared only where the
-   union bound allows it. So every pair that could link is either in one component already or verified.
-
-Links inside a component that is known need no further proof; so a large group of copies costs cells, not all its pairs.
+2. Tokens have a common order: those that many documents hold (hot ones, a bounded list that is broadcast) come last, others by hash. The
+   first half of each set leads. Of a set that links, at least (half of it less the quarter that may be missing) of its leading tokens
+   lead in its partner too. Buckets count the cold leading tokens that a class has in common with any other; hot ones need no counting and do
+   not travel. A class with fewer common tokens has no partner; the others' sets are kept.
+3. Groups: a set with enough hot leading tokens goes to the first of them, else to the most frequent cold leading token that it shares, among
+   those that fit a group. Larger groups are cut by hash, and one set of the whole is a guest in each part. All members of a group are
+   compared by one product of incidence matrices; what links becomes a component. The union of the members' leading tokens is stored.
+4. The matrix: stored unions and queries' leading tokens meet by token; a hot token's queries are spread over several tasks, to each of
+   which the unions that hold it are sent. Counted are pairs of a query and a group that holds a member of a larger component (of two components the
+   smaller one asks). Pairs whose count reaches the bound are asked: the group is opened and its members are compared with the query.
+
+Every pair that could link thus is in one component already, in one group, or verified; links inside a component that is known need no further
+proof, so a large group of copies costs groups, not all its pairs.
+
+Sets are sets of 64-bit hashes of shingles, classes are told apart by size and 128 bits of checksum; links are exact for the hashes. That a
+collision changes a document's links is less likely than one in a million for 10**11 documents, as several of its tokens would have to collide.
 
 Defined results: null or empty text, or text without words, has n_shingles 0 and is its own component; fewer words than the width give
 one shingle; rows with a null id have a null component and link with nothing; rows that share an id count as one document with the
@@ -25,7 +29,7 @@ links of all their texts; repeated rows are alike and change nothing; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +46,8 @@ from folio.llm.words import lowered, mixed, shingle_sets
 @dataclass(frozen=True)
 class JaccardConfig:
     """Link where 100 * intersection >= percent * union. `lead`: percent of a set's tokens that are searched by; `cell` and
-    `cell_tokens`: members of a group and their tokens; `bucket`: leading tokens of a bucket; `hot_part`: a token is put last in the order if at least one document in so many leads with it."""
+    `cell_tokens`: members of a group and their tokens; `bucket`: leading tokens of a bucket; `hot`: a token may be put last in the order from so
+    many documents on, `hot_most`: but so many tokens at most (the most frequent ones), whatever the size of the corpus."""
 
     width: int = 5
     percent: int = 75
@@ -50,7 +55,8 @@ class JaccardConfig:
     cell: int = 768
     cell_tokens: int = 2_000_000
     bucket: int = 200_000
-    hot_part: int = 2000
+    hot: int = 64
+    hot_most: int = 400_000
 
 
 def _least(n: np.ndarray | int, percent: int):
@@ -110,8 +116,8 @@ def profiles(docs: DataFrame, config: JaccardConfig, key: str, text: str) -> Dat
     return map_blocks(docs, key, text, "doc_id long, n long, h1 long, h2 long, tokens binary, counts binary", work, _PROFILE)
 
 
-def hot_tokens(profile: DataFrame, n_docs: int, config: JaccardConfig) -> np.ndarray:
-    """Tokens that at least one document in `hot_part` leads with; their number is bounded whatever the corpus' size."""
+def hot_tokens(profile: DataFrame, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many documents lead with, and how many: all from a power of two on, the least that `hot` and `hot_most` allow."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,12 +125,30 @@ def hot_tokens(profile: DataFrame, n_docs: int, config: JaccardConfig) -> np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["token", "n"])
 
     counted = profile.where("tokens is not null").select("tokens", "counts").mapInArrow(unpack, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= max(48, n_docs // config.hot_part)).select("token").collect()
-    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
-
-
-_BLOCK = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
-#: Bytes of a token that travel beside its bucket; tokens that are equal in these only make candidates, which are verified.
+    counted = saved(counted.where(F.col("n") >= config.hot).withColumn("power", F.floor(F.log2("n")).cast("int")), "frequent-tokens")
+    least, room = 64, config.hot_most
+    for r in sorted(counted.groupBy("power").count().collect(), reverse=True):  # 64 rows at most
+        if room < r["count"]:
+            break
+        least, room = r["power"], room - r["count"]
+    found = sorted((r["token"] % (1 << 64), r["n"]) for r in counted.where(F.col("power") >= least).select("token", "n").collect())  # hot_most rows at most
+    dropped(counted)
+    return np.array([t for t, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def arranged(tokens: np.ndarray, at: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's tokens in the common order, and how many of them are cold."""
+    n = np.diff(at)
+    if not len(hot) or not len(tokens):
+        return tokens, n
+    is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    if not is_hot.any():
+        return tokens, n
+    row = np.repeat(np.arange(len(n)), n)
+    return tokens[np.argsort(2 * row + is_hot, kind="stable")], n - np.bincount(row[is_hot], minlength=len(n))
+
+
+#: Lower bytes of a token that travel beside its bucket, which is named by upper bits; tokens that are equal in these only make candidates, which are verified.
 TOKEN_BYTES = 6
 
 
@@ -138,169 +162,243 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _columnar(tokens: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Tokens cut short, the distinct ids, and for each token its id's place among them."""
-    known, place = np.unique(ids, return_inverse=True)
-    return _short(tokens), known.tobytes(), place.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes()
+_DEALT = pa.schema([("bucket", pa.int64()), ("side", pa.int32()), ("tokens", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("places", pa.binary())])
+_DEALT_DDL = "bucket long, side int, tokens binary, ids binary, marks binary, places binary"
+#: Tokens that a task deals out at once.
+DEAL = 1 << 20
 
 
-Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+class Dealer:
+    """Collects tokens with the ids that hold them (and a mark of each id) and gives rows by bucket: distinct ids, and for each token its id's place."""
 
+    def __init__(self, side: int = 0):
+        self.side, self.kept, self.size = side, [], 0
 
-def _leading(found: Iterator[Batch], hot: np.ndarray, bits: int, config: JaccardConfig) -> Iterator[dict]:
-    """From (ids, checksums, which of them count, tokens, starts) of sets: their leading tokens and ids, a row for each bucket (a token's upper bits) and piece of input."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    seen: set[tuple[int, int]] = set()
+    def add(self, bucket: np.ndarray, tokens: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> Iterator[dict]:
+        self.kept.append((bucket, tokens, ids, marks))
+        self.size += len(tokens)
+        if self.size >= DEAL:
+            yield self.rows()
 
-    def send() -> dict:
-        tokens, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.argsort(tokens)
-        tokens, ids = tokens[order], ids[order]
-        bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(tokens), np.int32)
+    def rows(self) -> dict:
+        bucket, tokens, ids, marks = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        self.kept, self.size = [], 0
+        order = np.argsort(bucket, kind="stable")
+        bucket, tokens, ids, marks = bucket[order], tokens[order], ids[order], marks[order]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        pairs = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True))
-        kept.clear()
-        seen.clear()
-        made = [_columnar(tokens[a:b], ids[a:b]) for a, b in pairs]
-        return {"bucket": bucket[first], "tokens": [m[0] for m in made], "ids": [m[1] for m in made], "places": [m[2] for m in made]}
-
-    size = 0
-    for ids, sums, ok, tokens, at in found:
-        n = np.diff(at)
-        place = np.arange(len(tokens)) - np.repeat(at[:-1], n)
-        if len(hot):
-            is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-            before = np.concatenate([[0], np.cumsum(is_hot)])
-            hot_before = before[:-1] - np.repeat(before[at[:-1]], n)
-            cold = np.repeat(n - (before[at[1:]] - before[at[:-1]]), n)
-            place = np.where(is_hot, cold + hot_before, place - hot_before)
-        fresh = np.zeros(len(n), bool)
-        for k in np.flatnonzero(ok).tolist():  # copies count once
-            if (h := (int(ids[k]), int(sums[k]))) not in seen:
-                seen.add(h)
-                fresh[k] = True
-        lead = (place < np.repeat(_lead(n, config), n)) & np.repeat(fresh, n)
-        kept.append((tokens[lead], np.repeat(ids, n)[lead]))
-        size += int(lead.sum())
-        if size >= 1 << 20:
-            yield send()
-            size = 0
-    if size:
-        yield send()
-
-
-_BLOCK_DDL = "bucket int, tokens binary, ids binary, places binary"
-
-
-def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig, key: str, text: str) -> DataFrame:
-    """Leading tokens of all documents; the ids are the sets' first checksums."""
-
-    def batches(found: Iterator[TextBlock]) -> Iterator[Batch]:
-        for block in found:
-            tokens, at = _sets(block, config.width)
-            sums = _sums(tokens, at)[0]
-            yield sums, sums, np.asarray(block.rows.column(1).is_valid()), tokens, at
-
-    return map_blocks(docs, key, text, _BLOCK_DDL, lambda found: _leading(batches(found), hot, bits, config), _BLOCK)
+        out: dict = {"bucket": bucket[first], "side": np.full(len(first), self.side, np.int32), "tokens": [], "ids": [], "marks": [], "places": []}
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            known, one, place = np.unique(ids[a:b], return_index=True, return_inverse=True)
+            out["tokens"].append(_short(tokens[a:b]))
+            out["ids"].append(known.tobytes())
+            out["marks"].append(marks[a:b][one].tobytes())
+            out["places"].append(place.astype(np.uint16 if len(known) < 1 << 16 else np.uint32).tobytes())
+        return out
 
+    def rest(self) -> Iterator[dict]:
+        if self.size:
+            yield self.rows()
 
-def set_blocks(sets: DataFrame, hot: np.ndarray, bits: int, config: JaccardConfig) -> DataFrame:
-    """Leading tokens of sets that are at hand; the ids are documents, which may have several sets."""
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
-        for b in found:
-            for start in range(0, b.num_rows, 512):
-                ids, raw = b.column(0).slice(start, 512).to_numpy(), b.column(1).slice(start, 512).to_pylist()
-                tokens, at = np.frombuffer(b"".join(raw), np.uint64), np.cumsum([0, *(len(r) // 8 for r in raw)])
-                yield ids, _sums(tokens, at)[0], np.ones(len(ids), bool), tokens, at
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _leading(batches(found), hot, bits, config):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _BLOCK], schema=_BLOCK)
 
-    return sets.select("doc_id", "tokens").mapInArrow(run, _BLOCK_DDL)
+def _held(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of dealt rows: tokens, the place of each one's id, the distinct ids and their marks."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("tokens", "ids", "marks", "places")), strict=True))
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known, marks = [np.frombuffer(r[1], np.int64) for r in rows], [np.frombuffer(r[2], np.int64) for r in rows]
+    ids, one, where = np.unique(np.concatenate(known), return_index=True, return_inverse=True)
+    at = np.cumsum([0, *map(len, known)])
+    places = np.concatenate([where[a + np.frombuffer(r[3], np.uint16 if len(k) < 1 << 16 else np.uint32)] for r, k, a in zip(rows, known, at, strict=False)])
+    return np.concatenate([_long(r[0]) for r in rows]), places, ids, np.concatenate(marks)[one]
 
 
-def _bucket(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of token and id of a bucket, by token, of tokens that two ids or more have."""
-    rows = list(zip(*(group.column(c).to_pylist() for c in ("tokens", "ids", "places")), strict=True))
-    tokens = np.concatenate([_long(r[0]) for r in rows])
-    known = [np.frombuffer(r[1], np.int64) for r in rows]
-    ids = np.concatenate([k[np.frombuffer(r[2], np.uint16 if len(k) < 1 << 16 else np.uint32)] for k, r in zip(known, rows, strict=True)])
+def _common(tokens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of token and id, by token, of tokens that two ids or more have."""
     for distinct in (False, True):
-        order = np.lexsort((ids, tokens)) if distinct else np.argsort(tokens, kind="stable")
-        tokens, ids = tokens[order], ids[order]
+        order = np.lexsort((places, tokens)) if distinct else np.argsort(tokens, kind="stable")
+        tokens, places = tokens[order], places[order]
         if distinct:
             new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
-            tokens, ids = tokens[new], ids[new]
+            new[1:] = (tokens[1:] != tokens[:-1]) | (places[1:] != places[:-1])
+            tokens, places = tokens[new], places[new]
         same, often = tokens[1:] == tokens[:-1], np.zeros(len(tokens), bool)
         often[1:] |= same
         often[:-1] |= same
-        tokens, ids = tokens[often], ids[often]
-    return tokens, ids
+        tokens, places = tokens[often], places[often]
+    return tokens, places
 
 
-_COUNTS = pa.schema([("piece", pa.int32()), ("ids", pa.binary()), ("shared", pa.binary())])
-_SUMS = pa.schema([("h1", pa.int64()), ("_s", pa.int64())])
+def _bucket_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+
 
+def _pieces(ids: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where ascending unsigned ids are cut by their upper bits: the pieces' names and stretches."""
+    piece = _bucket_of(ids, bits)
+    first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return piece[first], list(zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)) if len(ids) else []
 
-def _shared(bits: int):
+
+# --- which classes can have a partner --------------------------------------------------------------------------------------------
+
+
+def leading_blocks(docs: DataFrame, hot: np.ndarray, bits: int, pieces: int, config: JaccardConfig, key: str, text: str) -> DataFrame:
+    """Cold leading tokens of all documents by bucket, with the sets' first checksums as ids; buckets below 0 (by pieces of the ids) say how many
+    hot tokens a set leads with."""
+
+    def work(found: Iterator[TextBlock]) -> Iterator[dict]:
+        cold_ones, hot_ones, seen = Dealer(), Dealer(1), set()
+        for block in found:
+            tokens, at = _sets(block, config.width)
+            sums, ok, n = _sums(tokens, at)[0], np.asarray(block.rows.column(1).is_valid()), np.diff(at)
+            tokens, cold = arranged(tokens, at, hot)
+            fresh = np.zeros(len(n), bool)
+            for k in np.flatnonzero(ok & (n > 0)).tolist():  # copies count once
+                if (h := int(sums[k])) not in seen:
+                    seen.add(h)
+                    fresh[k] = True
+            lead = np.where(fresh, _lead(n, config), 0)
+            mine = np.minimum(lead, cold)
+            place = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(mine, n)
+            sent = tokens[place]
+            yield from cold_ones.add(_bucket_of(sent, bits), sent, np.repeat(sums, n)[place], np.zeros(len(sent), np.int64))
+            more = np.flatnonzero(lead > mine)
+            if len(more):
+                ids = sums[more]
+                yield from hot_ones.add(-1 - _bucket_of(ids.view(np.uint64), pieces), np.zeros(len(ids), np.uint64), ids, (lead - mine)[more])
+            if len(seen) > DEAL:
+                seen.clear()
+        yield from cold_ones.rest()
+        yield from hot_ones.rest()
+
+    return map_blocks(docs, key, text, _DEALT_DDL, work, _DEALT)
+
+
+_COUNTS = pa.schema([("piece", pa.int64()), ("ids", pa.binary()), ("values", pa.binary()), ("tokens", pa.binary())])
+_COUNTS_DDL = "piece long, ids binary, values binary, tokens binary"
+
+
+def _cut(ids: np.ndarray, values: np.ndarray, tokens: np.ndarray | None, bits: int) -> pa.Table:
+    order = np.argsort(ids.view(np.uint64))  # unsigned, so that pieces are stretches
+    ids, values = ids[order], values[order].astype(np.int64)
+    names, cuts = _pieces(ids.view(np.uint64), bits)
+    own = [tokens[order][a:b].tobytes() for a, b in cuts] if tokens is not None else [None] * len(cuts)
+    return pa.table({"piece": pa.array(names, pa.int64()), "ids": pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()), "values": pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()), "tokens": pa.array(own, pa.binary())}, schema=_COUNTS)
+
+
+def _shared(bits: int) -> Callable[[pa.Table], pa.Table]:
     """How many tokens of a bucket each class has in common with any other; a row for each piece (the id's upper bits) that has any."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, count = np.unique(_bucket(group)[1].view(np.uint64), return_counts=True)  # unsigned, so that pieces are stretches
-        piece = (ids >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(ids), np.int32)
-        first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        cut = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)) if len(ids) else []
-        return pa.table({"piece": pa.array(piece[first], pa.int32()), "ids": pa.array([ids[x:y].tobytes() for x, y in cut], pa.binary()), "shared": pa.array([count[x:y].astype(np.int32).tobytes() for x, y in cut], pa.binary())}, schema=_COUNTS)
+        tokens, places, ids, marks = _held(group)
+        if group.column("bucket")[0].as_py() < 0:
+            return _cut(ids, marks, None, bits)
+        count = np.bincount(_common(tokens, places)[1], minlength=len(ids))
+        return _cut(ids[count > 0], count[count > 0], None, bits)
 
     return run
 
 
+_SUMS = pa.schema([("h1", pa.int64()), ("_s", pa.int64())])
+
+
 def _summed(group: pa.Table) -> pa.Table:
     """The classes of a piece with the sums of their counts."""
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("ids").to_pylist()])
-    shared = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("shared").to_pylist()])
+    values = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("values").to_pylist()])
     known, place = np.unique(ids, return_inverse=True)
-    return pa.table({"h1": pa.array(known, pa.int64()), "_s": pa.array(np.bincount(place, weights=shared).astype(np.int64), pa.int64())}, schema=_SUMS)
-
-
-_LIST = pa.schema([("list", pa.int64()), ("shared", pa.int64()), ("ids", pa.list_(pa.int64()))])
-#: A list of classes is written in rows of at most so many ids.
-LIST_ROW = 2048
+    return pa.table({"h1": pa.array(known, pa.int64()), "_s": pa.array(np.bincount(place, weights=values).astype(np.int64), pa.int64())}, schema=_SUMS)
 
 
-def _lists(group: pa.Table) -> pa.Table:
-    """The distinct lists of two or more classes that share a token of this bucket, and how many tokens each has."""
-    tokens, ids = _bucket(group)
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-    size = np.diff([*first.tolist(), len(tokens)])
-    total = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(mixed(ids.view(np.uint64)), out=total[1:])
-    name = (total[first + size] - total[first]).view(np.int64) if len(first) else np.zeros(0, np.int64)
-    several = size > 1
-    name, first, size = name[several], first[several], size[several]
-    _, pick, times = np.unique(name, return_index=True, return_counts=True)
-    out: tuple[list, list, list] = ([], [], [])
-    for k, n in zip(pick.tolist(), times.tolist(), strict=True):
-        for a in range(int(first[k]), int(first[k] + size[k]), LIST_ROW):
-            out[0].append(int(name[k]))
-            out[1].append(n)
-            out[2].append(ids[a : min(a + LIST_ROW, int(first[k] + size[k]))])
-    return pa.table({"list": pa.array(out[0], pa.int64()), "shared": pa.array(out[1], pa.int64()), "ids": pa.array(out[2], pa.list_(pa.int64()))}, schema=_LIST)
+# --- sets and their groups ---------------------------------------------------------------------------------------------------------
 
+_SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("cold", pa.int64()), ("home", pa.int64()), ("salts", pa.int64())])
+_SET_DDL = "doc_id long, sid long, n long, tokens binary, cold long, home long, salts long"
 
-_SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
+def _full_sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, config: JaccardConfig) -> DataFrame:
+    """Sets in the common order, how many of their leading tokens are cold, and the group of those with enough hot leading tokens."""
 
-def _full_sets(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     def work(found: Iterator[TextBlock]) -> Iterator[dict]:
         for block in found:
             tokens, at = _sets(block, config.width)
-            yield {"doc_id": block.rows.column(1), "n": np.diff(at), "tokens": [tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]}
+            sums, n = _sums(tokens, at)[0], np.diff(at)
+            tokens, cold = arranged(tokens, at, hot)
+            lead = _lead(n, config)
+            mine, home, salts = np.minimum(lead, cold), np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+            known = np.zeros(len(n), bool)
+            for k in np.flatnonzero(lead > mine).tolist():
+                if lead[k] - mine[k] >= fewest_shared(int(n[k]), config):
+                    token = tokens[at[k] + cold[k]]
+                    known[k], home[k] = True, np.int64(token.view(np.int64))
+                    salts[k] = -(-int(hot_n[np.searchsorted(hot, token)]) // config.cell)
+            yield {
+                "doc_id": block.rows.column(1), "sid": sums, "n": n, "tokens": [tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],
+                "cold": mine, "home": pa.array(home, pa.int64(), mask=~known), "salts": salts,
+            }
+
+    return map_blocks(docs, "key", "text", _SET_DDL, work, _SET)
+
+
+def _flat(batch: pa.RecordBatch, step: int = 512) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with their `tokens` in one array, and where each row's begin."""
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        raw = part.column(part.schema.get_field_index("tokens")).to_pylist()
+        yield part, np.frombuffer(b"".join(raw), np.uint64), np.cumsum([0, *(len(r) // 8 for r in raw)])
+
+
+def _home_blocks(sets: DataFrame, bits: int) -> DataFrame:
+    """Cold leading tokens of sets by bucket."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer()
+        for b in found:
+            for part, tokens, at in _flat(b):
+                n, sids = np.diff(at), part.column(0).to_numpy()
+                place = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(part.column(2).to_numpy(), n)
+                sent = tokens[place]
+                for out in dealer.add(_bucket_of(sent, bits), sent, np.repeat(sids, n)[place], np.zeros(len(sent), np.int64)):
+                    yield _batch(out, _DEALT)
+        for out in dealer.rest():
+            yield _batch(out, _DEALT)
+
+    return sets.where("home is null").select("sid", "tokens", "cold").mapInArrow(run, _DEALT_DDL)
+
+
+def _best(ids: np.ndarray, score: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id the token with the highest score, the smallest of equals."""
+    order = np.lexsort((tokens, -score, ids))
+    first = order[np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))] if len(ids) else order
+    return ids[first], score[first], tokens[first]
+
+
+def _votes(bits: int, cell: int) -> Callable[[pa.Table], pa.Table]:
+    """The token of a bucket that each set would be grouped by: the most frequent of those that fit a group, else the rarest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        held, places, ids, _ = _held(group)
+        tokens, places = _common(held, places)
+        if not len(tokens):
+            return _cut(ids[:0], ids[:0], held[:0], bits)
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        size = np.diff([*first.tolist(), len(tokens)])
+        return _cut(*_best(ids[places], np.repeat(np.where(size <= cell, size, -size), size), tokens), bits)
+
+    return run
 
-    return map_blocks(docs, "key", "text", "doc_id long, n long, tokens binary", work, _SET)
+
+_HOMES = pa.schema([("sid", pa.int64()), ("voted", pa.int64())])
+
+
+def _elected(group: pa.Table) -> pa.Table:
+    ids, score, tokens = (np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()]) for c, kind in (("ids", np.int64), ("values", np.int64), ("tokens", np.uint64)))
+    ids, _, tokens = _best(ids, score, tokens)
+    return pa.table({"sid": pa.array(ids, pa.int64()), "voted": pa.array(tokens.view(np.int64), pa.int64())}, schema=_HOMES)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192) -> np.ndarray:
@@ -332,7 +430,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 8192)
     return out
 
 
-_LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+_LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("union", pa.binary())])
+_LINK_DDL = "src long, dst long, union binary"
 
 
 def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -340,40 +439,118 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return ids, group.column("n").to_numpy(), [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())}, schema=_LINK)
+def _links(pairs: list[tuple[int, int]], union: tuple[int, bytes] | None = None) -> pa.Table:
+    """Rows of links; the last row may be a group and its union."""
+    a, b, u = [p[0] for p in pairs], [p[1] for p in pairs], [None] * len(pairs)
+    if union:
+        a, b, u = [*a, union[0]], [*b, None], [*u, union[1]]
+    return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64()), "union": pa.array(u, pa.binary())}, schema=_LINK)
 
 
-def _cell_links(percent: int):
+def _grouped(config: JaccardConfig) -> Callable[[pa.Table], pa.Table]:
+    """Links within a group, and the union of its members' leading tokens."""
+
     def run(group: pa.Table) -> pa.Table:
         ids, n, sets = _columns(group)
+        guest = group.column("guest").to_numpy(zero_copy_only=False)
         common = overlaps(sets, sets)
-        i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+        i, j = np.nonzero(np.triu(100 * common >= config.percent * (n[:, None] + n[None, :] - common), 1))
         f = Forest()
         pairs = [(a, b) for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True) if a != b and f.join(a, b)]
-        return _links(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+        lead = _lead(n, config)
+        union = np.unique(np.concatenate([s[:k] for s, k, g in zip(sets, lead.tolist(), guest.tolist(), strict=True) if not g]))
+        return _links(pairs, (group.column("gid")[0].as_py(), union.tobytes()))
 
     return run
 
 
-def _opened_links(percent: int):
+# --- the matrix of tokens and groups ------------------------------------------------------------------------------------------------
+
+
+def _matrix_blocks(rows: DataFrame, side: int, hot: np.ndarray, hot_n: np.ndarray, bits: int, config: JaccardConfig) -> DataFrame:
+    """Tokens of queries (side 0: id, tokens, rank, how many lead) or of unions (side 1: all lead) by bucket. A hot token that many documents hold has buckets
+    of its own: one query is in one of them, a union in all."""
+    heavy = np.maximum(1, hot_n * 4 // config.bucket)
+    base = np.concatenate([[0], np.cumsum(heavy)])
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(side)
+        for b in found:
+            for part, tokens, at in _flat(b):
+                n = np.diff(at)
+                place = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(part.column(3).to_numpy(), n)
+                sent, ids, marks = tokens[place], np.repeat(part.column(0).to_numpy(), n)[place], np.repeat(part.column(2).to_numpy(), n)[place]
+                bucket = _bucket_of(sent, bits)
+                if len(hot):
+                    k = np.minimum(np.searchsorted(hot, sent), len(hot) - 1)
+                    many = (hot[k] == sent) & (heavy[k] > 1)
+                    k = k[many]
+                    if side:
+                        salts = heavy[k]
+                        own = np.repeat(base[k], salts) + np.arange(int(salts.sum())) - np.repeat(np.concatenate([[0], np.cumsum(salts)[:-1]]), salts) if len(k) else k
+                        sent, ids, marks = (np.concatenate([x[~many], np.repeat(x[many], salts)]) for x in (sent, ids, marks))
+                    else:
+                        own = base[k] + mixed(ids[many].view(np.uint64)) % heavy[k].astype(np.uint64)
+                        sent, ids, marks = (np.concatenate([x[~many], x[many]]) for x in (sent, ids, marks))
+                    bucket = np.concatenate([bucket[~many], -1 - own.astype(np.int64)])
+                for out in dealer.add(bucket, sent, ids, marks):
+                    yield _batch(out, _DEALT)
+        for out in dealer.rest():
+            yield _batch(out, _DEALT)
+
+    return rows.mapInArrow(run, _DEALT_DDL)
+
+
+_MET = pa.schema([("sid", pa.int64()), ("gid", pa.int64()), ("c", pa.int64())])
+#: Pairs of a query's token and a group that are expanded at once.
+EXPAND = 1 << 22
+
+
+def _met(group: pa.Table) -> pa.Table:
+    """For each query and group how many tokens of this bucket both have, where the group holds a component of higher rank."""
+    sides = group.column("side").to_numpy()
+    qt, qp, qid, rank = _held(group.filter(pa.array(sides == 0)))
+    gt, gp, gid, top = _held(group.filter(pa.array(sides == 1)))
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(qt) and len(gt):
+        order = np.argsort(gt, kind="stable")
+        gt, gp = gt[order], gp[order]
+        first = np.flatnonzero(np.concatenate([[True], gt[1:] != gt[:-1]]))
+        known, size, most = gt[first], np.diff([*first.tolist(), len(gt)]), np.maximum.reduceat(top[gp], first)
+        k = np.minimum(np.searchsorted(known, qt), len(known) - 1)
+        able = (known[k] == qt) & (rank[qp] < most[k])
+        k, q = k[able], qp[able]
+        total = np.cumsum(size[k])
+        a = 0
+        while a < len(k):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPAND, side="right")))
+            times = size[k[a:b]]
+            within = np.arange(int(times.sum())) - np.repeat(np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            x, y = np.repeat(q[a:b], times), gp[np.repeat(first[k[a:b]], times) + within]
+            above = rank[x] < top[y]
+            kept.append(np.unique(x[above] * len(gid) + y[above], return_counts=True))
+            a = b
+    if not kept:
+        return _MET.empty_table()
+    pair, where = np.unique(np.concatenate([p for p, _ in kept]), return_inverse=True)
+    count = np.bincount(where, weights=np.concatenate([c for _, c in kept]), minlength=len(pair)).astype(np.int64)
+    return pa.table({"sid": pa.array(qid[pair // len(gid)], pa.int64()), "gid": pa.array(gid[pair % len(gid)], pa.int64()), "c": pa.array(count, pa.int64())}, schema=_MET)
+
+
+def _opened(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between queries and members of other components."""
+
     def run(group: pa.Table) -> pa.Table:
         asks = group.column("ask").to_numpy(zero_copy_only=False)
         parts = [group.filter(pa.array(asks)), group.filter(pa.array(~asks))]
         if not all(p.num_rows for p in parts):
-            return _links(np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return _links([])
         (qi, qn, qs), (mi, mn, ms) = (_columns(p) for p in parts)
         qc, mc = (p.column("component").to_numpy() for p in parts)
-        union = np.unique(np.concatenate(ms))
-        able = [k for k, s in enumerate(qs) if int((union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s).sum()) >= _least(len(s), percent)]
-        if not able:
-            return _links(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        common = overlaps([qs[k] for k in able], ms)
-        ok = (100 * common >= percent * (qn[able][:, None] + mn[None, :] - common)) & (qc[able][:, None] != mc[None, :])
-        i, j = np.nonzero(ok)
+        common = overlaps(qs, ms)
+        i, j = np.nonzero((100 * common >= percent * (qn[:, None] + mn[None, :] - common)) & (qc[:, None] != mc[None, :]))
         f = Forest()
-        pairs = [(qi[able[a]], mi[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if f.join(int(qc[able[a]]), int(mc[b]))]
-        return _links(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
+        return _links([(int(qi[a]), int(mi[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True) if f.join(int(qc[a]), int(mc[b]))])
 
     return run
 
@@ -383,64 +560,69 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     profile = saved(profiles(docs, config, key, text), "profiles")
     rows = profile.where("doc_id is not null and n > 0")
     total = rows.agg(F.count("*").alias("docs"), F.sum(F.expr(f"greatest(n - (({config.percent} * n + 99) div 100) + 1, ({config.lead} * n + 99) div 100)")).alias("lead")).first()
-    hot = hot_tokens(profile, total["docs"], config)
+    hot, hot_n = hot_tokens(profile, config)
     bits = max(0, int(total["lead"] or 0) // config.bucket).bit_length()
     classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # an id with several texts ties their classes together
+    several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).where("_lo <> _hi").select("_id")
+    tied = saved(rows.join(several, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "tied")
 
     least = F.expr(f"(({config.percent} * n + 99) div 100)")
     far_least = F.floor((config.percent * least + 99) / 100)
     fewest = F.greatest(F.lit(1), F.greatest(least - far_least + 1, F.floor((config.lead * least + 99) / 100)) - (least - far_least) - 1)
     pieces = (int(total["docs"]) // 50_000).bit_length()
-    counts = leading_blocks(docs, hot, bits, config, key, text).groupBy("bucket").applyInArrow(_shared(pieces), "piece int, ids binary, shared binary")
+    counts = leading_blocks(docs, hot, bits, pieces, config, key, text).groupBy("bucket").applyInArrow(_shared(pieces), _COUNTS_DDL)
     counts = counts.groupBy("piece").applyInArrow(_summed, "h1 long, _s long")
     able = saved(counts.join(classes, "h1").where(F.col("_s") >= fewest).select(F.col("rep").alias("key")).distinct(), "able")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = saved(_full_sets(texts.join(able, "key", "left_semi"), config), "sets").where("n > 0")
+    sets = saved(_full_sets(texts.join(able, "key", "left_semi"), hot, hot_n, config), "sets")
+    found = sets.where("n > 0")
     dropped(able)
 
-    # a list is heavier than a token, so there are more buckets; then a list's rows follow its tokens, not the number of buckets
-    led = sets.agg(F.sum(F.expr(f"({config.lead} * n + 99) div 100")).alias("led")).first()["led"] or 0
-    lists = set_blocks(sets, hot, (16 * int(led) // config.bucket).bit_length(), config).groupBy("bucket").applyInArrow(_lists, "list long, shared long, ids array<long>")
-    lists = lists.groupBy("list", "ids").agg(F.sum("shared").alias("shared"))
-    sizes = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"))
-    named = saved(lists.select("list", "shared", F.explode("ids").alias("rep")).join(sizes, "rep").select("list", "shared", "rep", "n"), "list-members")
-    again = named.groupBy("rep", "n").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep").distinct()
-    fewer = named.join(again, "rep", "left_semi")
-    fewer = saved(fewer.join(fewer.groupBy("list").agg(F.count("*").alias("_n")).where("_n > 1"), "list", "left_semi"), "list-members")
-    dropped(named)
-    named = fewer
-
-    # hubs: of the smallest classes of a class' lists, the one that most of the lists have
-    smallest = named.groupBy("list").agg(F.min("rep").alias("hub"))
-    votes = named.join(smallest, "list").groupBy("rep", "hub").count()
-    homes = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select("rep", (-F.col("best.hub")).alias("hub"))
-    size = homes.join(sizes, "rep").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("cells"))
-    cells = homes.join(size, "hub").select("rep", "hub", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int").alias("cell"), "cells")
-    cells = saved(cells, "cells")
-
-    placed = cells.select("rep", "hub", "cell").unionByName(cells.select("hub", "cells").distinct().select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))).distinct()
-    within = placed.join(sets, F.col("rep") == F.col("doc_id")).select("hub", "cell", "doc_id", "n", "tokens")
-    near = saved(within.groupBy("hub", "cell").applyInArrow(_cell_links(config.percent), "src long, dst long"), "cell-links")
-    first = connected(near)
-
-    # the matrix of lists and groups, where a list holds more than one component
-    labelled = named.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = labelled.join(cells.select("rep", "hub", "cell"), "rep")
+    # groups
+    led = int(found.agg(F.sum(F.expr(f"({config.lead} * n + 99) div 100")).alias("led")).first()["led"] or 0)
+    bits = max(0, 2 * led // config.bucket).bit_length()
+    voted = _home_blocks(found, bits).groupBy("bucket").applyInArrow(_votes(pieces, config.cell), _COUNTS_DDL).groupBy("piece").applyInArrow(_elected, "sid long, voted long")
+    placed = found.select("sid", "doc_id", "n", "home", "salts").distinct().join(voted, "sid", "left")
+    placed = placed.select("sid", "doc_id", "n", F.coalesce("home", "voted", "sid").alias("home"), F.pmod(F.xxhash64("sid"), "salts").cast("int").alias("salt"))
+    placed = saved(placed, "homes")
+    size = placed.groupBy("home", "salt").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("parts"))
+    placed_parts = placed.join(size, ["home", "salt"]).withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int"))
+    cells = saved(placed_parts.select("sid", "doc_id", "n", "home", F.xxhash64("home", "salt", "part").alias("gid")), "cells")
+    dropped(placed)
+    hosts = cells.groupBy("home").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.min(F.struct("sid", "doc_id", "gid")).alias("g")).where("lo <> hi")
+    guests = cells.select("home", "gid").distinct().join(hosts, "home").where(F.col("gid") != F.col("g.gid")).select(F.col("g.sid").alias("sid"), F.col("g.doc_id").alias("doc_id"), "gid", F.lit(True).alias("guest"))
+    seats = cells.select("sid", "doc_id", "gid", F.lit(False).alias("guest")).unionByName(guests)
+    unique = found.select("sid", "doc_id", "n", "tokens").dropDuplicates(["sid", "doc_id"])
+    near = saved(seats.join(unique, ["sid", "doc_id"]).select("gid", "guest", "doc_id", "n", "tokens").groupBy("gid").applyInArrow(_grouped(config), _LINK_DDL), "groups")
+    near_links, unions = near.where("union is null").select("src", "dst"), near.where("union is not null").select(F.col("src").alias("gid"), F.col("union").alias("tokens"))
+    first = connected(near_links.unionByName(tied))
+
+    # the matrix: which groups hold enough of a query's leading tokens
     weight = first.groupBy("component").agg(F.count("*").alias("weight"))
-    mixed_lists = labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    open_ = labelled.join(mixed_lists, "list", "left_semi").join(weight, "component", "left").withColumn("rank", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "component"))
-    open_ = saved(open_.select("list", "shared", "rep", "n", "component", "hub", "cell", "rank"), "open")
-    held = open_.groupBy("list", "hub", "cell").agg(F.max("rank").alias("top"))
-    met = open_.select("list", "shared", "rep", "n", "component", "rank").join(held, "list").where(F.col("rank") < F.col("top"))
-    asked = met.groupBy("rep", "n", "component", "hub", "cell").agg(F.sum("shared").alias("_s")).where(F.col("_s") >= fewest).select("rep", "n", "component", "hub", "cell")
-    asked = saved(asked, "asked")
-    salts = asked.groupBy("hub", "cell").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("salts"))
-    queries = asked.join(salts, ["hub", "cell"]).select("rep", "component", "hub", "cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("ask"))
-    members = cells.select("rep", "hub", "cell").join(salts, ["hub", "cell"]).join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("rep", F.coalesce("component", "rep").alias("component"), "hub", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ask"))
-    both = queries.unionByName(members).join(sets, F.col("rep") == F.col("doc_id")).select("hub", "cell", "salt", "ask", "component", "doc_id", "n", "tokens")
-    far = saved(both.groupBy("hub", "cell", "salt").applyInArrow(_opened_links(config.percent), "src long, dst long"), "opened-links")
-    final = connected(near.unionByName(far))
+    ranked = first.join(weight, "component").select(F.col("node").alias("doc_id"), "component", F.floor(F.log2("weight")).cast("long").alias("power"))
+    rank = F.shiftleft(F.coalesce("power", F.lit(0).cast("long")), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64("component"), 7))
+    members = cells.join(ranked, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = saved(members.select("sid", "doc_id", "n", "gid", "component", rank.alias("rank")), "members")
+    dropped(cells)
+    tops = members.groupBy("gid").agg(F.max("rank").alias("rank"))
+    held = unions.join(tops, "gid").select("gid", "tokens", "rank", (F.octet_length("tokens") / 8).cast("long").alias("lead"))
+    asking = members.groupBy("sid").agg(F.min("rank").alias("rank")).join(found.select("sid", "n", "tokens").dropDuplicates(["sid"]), "sid")
+    lead = F.expr(f"greatest(n - (({config.percent} * n + 99) div 100) + 1, ({config.lead} * n + 99) div 100)")
+    blocks = _matrix_blocks(asking.select("sid", "tokens", "rank", lead.cast("long").alias("lead")), 0, hot, hot_n, bits, config).unionByName(_matrix_blocks(held, 1, hot, hot_n, bits, config))
+    met = blocks.groupBy("bucket").applyInArrow(_met, "sid long, gid long, c long").groupBy("sid", "gid").agg(F.sum("c").alias("_s"))
+    asked = met.join(members.withColumnRenamed("gid", "own"), "sid").where((F.col("_s") >= fewest) & (F.col("gid") != F.col("own")))
+    asked = saved(asked.select("sid", "doc_id", "n", "component", "gid"), "asked")
+
+    # groups that are asked are opened
+    salts = asked.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("salts"))
+    queries = asked.join(salts, "gid").select("sid", "doc_id", "component", "gid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("ask"))
+    inside = members.join(salts, "gid").select("sid", "doc_id", "component", "gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("ask"))
+    both = queries.unionByName(inside).join(unique, ["sid", "doc_id"]).select("gid", "salt", "ask", "component", "doc_id", "n", "tokens")
+    far = saved(both.groupBy("gid", "salt").applyInArrow(_opened(config.percent), _LINK_DDL).select("src", "dst"), "opened-links")
+    final = connected(near_links.unionByName(far).unionByName(tied))
+    for old in (sets, near, members, asked, far, tied, first):
+        dropped(old)
 
     mapped = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("_component"))
     joined = profile.join(mapped, (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")

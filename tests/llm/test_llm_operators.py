@@ -185,7 +185,7 @@ def family(seed, copies, words=90, rate=0.05, line=""):
     return [line + " ".join(f"v{rng.randrange(10**6)}" if rng.random() < rate * rng.random() else w for w in base) for _ in range(copies)]
 
 
-@pytest.mark.parametrize("config", [jaccard.JaccardConfig(), jaccard.JaccardConfig(cell=4, bucket=50, hot_part=3)])
+@pytest.mark.parametrize("config", [jaccard.JaccardConfig(), jaccard.JaccardConfig(cell=4, bucket=50, hot=6), jaccard.JaccardConfig(cell=3, cell_tokens=200, bucket=10, hot=8, hot_most=300)])
 def test_jaccard_against_all_pairs(spark, config):
     line = "the one line that very many of these documents begin with today "
     texts = [t for s in range(6) for t in family(s, 14, rate=0.02 + 0.02 * s)] + [line + f"and {k} tail {k * k}" for k in range(30)] + family(99, 20, line=line) + strange()[4:] + ["a b c d e f g"] * 9 + [None, "", "x y", "x y", "x Y"]
@@ -212,6 +212,32 @@ def test_jaccard_texts_that_share_an_id(spark):
         assert got == {(5, 5), (8, 5), (9, 5), (11, 11)}
 
 
+def test_jaccard_ties_the_texts_of_an_id(spark):
+    """An id with one text like another document's and one like nobody's is one document."""
+    one, two = (family(seed, 1, rate=0)[0] for seed in (81, 82))
+    docs = spark.createDataFrame([(5, one), (8, one), (8, two), (9, "quite another text that stands alone here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.components(docs).collect()} == {(5, 5), (8, 5), (9, 9)}
+
+
+def test_jaccard_unions_bound_what_members_share():
+    """A union holds at least as many of a query's leading tokens as any member does, and linked sets reach the bound."""
+    config, rng = jaccard.JaccardConfig(), random.Random(6)
+    for _ in range(300):
+        base = [rng.getrandbits(64) for _ in range(rng.randrange(1, 120))]
+        sets = [np.array(sorted({x if rng.random() < 0.9 else rng.getrandbits(64) for x in base}), np.uint64) for _ in range(3)]
+        hot = np.array(sorted(rng.sample(base, len(base) // 3)), np.uint64)
+        lead = []
+        for s in sets:
+            tokens, _ = jaccard.arranged(s, np.array([0, len(s)]), hot)
+            lead.append(set(tokens[: int(jaccard._lead(np.int64(len(s)), config))].tolist()))
+        union = lead[1] | lead[2]
+        assert len(lead[0] & union) >= max(len(lead[0] & lead[1]), len(lead[0] & lead[2]))
+        for k in (1, 2):
+            common = len(set(sets[0].tolist()) & set(sets[k].tolist()))
+            if 100 * common >= 75 * (len(sets[0]) + len(sets[k]) - common):
+                assert len(lead[0] & union) >= jaccard.fewest_shared(len(sets[0]), config)
+
+
 def test_shingle_hashes_are_sets():
     texts = ["", "a", "a b c d", "a b c d e", "a b c d e a b c d e a b c d e"]
     raw = [t.encode() for t in texts]
