@@ -4,7 +4,8 @@ Every pair of neighbouring words of a text is a rolling k-gram (k = 2); its hash
 templates (a broadcast table of fixed size). A hit at word `pos` of a gram at place `tpos` of a template votes for the diagonal
 pos - tpos. Votes are counted by diagonal, neighbouring diagonals are merged into regions (words put in or left out shift a
 match by a few places), and regions are verified by the share of the template they cover and their length. A diagonal with
-all of a template's votes is an exact place of its phrase.
+all of a template's votes is an exact place of its phrase. Templates may be of any length: which of its grams a region covers is kept
+as bits, 62 a column, in as many columns as the longest template asks for.
 
 The join also compares the words themselves, so equal hashes of unequal grams do not count. One extra row per text carries its
 number of words through the join; so texts are read once and there is one shuffle, of the hits.
@@ -39,11 +40,34 @@ MORE = (
     ("mpl", "mozilla public license"),
     ("public-domain", "free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
+    (
+        "mit-grant",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+        "the free software foundation either version 3 of the license or at your option any later version",
+    ),
+    (
+        "apache-notice",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    ),
+    (
+        "bsd-terms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    ),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Diagonals this close are one region.
 SHIFT = 2
+#: Grams of a template that one column of bits stands for.
+BITS = 62
 #: A region covers this share of the template's grams within twice the template's length, or is exact.
 COVER = 0.75
 
@@ -80,8 +104,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.when(F.col("t") < 0, F.col("w2").cast("long")).alias("n_words"),
     )
     hits = hits.repartition("rid")  # all that follows groups by rid and more
+    masks = [f"seen{k}" for k in range(-(-max(r[3] for r in templates()) // BITS))]
+    bit = lambda k: F.expr(f"bit_or(if(tpos div {BITS} = {k}, shiftleft(1L, tpos % {BITS}), 0L))")
     lines = hits.groupBy("rid", "doc_id", "t", "label", "base", "grams", "diagonal").agg(
-        F.count("*").alias("votes"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"), F.min("tpos").alias("lo"), F.max("tpos").alias("hi"), F.max("n_words").alias("n_words")
+        F.count("*").alias("votes"), *[bit(k).alias(m) for k, m in enumerate(masks)], F.min("tpos").alias("lo"), F.max("tpos").alias("hi"), F.max("n_words").alias("n_words")
     )
     order = Window.partitionBy("rid", "t").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SHIFT).cast("int"), F.lit(0))
@@ -89,7 +115,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     exact = F.col("votes") == F.col("grams")
     regions = lines.groupBy("rid", "doc_id", "t", "label", "base", "grams", "region").agg(
         F.count_if(exact).alias("places"), F.min(F.when(exact, F.col("diagonal"))).alias("first"), F.max(F.when(exact, F.col("diagonal"))).alias("last"),
-        F.bit_count(F.bit_or("seen")).alias("covered"), (F.max(F.col("diagonal") + F.col("hi")) - F.min(F.col("diagonal") + F.col("lo")) + 2).alias("length"), F.max("n_words").alias("n_words"),
+        sum((F.bit_count(F.bit_or(m)) for m in masks), F.lit(0)).alias("covered"), (F.max(F.col("diagonal") + F.col("hi")) - F.min(F.col("diagonal") + F.col("lo")) + 2).alias("length"), F.max("n_words").alias("n_words"),
     )
     cover = F.when(F.col("t") >= 0, F.col("covered") / F.col("grams"))
     found = (F.col("t") >= 0) & ((F.col("places") > 0) | ((cover >= COVER) & (F.col("grams") > 2) & (F.col("length") <= 2 * (F.col("grams") + 1))))
@@ -113,12 +139,14 @@ with docs as (select row_number() over () as rid, doc_id, regexp_extract_all(tra
 tpl(t, label, base, grams, tpos, t1, t2) as (values {_values()}),
 ex as (select rid, unnest(w) as w1, generate_subscripts(w, 1) - 1 as pos from docs),
 gr as (select rid, pos, w1, lead(w1) over (partition by rid order by pos) as w2 from ex),
-ln as (select rid, t, label, base, grams, pos - tpos as diagonal, count(*) as votes, bit_or(1 << tpos) as seen, min(pos) as lo, max(pos) as hi
-       from gr join tpl on w1 = t1 and w2 = t2 group by all),
+hi as (select rid, t, label, base, grams, tpos, pos, pos - tpos as diagonal from gr join tpl on w1 = t1 and w2 = t2),
+ln as (select rid, t, label, base, grams, diagonal, count(*) as votes, min(pos) as lo, max(pos) as hi from hi group by all),
 ap as (select *, case when diagonal - lag(diagonal) over (partition by rid, t order by diagonal) > {SHIFT} then 1 else 0 end as apart from ln),
 rg as (select *, sum(apart) over (partition by rid, t order by diagonal) as region from ap),
-re as (select rid, t, label, base, grams, region, count(*) filter (votes = grams) as places, min(diagonal) filter (votes = grams) as fw, max(diagonal) filter (votes = grams) as lw,
-       bit_count(bit_or(seen)) as covered, max(hi) - min(lo) + 2 as len from rg group by all),
+cv as (select rid, t, region, count(distinct tpos) as covered from hi join rg using (rid, t, diagonal) group by all),
+rl as (select rid, t, label, base, grams, region, count(*) filter (votes = grams) as places, min(diagonal) filter (votes = grams) as fw, max(diagonal) filter (votes = grams) as lw,
+       max(hi) - min(lo) + 2 as len from rg group by all),
+re as (select * from rl join cv using (rid, t, region)),
 ok as (select *, places > 0 or (covered / grams >= {COVER} and grams > 2 and len <= 2 * (grams + 1)) as found, base and places > 0 as sound from re)
 select d.doc_id, len(any_value(d.w))::bigint as n_words, coalesce(sum(places) filter (base), 0)::bigint as n_base,
        (min(fw) filter (sound))::bigint as first_word, (max(lw) filter (sound))::bigint as last_word,

@@ -155,6 +155,18 @@ def test_licenses_find_a_passage_with_gaps(spark):
     assert row["labels"] == "mit-text" and row["base_labels"] == "" and 0.7 < row["score"] < 1
 
 
+def test_licenses_templates_beyond_the_bits_of_one_column(spark):
+    grant = dict(licenses.MORE)["mit-grant"].split()
+    assert len(grant) - 1 > 64
+    changed = [w if k % 9 else "other" for k, w in enumerate(grant)]  # 2 of 9 grams are not there
+    late = ["x"] * 30 + grant[len(grant) * 2 // 3 :]
+    rows = licenses.scan(spark.createDataFrame([(1, " ".join(["y", *grant, "z"])), (2, " ".join(changed)), (3, " ".join(late))], "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert by[1]["score"] == 1.0 and {"mit-grant", "mit-text"} <= set(by[1]["labels"].split(","))
+    assert "mit-grant" in by[2]["labels"].split(",") and 0.75 <= by[2]["score"] < 0.8
+    assert "mit-grant" not in by[3]["labels"].split(",")
+
+
 # --- Jaccard --------------------------------------------------------------------------------------------------------------------
 
 
