@@ -35,10 +35,12 @@ N_FEATURES = _N * _N + _EXTRA
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """`sample_rows` bounds the labelled rows that the model is fitted on; scores cover every row."""
+    """`sample_rows` bounds the labelled rows that the model is fitted on, `sample_passages` the passages of each (evenly spaced ones of longer
+    documents); scores cover every row and all of its passages."""
 
     passage_bytes: int = 600
     sample_rows: int = 6000
+    sample_passages: int = 64
     hidden: int = 24
     gate: int = 12
     epochs: int = 240
@@ -148,7 +150,10 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), key: str = "doc_id", text: str = "text", label: str = "quality") -> Model | None:
-    """Fits on at most `sample_rows` labelled rows outside the held-out fold, picked by a hash of their id."""
+    """Fits on at most `sample_rows` labelled rows outside the held-out fold, picked by a hash of their id; of rows that share an id on one.
+
+    What the driver gets is bounded: sample_rows * sample_passages * N_FEATURES half-precision numbers (134 MB by default).
+    """
     held = F.col("key")
     picked = (
         labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label"))
@@ -162,12 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityCon
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k,) for k in wanted], "_picked long")
     chosen = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), F.col("key") == F.col("_picked"))
-    size = config.passage_bytes
+    chosen = chosen.groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    size, most = config.passage_bytes, config.sample_passages
 
     def work(found: Iterator[TextBlock]) -> Iterator[dict]:
         for block in found:
             x, first = passages(block.data, block.offsets, size)
-            yield {"key": block.rows.column(1), "n": np.diff(first).astype(np.int32), "x": [x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:], strict=False)]}
+            picked = [x[a + np.arange(min(n, most)) * n // min(n, most)] for a, n in zip(first.tolist(), np.diff(first).tolist(), strict=False)]
+            yield {"key": block.rows.column(1), "n": [len(p) for p in picked], "x": [p.astype(np.float16).tobytes() for p in picked]}
 
     rows = sorted(map_blocks(chosen, "key", "text", "key long, n int, x binary", work, _SAMPLE).collect(), key=lambda r: (r["key"], r["n"], r["x"]))
     if not rows:

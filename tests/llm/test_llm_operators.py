@@ -498,6 +498,37 @@ def test_quality_on_the_held_out_fold(spark, sf_dir):
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k, r in got.items() if r["predicted"]}
 
 
+def test_quality_model_against_plain_loops():
+    """Scores of the vectorised network equal those of the formulas, passage by passage."""
+    rng = np.random.default_rng(2)
+    texts = [t or "" for t in strange() if t is None or len(t) < 60_000]
+    raw = [t.encode() for t in texts]
+    x, first = quality.passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 600)
+    config = quality.QualityConfig(epochs=12)
+    model = quality.fit(x, first, rng.integers(0, 2, len(texts)) > 0, config)
+    got, p = model.score(x, first), {k: v.astype(float) for k, v in model.p.items()}
+    for k in range(len(texts)):
+        h = [np.tanh(((x[i] - model.mean) / model.scale) @ p["W"] + p["b"]) for i in range(first[k], first[k + 1])]
+        s = [float((np.tanh(z @ p["V"]) / (1 + np.exp(-(z @ p["U"])))) @ p["w"]) for z in h]
+        e = [math.exp(v - max(s)) for v in s]
+        code = sum(w / sum(e) * z for w, z in zip(e, h, strict=True))
+        assert abs(got[k] - 1 / (1 + math.exp(-(float(code @ p["c"]) + float(p["d"][0]))))) < 1e-4
+    assert [int(n) for n in np.diff(first)] == [max(1, len(r) // 600) for r in raw]
+
+
+def test_quality_sample_is_bounded_by_rows_and_passages(spark, monkeypatch):
+    """A repeated id is one row of the sample; of a long document evenly spaced passages are taken."""
+    long = "good words in a row. " * 4000
+    docs = spark.createDataFrame([(k % 5 + 1, long if k % 5 else "x#!") for k in range(60)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k > 1)) for k in range(1, 6)], "doc_id long, quality int")
+    seen = {}
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, first, y, config: seen.update(n=np.diff(first).tolist()) or fit(x, first, y, config))
+    config = quality.QualityConfig(sample_passages=9, epochs=3)
+    assert quality.classify(docs, labels, config).count() == 60
+    assert 1 <= len(seen["n"]) <= 5 and max(seen["n"]) <= 9
+
+
 def test_quality_without_labels_and_odd_rows(spark):
     docs = documents(spark, strange())
     none = spark.createDataFrame([], "doc_id long, quality int")
