@@ -427,8 +427,10 @@ def test_packing_production_limits_bind(spark, real):
 # --- chat -------------------------------------------------------------------------------------------------------------------------
 
 
-def test_chat_perspectives(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 1 << 20])
+def test_chat_perspectives(spark, monkeypatch, hot):
     monkeypatch.setattr(chat, "BLOCK", 2)
+    monkeypatch.setattr(chat, "HOT", hot)
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (1, 4, "ann", "é😀"), (1, 4, "ann", "é😀"), (1, None, "bob", "late"), (None, 1, "ann", "a"), (3, 1, "system", "s")]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     by = defaultdict(list)
@@ -448,6 +450,22 @@ def test_chat_perspectives(spark, monkeypatch):
     assert "hi < |im_end|>" in by[1, "ann"][1]["rendered"] and by[1, "ann"][2]["rendered"] == "<|im_start|>user name=bob\n<|im_end|>\n"
 
 
+@pytest.mark.parametrize("hot", [3, 40, 1 << 20])
+def test_chat_blocks_that_are_cut(spark, monkeypatch, hot):
+    """Many messages without a turn, or of one turn: positions and offsets are those of one sorted list."""
+    monkeypatch.setattr(chat, "HOT", hot)
+    rng = random.Random(3)
+    rows = [(1, rng.choice((None, None, 7, 300)), rng.choice(("ann", "bob", "system")), f"text {rng.randrange(60)}", "clash") for _ in range(300)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string").repartition(4)).collect()
+    order = sorted(((t is None, t or 0, r, hashlib.md5(x.encode()).hexdigest(), x) for _, t, r, x, _ in rows))
+    for who in ("ann", "bob"):
+        mine, at = sorted((r for r in got if r["perspective"] == who), key=lambda r: r["position"]), 0
+        assert [(r["turn"] is None, r["turn"] or 0, r["speaker"]) for r in mine] == [o[:3] for o in order] and [r["position"] for r in mine] == list(range(300))
+        for r, o in zip(mine, order, strict=True):
+            assert o[4] in r["rendered"] and r["start"] == at
+            at = r["end"]
+
+
 # --- fingerprints -----------------------------------------------------------------------------------------------------------------
 
 
