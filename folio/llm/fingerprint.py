@@ -7,8 +7,8 @@ one has taken its share. Two digests are compared by the filters' common bits be
 
 Defined results: null text is empty; texts shorter than a window are one feature of their own; empty text has an empty
 digest, which is like another empty one (1.0) and unlike all else (0.0); equal texts have equal digests; rows that share
-an id keep one order (by id, then text); rows with a null id come after all others; a single row is its own next document;
-an empty table gives an empty result.
+an id keep one order (by the text's hash, then text); rows with a null id come after all others, in that order too; a single row is its own
+next document; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,31 +187,65 @@ def fingerprints(docs: DataFrame, rarity: np.ndarray, config: FingerprintConfig
     return map_blocks(docs, key, text, "doc_id long, fingerprint string", work, pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())]))
 
 
+#: Bytes of text in a range at most; smaller tables are dealt to as many ranges as there are shuffle partitions, of SMALL bytes at least.
+RANGE, SMALL = 256 << 20, 4 << 20
+
+
+def _places(first, second) -> np.ndarray:
+    """Pairs of signed numbers as byte strings that compare like them."""
+    both = np.stack([np.asarray(first, np.int64), np.asarray(second, np.int64)], axis=1)
+    return (both.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").reshape(-1, 2).copy().view("S16").ravel()
+
+
+def range_cuts(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Where ranges of (ord, h) begin: quantiles of ord; an ord that is several quantiles (many rows share an id, or have none) is cut by h."""
+    if parts < 2:
+        return []
+    found = rows.agg(F.percentile_approx("ord", [k / parts for k in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"] or []
+    times: dict[int, int] = {}
+    for c in found:
+        times[int(c)] = times.get(int(c), 0) + 1
+    return sorted((c, -(2**63) + k * (2**64 // n)) for c, n in times.items() for k in range(n))
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Rows dealt to ranges of descending id, each range followed by the first row of the next one (`own` false); the last range
-    by the very first row. Columns key, text, part, own; within a partition sorted for reading.
+    by the very first row. Columns ord, h, key, text, part, own; within a partition sorted for reading.
 
-    Range bounds are quantiles of the ids; per range only its first row's place travels to the driver.
+    The number of ranges follows the bytes of text. Only bounds and each range's first place travel to the driver and back, in broadcasts of 16 bytes a range.
+    Rows that are equal in id and text stay in one range.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.bitwise_not(F.col(f"`{key}`").cast("long")), F.lit(2**63 - 1)).alias("ord"), F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("ord", [k / parts for k in range(1, parts)] or [0.5], 10000).alias("q")).first()["q"] or []
-    cuts = sorted({int(c) for c in cuts}) if parts > 1 else []
-    # a row belongs to the range that its place in the bounds gives; equal ids stay together
-    literal = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    part = F.size(F.filter(literal, lambda c: c < F.col("ord"))) if cuts else F.lit(0)
-    tagged = rows.withColumn("part", part.cast("int"))
-    heads = sorted((r["part"], r["ord"]) for r in tagged.groupBy("part").agg(F.min("ord").alias("ord")).collect())  # one row a range
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+        parts = max(1, -(-size // RANGE), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SMALL))
+    cuts = range_cuts(rows, parts)
+    bounds = spark.sparkContext.broadcast(_places([c[0] for c in cuts], [c[1] for c in cuts]) if cuts else np.zeros(0, "S16"))
+
+    @F.pandas_udf("int")
+    def part_of(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _places(first, second), side="right").astype(np.int32))
+
+    tagged = rows.withColumn("part", part_of("ord", "h"))
+    heads = sorted((r["part"], r["at"]["ord"], r["at"]["h"]) for r in tagged.groupBy("part").agg(F.min(F.struct("ord", "h")).alias("at")).collect())  # one row a range
     if not heads:
         return tagged.withColumn("own", F.lit(True))
-    before = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}  # the first range's head closes the last range
-    head = F.create_map(*[x for p, o in heads for x in (F.lit(p), F.lit(o).cast("long"))])
-    prior = F.create_map(*[F.lit(x) for p, o in before.items() for x in (p, o)])
-    # of rows that share the head's id, the first by text: all of them are sent on, and the reader takes the first
-    copies = F.when(F.col("ord") == head[F.col("part")], F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(prior[F.col("part")].alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))))
-    sent = tagged.select("ord", "key", "text", F.explode(copies).alias("c")).select("ord", "key", "text", "c.part", "c.own")
-    return sent.repartitionById(parts, "part").sortWithinPartitions("part", F.desc("own"), "ord", "text")
+    begins = spark.sparkContext.broadcast((_places([x[1] for x in heads], [x[2] for x in heads]), np.roll([x[0] for x in heads], 1).astype(np.int32)))
+
+    @F.pandas_udf("int")
+    def closes(first: pd.Series, second: pd.Series) -> pd.Series:
+        """The range that a row is the end of, if it is the first of the next one (the very first row closes the last range)."""
+        places, prior = begins.value
+        at = _places(first, second)
+        k = np.minimum(np.searchsorted(places, at), len(places) - 1)
+        return pd.Series(np.where(places[k] == at, prior[k], -1))
+
+    both = tagged.withColumn("_closes", closes("ord", "h"))
+    own, other = F.struct(F.col("part"), F.lit(True).alias("own")), F.struct(F.col("_closes").alias("part"), F.lit(False).alias("own"))
+    sent = both.select("ord", "h", "key", "text", F.explode(F.when(F.col("_closes") >= 0, F.array(own, other)).otherwise(F.array(own))).alias("c")).select("ord", "h", "key", "text", "c.part", "c.own")
+    return sent.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.desc("own"), "ord", "h", "text")
 
 
 _PAIRED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_filters", pa.int64())])
@@ -223,7 +258,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compared(docs: DataFrame, config: FingerprintConfig = FingerprintConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, config: FingerprintConfig = FingerprintConfig(), key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness to it and to the next document's."""
     rarity = rarity_table(docs, text)
 
@@ -265,4 +300,4 @@ def compared(docs: DataFrame, config: FingerprintConfig = FingerprintConfig(), k
                 yield flush(group[:-1], group[-1][1], group[-1][2])
             waiting = group[-1] if group else None
 
-    return with_next(docs, key, text).mapInArrow(run, _PAIRED_DDL)
+    return with_next(docs, key, text, parts).mapInArrow(run, _PAIRED_DDL)

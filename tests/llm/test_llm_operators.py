@@ -487,6 +487,79 @@ def test_fingerprints_edits_and_order(spark, real):
     assert np.mean([r["near_edited"] for r in long]) > 0.4 > np.mean([r["near_next"] for r in long])
 
 
+def plain_digest(text, rarity, config):
+    """The digest of one text by loops: ranks of windows, votes of runs, chained filters."""
+    raw = text.encode()
+    w, size = len(raw) - fingerprint.WINDOW + 1, fingerprint.WINDOW
+
+    def level(i):
+        clog = sum(int(fingerprint._CLOG[c]) for c in Counter(raw[i : i + size]).values())
+        return min(255, max(0, (fingerprint._FULL - clog) * 255 // fingerprint._FULL))
+
+    chosen = [0] if 0 < len(raw) < size else []
+    if w > 0:
+        rank = [int(rarity[level(i)]) for i in range(w)]
+        votes = Counter(min(range(i, i + fingerprint.RUN), key=lambda k: (rank[k], k)) for i in range(w - fingerprint.RUN + 1))
+        chosen = sorted(k for k, n in votes.items() if n >= config.votes) or [min(range(w), key=lambda k: (rank[k], k))]
+    filters = []
+    for n, at in enumerate(chosen):
+        if n % config.load == 0:
+            filters.append(np.zeros(config.bits, bool))
+        part = np.frombuffer(raw[at : at + size], np.uint8)
+        h = fingerprint.words.hashes(part, np.array([0]), np.array([len(part)]))
+        for k in range(config.hashes):
+            filters[-1][int(fingerprint.words.mixed(h + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1)))[0]) % config.bits] = True
+    return [np.packbits(f) for f in filters]
+
+
+def plain_likeness(a, b, config):
+    if not a or not b:
+        return float(len(a) == len(b))
+    bits = lambda f: set(np.flatnonzero(np.unpackbits(f)).tolist())
+
+    def score(x, y):
+        x, y = bits(x), bits(y)
+        chance, most = len(x) * len(y) / config.bits, min(len(x), len(y))
+        return min(1.0, max(0.0, (len(x & y) - chance) / max(most - chance, 1e-9))) if most > chance else 0.0
+
+    views = [np.mean([max(score(x, y) for y in q) for x in p]) for p, q in ((a, b), (b, a)) if len(p) <= len(q)]
+    return max(views)
+
+
+def test_fingerprints_against_plain_loops(spark, real):
+    """Rarity, votes, chained filters, likeness to the edited text and to the next document; repeated and null ids, equal rows."""
+    texts = [t for t in strange() if t is None or len(t) < 3000] + [t[:4000] for t in list(real.values())[:12]] + ["one text twice " * 9] * 2
+    rows = [((k * 3 - 7) if k % 5 else None, t) for k, t in enumerate(texts)] + [(2, "an id that others have too " * 4), (2, texts[-1])]
+    docs, config = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fingerprint.FingerprintConfig(load=3)
+    rarity = fingerprint.rarity_table(docs)
+    count = Counter()
+    for _, t in rows:
+        raw = (t or "").encode()
+        for i in range(len(raw) - 31):
+            clog = sum(int(fingerprint._CLOG[c]) for c in Counter(raw[i : i + 32]).values())
+            count[min(255, max(0, (fingerprint._FULL - clog) * 255 // fingerprint._FULL))] += 1
+    ranks = sorted(range(256), key=lambda k: (count[k] == 0, count[k], k))
+    assert [int(rarity[k]) for k in ranks] == list(range(256))
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1] or ""], r[1] or ""))
+    want = Counter()
+    for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        t, after = t or "", after or ""
+        changed = fingerprint.edited(t, after)
+        mine, his, new = (plain_digest(x, rarity, config) for x in (t, after, changed))
+        near = (1.0 if t == changed else plain_likeness(mine, new, config), 1.0 if t == after else plain_likeness(mine, his, config))
+        want[k, len(t), fingerprint.encoded(np.array(mine)), fingerprint.encoded(np.array(new)), *(round(x, 9) for x in near)] += 1
+    for parts in (1, 3, 40):
+        got = fingerprint.compared(docs, config, parts=parts).collect()
+        assert Counter((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
+def test_fingerprint_ranges_cut_ids_that_many_rows_share(spark):
+    docs = spark.createDataFrame([(None if k % 2 else 7, f"text {k}") for k in range(400)], "doc_id long, text string")
+    parts = fingerprint.with_next(docs, parts=8).where("own").groupBy("part").count().collect()
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 120
+
+
 def test_fingerprints_one_row_and_none(spark):
     assert fingerprint.compared(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()["near_next"] == 1.0
     assert fingerprint.compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
