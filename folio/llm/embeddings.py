@@ -6,7 +6,9 @@ first coordinate; tiles further apart on it than any linked pair can be are not
 leading dimensions first; a pair is given up as soon as that sum plus the product of what is left of both norms cannot reach
 the threshold. Pairs that remain are decided by the cosine of the original vectors in double precision.
 
-Per class only sums of links and spanning links leave a tile pair, never all pairs.
+Per class only sums of links and spanning links leave a tile pair, never all pairs. A tile holds up to `tile_bytes` of vectors and is compared
+block by block, so that what is shuffled (each tile once for each tile it is compared with) falls with the tile's size: by vectors of a label over
+vectors of a tile. As every link of a vector is counted, the work within a label stays quadratic where the bounds do not stop it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or null
 id, link with nothing (n_links 0, component_id their own id); vectors of different lengths do not link; equal vectors of one label link
@@ -30,8 +32,11 @@ from folio.llm.scratch import saved
 
 @dataclass(frozen=True)
 class EmbeddingConfig:
+    """`tile_bytes`: vectors of a tile, in double precision; `block`: rows of it that are compared at once; `step`: dimensions between two bounds."""
+
     threshold: float = 0.93
-    tile: int = 768
+    tile_bytes: int = 4 << 20
+    block: int = 768
     step: int = 16
 
 
@@ -58,9 +63,10 @@ def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
     """For each vector length an orthonormal basis, axes of largest moment first."""
     sums = classes.select("v").mapInArrow(_moments, "dim int, m array<double>").select("dim", F.posexplode("m").alias("k", "x")).groupBy("dim", "k").agg(F.sum("x").alias("x"))
     found: dict[int, np.ndarray] = {}
-    for r in sums.collect():  # the square of the vector length, whatever the number of rows
-        found.setdefault(r["dim"], np.zeros(r["dim"] ** 2))[r["k"]] = r["x"]
-    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in found.items()}
+    lines = sums.groupBy("dim", (F.col("k") / F.col("dim")).cast("int").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("x"))
+    for r in lines.collect():  # as many rows of as many numbers as a vector has components, whatever the number of vectors
+        found.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["line"]] = r["x"]
+    return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in found.items()}
 
 
 def _usable(column: F.Column) -> F.Column:
@@ -79,7 +85,17 @@ def _packed(group: pa.Table) -> pa.Table:
     return pa.table([*head, *raw], schema=_TILE)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step: int) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with cosine(a[i], b[j]) >= threshold, by blocks of rows; of a tile with itself only pairs with i < j."""
+    for p in range(0, len(a), block):
+        for q in range(p if a is b else 0, len(b), block):
+            i, j = _linked(a[p : p + block], b[q : q + block], axes, threshold, step)
+            if a is b and p == q:
+                i, j = i[i < j], j[i < j]
+            yield i + p, j + q
+
+
+def _linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) with cosine(a[i], b[j]) >= threshold."""
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     x, y = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
@@ -113,12 +129,11 @@ def _compare(axes: dict[int, np.ndarray], config: EmbeddingConfig):
         dim = rows[0]["dim"]
         sides = [(np.frombuffer(r["reps"], np.int64), np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["v"], np.float64).reshape(-1, dim)) for r in rows]
         (ra, sa, va), (rb, sb, vb) = sides[0], sides[-1]
-        i, j = linked_pairs(va, vb, axes[dim], config.threshold, config.step)
-        if len(sides) == 1:
-            i, j = i[i < j], j[i < j]
-        f = Forest()
-        edges = [(p, q) for p, q in zip(ra[i].tolist(), rb[j].tolist(), strict=True) if f.join(p, q)]
-        la, lb = np.bincount(i, weights=sb[j], minlength=len(ra)), np.bincount(j, weights=sa[i], minlength=len(rb))
+        f, edges, la, lb = Forest(), [], np.zeros(len(ra)), np.zeros(len(rb))
+        for i, j in linked_pairs(va, vb, axes[dim], config.threshold, config.step, config.block):
+            edges += [(p, q) for p, q in zip(ra[i].tolist(), rb[j].tolist(), strict=True) if f.join(p, q)]
+            la += np.bincount(i, weights=sb[j], minlength=len(ra))
+            lb += np.bincount(j, weights=sa[i], minlength=len(rb))
         ids, n = np.concatenate([ra, rb]), np.concatenate([la, lb]).astype(np.int64)
         ids, n = ids[n > 0], n[n > 0]
         return pa.table({"edge": pa.array([False] * len(ids) + [True] * len(edges)), "a": pa.array([*ids.tolist(), *(e[0] for e in edges)], pa.int64()), "b": pa.array([*n.tolist(), *(e[1] for e in edges)], pa.int64())}, schema=_OUT)
@@ -143,7 +158,7 @@ def links(vectors: DataFrame, config: EmbeddingConfig = EmbeddingConfig(), key:
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, p: s + p * p))
         place = F.when(F.col("dim") == d, dot / norm).otherwise(place)
     spread = classes.select("label", "dim", "rep", "size", "v", F.floor(place).cast("int").alias("cell"))
-    counts = spread.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / config.tile).cast("int").alias("subs"))
+    counts = spread.groupBy("label", "dim", "cell").agg(F.ceil(F.sum(8.0 * F.col("dim")) / config.tile_bytes).cast("int").alias("subs"))
     spread = spread.join(counts, ["label", "dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
     tiles = saved(spread.select("label", "dim", "cell", "sub", "rep", "size", "v").groupBy("label", "dim", "cell", "sub").applyInArrow(_packed, "label string, dim int, cell int, sub int, reps binary, sizes binary, v binary"), "tiles")
 

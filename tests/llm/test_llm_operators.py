@@ -260,7 +260,7 @@ def test_shingle_hashes_are_sets():
 # --- embeddings -----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("config", [embeddings.EmbeddingConfig(), embeddings.EmbeddingConfig(tile=7, step=3)])
+@pytest.mark.parametrize("config", [embeddings.EmbeddingConfig(), embeddings.EmbeddingConfig(tile_bytes=500, step=3), embeddings.EmbeddingConfig(tile_bytes=4000, step=3, block=7)])
 def test_embeddings_against_all_pairs(spark, config):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 8))
