@@ -10,14 +10,18 @@ what a link needs are opened, and their members compared.
    lead in its partner too. Buckets count the cold leading tokens that a class has in common with any other; hot ones need no counting and do
    not travel. A class with fewer common tokens has no partner; the others' sets are kept.
 3. Groups: a set with enough hot leading tokens goes to the first of them, else to the most frequent cold leading token that it shares, among
-   those that fit a group. Larger groups are cut by hash, and one set of the whole is a guest in each part. All members of a group are
-   compared by one product of incidence matrices; what links becomes a component. The union of the members' leading tokens is stored.
+   those that fit a group. Groups hold sets of one band of sizes (linked sets are in the same band or in neighbouring ones); larger ones are cut by
+   hash. The most central sets that lead with a group's token (those with the largest share of hot tokens, which copies are made
+   from rather than others) are guests in all parts of it. All members of a group are compared by one product of incidence matrices; what
+   links becomes a component. The union of the members' leading tokens is stored.
 4. The matrix: stored unions and queries' leading tokens meet by token; a hot token's queries are spread over several tasks, to each of
-   which the unions that hold it are sent. Counted are pairs of a query and a group that holds a member of a larger component (of two components the
-   smaller one asks). Pairs whose count reaches the bound are asked: the group is opened and its members are compared with the query.
+   which the unions that hold it are sent. Counted are pairs of a query and a group of a band in reach that holds a member of a larger component
+   (of two components the smaller one asks). Pairs whose count reaches the bound are asked: the group is opened and its members are compared
+   with the query.
 
 Every pair that could link thus is in one component already, in one group, or verified; links inside a component that is known need no further
-proof, so a large group of copies costs groups, not all its pairs.
+proof, so a large group of copies costs groups, not all its pairs. Where very many sets of like size share more than half of their tokens but do not
+link, each still asks all groups of the others: pairs of sets and groups then grow with the square of their number over `cell`.
 
 Sets are sets of 64-bit hashes of shingles, classes are told apart by size and 128 bits of checksum; links are exact for the hashes. That a
 collision changes a document's links is less likely than one in a million for 10**11 documents, as several of its tokens would have to collide.
@@ -96,28 +100,54 @@ def _sums(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
 
+#: Tokens whose counts a task keeps at most; beyond it drops the least frequent ones.
+TALLY = 1 << 20
+
+
+class Tally:
+    """Counts of the tokens that several sets of a block hold, over all blocks of a task."""
+
+    def __init__(self) -> None:
+        self.tokens, self.counts, self.floor = np.zeros(0, np.uint64), np.zeros(0, np.int64), 2
+
+    def add(self, tokens: np.ndarray) -> None:
+        value, count = np.unique(tokens, return_counts=True)
+        value, count = value[count > 1], count[count > 1]
+        self.tokens, where = np.unique(np.concatenate([self.tokens, value]), return_inverse=True)
+        self.counts = np.bincount(where, weights=np.concatenate([self.counts, count])).astype(np.int64)
+        while len(self.tokens) > TALLY:
+            self.floor *= 2
+            self.tokens, self.counts = self.tokens[self.counts >= self.floor], self.counts[self.counts >= self.floor]
+
+
 def profiles(docs: DataFrame, config: JaccardConfig, key: str, text: str) -> DataFrame:
-    """Per row: id, size of its set and checksums; on the first row of each block also the tokens that many of its sets lead with."""
+    """Per row: id, size of its set and checksums; on the last block's first row also the tokens that three sets of the task or more hold, as far as
+    several of them are in one block. So tokens of about one document in a thousand or more are found, which is what `hot_tokens` is for."""
 
     def work(found: Iterator[TextBlock]) -> Iterator[dict]:
+        tally, waiting = Tally(), None
         for block in found:
             tokens, at = _sets(block, config.width)
             n = np.diff(at)
             h1, h2 = _sums(tokens, at)
-            lead = np.arange(len(tokens)) - np.repeat(at[:-1], n) < np.repeat(_lead(n, config), n)
             _, once = np.unique(h1, return_index=True)
             chosen = np.zeros(len(n), bool)
             chosen[once] = True  # copies count once
-            value, count = np.unique(tokens[lead & np.repeat(chosen, n)], return_counts=True)
-            many = count >= max(6, len(n) // 100)
-            rest = [None] * (len(n) - 1)
-            yield {"doc_id": block.rows.column(1), "n": n, "h1": h1, "h2": h2, "tokens": [value[many].tobytes(), *rest], "counts": [count[many].astype(np.int64).tobytes(), *rest]}
+            tally.add(tokens[np.repeat(chosen, n)])
+            if waiting:
+                yield waiting
+            none = [None] * len(n)
+            waiting = {"doc_id": block.rows.column(1), "n": n, "h1": h1, "h2": h2, "tokens": none, "counts": none}
+        if waiting:
+            many = tally.counts >= 3
+            rest = waiting["tokens"][1:]
+            yield waiting | {"tokens": [tally.tokens[many].tobytes(), *rest], "counts": [tally.counts[many].tobytes(), *rest]}
 
     return map_blocks(docs, key, text, "doc_id long, n long, h1 long, h2 long, tokens binary, counts binary", work, _PROFILE)
 
 
 def hot_tokens(profile: DataFrame, config: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents lead with, and how many: all from a power of two on, the least that `hot` and `hot_most` allow."""
+    """Tokens that many documents hold, and how many: all from a power of two on, the least that `hot` and `hot_most` allow."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,12 +346,16 @@ def _summed(group: pa.Table) -> pa.Table:
 
 # --- sets and their groups ---------------------------------------------------------------------------------------------------------
 
-_SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("cold", pa.int64()), ("home", pa.int64()), ("salts", pa.int64())])
-_SET_DDL = "doc_id long, sid long, n long, tokens binary, cold long, home long, salts long"
+_SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("cold", pa.int64()), ("home", pa.int64()), ("heads", pa.list_(pa.int64())), ("central", pa.float64())])
+_SET_DDL = "doc_id long, sid long, n long, tokens binary, cold long, home long, heads array<long>, central double"
+#: Hot leading tokens in whose groups a set may be a guest, and guests of a group by band.
+HEADS, GUESTS = 8, 3
+#: Groups that are cut into parts are broadcast up to this number of them, and joined beyond it.
+BROADCAST_GROUPS = 1_000_000
 
 
-def _full_sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, config: JaccardConfig) -> DataFrame:
-    """Sets in the common order, how many of their leading tokens are cold, and the group of those with enough hot leading tokens."""
+def _full_sets(docs: DataFrame, hot: np.ndarray, config: JaccardConfig) -> DataFrame:
+    """Sets in the common order, how many of their leading tokens are cold, the group of those with enough hot leading tokens, and the share of hot ones."""
 
     def work(found: Iterator[TextBlock]) -> Iterator[dict]:
         for block in found:
@@ -329,16 +363,16 @@ def _full_sets(docs: DataFrame, hot: np.ndarray, hot_n: np.ndarray, config: Jacc
             sums, n = _sums(tokens, at)[0], np.diff(at)
             tokens, cold = arranged(tokens, at, hot)
             lead = _lead(n, config)
-            mine, home, salts = np.minimum(lead, cold), np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
-            known = np.zeros(len(n), bool)
+            mine, home = np.minimum(lead, cold), np.zeros(len(n), np.int64)
+            known, heads = np.zeros(len(n), bool), [None] * len(n)
             for k in np.flatnonzero(lead > mine).tolist():
                 if lead[k] - mine[k] >= fewest_shared(int(n[k]), config):
                     token = tokens[at[k] + cold[k]]
                     known[k], home[k] = True, np.int64(token.view(np.int64))
-                    salts[k] = -(-int(hot_n[np.searchsorted(hot, token)]) // config.cell)
+                    heads[k] = tokens[at[k] + cold[k] : at[k] + min(lead[k], cold[k] + HEADS)].view(np.int64)
             yield {
                 "doc_id": block.rows.column(1), "sid": sums, "n": n, "tokens": [tokens[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],
-                "cold": mine, "home": pa.array(home, pa.int64(), mask=~known), "salts": salts,
+                "cold": mine, "home": pa.array(home, pa.int64(), mask=~known), "heads": heads, "central": (n - cold) / np.maximum(n, 1),
             }
 
     return map_blocks(docs, "key", "text", _SET_DDL, work, _SET)
@@ -501,18 +535,25 @@ def _matrix_blocks(rows: DataFrame, side: int, hot: np.ndarray, hot_n: np.ndarra
     return rows.mapInArrow(run, _DEALT_DDL)
 
 
-_MET = pa.schema([("sid", pa.int64()), ("gid", pa.int64()), ("c", pa.int64())])
+#: Lower bits of a rank, which hold the band of sizes.
+BAND_BITS = 7
+_MET = pa.schema([("piece", pa.int64()), ("pairs", pa.binary()), ("counts", pa.binary())])
+_PAIRS = pa.schema([("sid", pa.int64()), ("gid", pa.int64()), ("_s", pa.int64())])
 #: Pairs of a query's token and a group that are expanded at once.
 EXPAND = 1 << 22
 
 
-def _met(group: pa.Table) -> pa.Table:
-    """For each query and group how many tokens of this bucket both have, where the group holds a component of higher rank."""
-    sides = group.column("side").to_numpy()
-    qt, qp, qid, rank = _held(group.filter(pa.array(sides == 0)))
-    gt, gp, gid, top = _held(group.filter(pa.array(sides == 1)))
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    if len(qt) and len(gt):
+def _met(pieces: int) -> Callable[[pa.Table], pa.Table]:
+    """For each query and group how many tokens of this bucket both have, where the group holds a component of higher rank and its band is in reach;
+    a row for each piece of queries (their ids' upper bits)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = group.column("side").to_numpy()
+        qt, qp, qid, rank = _held(group.filter(pa.array(sides == 0)))
+        gt, gp, gid, top = _held(group.filter(pa.array(sides == 1)))
+        if not len(qt) or not len(gt):
+            return _MET.empty_table()
+        (rank, own), (top, band) = ((x >> BAND_BITS, x & ((1 << BAND_BITS) - 1)) for x in (rank, top))
         order = np.argsort(gt, kind="stable")
         gt, gp = gt[order], gp[order]
         first = np.flatnonzero(np.concatenate([[True], gt[1:] != gt[:-1]]))
@@ -520,21 +561,35 @@ def _met(group: pa.Table) -> pa.Table:
         k = np.minimum(np.searchsorted(known, qt), len(known) - 1)
         able = (known[k] == qt) & (rank[qp] < most[k])
         k, q = k[able], qp[able]
-        total = np.cumsum(size[k])
-        a = 0
+        total, a = np.cumsum(size[k]), 0
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         while a < len(k):
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPAND, side="right")))
             times = size[k[a:b]]
             within = np.arange(int(times.sum())) - np.repeat(np.concatenate([[0], np.cumsum(times)[:-1]]), times)
             x, y = np.repeat(q[a:b], times), gp[np.repeat(first[k[a:b]], times) + within]
-            above = rank[x] < top[y]
+            above = (rank[x] < top[y]) & (np.abs(own[x] - band[y]) <= 1)
             kept.append(np.unique(x[above] * len(gid) + y[above], return_counts=True))
             a = b
-    if not kept:
-        return _MET.empty_table()
-    pair, where = np.unique(np.concatenate([p for p, _ in kept]), return_inverse=True)
-    count = np.bincount(where, weights=np.concatenate([c for _, c in kept]), minlength=len(pair)).astype(np.int64)
-    return pa.table({"sid": pa.array(qid[pair // len(gid)], pa.int64()), "gid": pa.array(gid[pair % len(gid)], pa.int64()), "c": pa.array(count, pa.int64())}, schema=_MET)
+        pair, where = np.unique(np.concatenate([p for p, _ in kept]), return_inverse=True)
+        count = np.bincount(where, weights=np.concatenate([c for _, c in kept]), minlength=len(pair)).astype(np.int64)
+        sid, other = qid[pair // len(gid)], gid[pair % len(gid)]
+        order = np.argsort(sid.view(np.uint64), kind="stable")
+        sid, both, count = sid[order], np.stack([sid[order], other[order]], axis=1), count[order]
+        names, cuts = _pieces(sid.view(np.uint64), pieces)
+        return pa.table({"piece": pa.array(names, pa.int64()), "pairs": pa.array([both[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([count[a:b].tobytes() for a, b in cuts], pa.binary())}, schema=_MET)
+
+    return run
+
+
+def _total(group: pa.Table) -> pa.Table:
+    """Pairs of a piece's queries and groups with the sums of their counts."""
+    pairs = np.frombuffer(b"".join(group.column("pairs").to_pylist()), np.int64).reshape(-1, 2)
+    count = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int64)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, count = pairs[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
+    return pa.table({"sid": pa.array(pairs[first, 0], pa.int64()), "gid": pa.array(pairs[first, 1], pa.int64()), "_s": pa.array(np.add.reduceat(count, first), pa.int64())}, schema=_PAIRS)
 
 
 def _opened(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -564,8 +619,8 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     bits = max(0, int(total["lead"] or 0) // config.bucket).bit_length()
     classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     # an id with several texts ties their classes together
-    several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).where("_lo <> _hi").select("_id")
-    tied = saved(rows.join(several, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "tied")
+    with_more = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).where("_lo <> _hi").select("_id")
+    tied = saved(rows.join(with_more, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "tied")
 
     least = F.expr(f"(({config.percent} * n + 99) div 100)")
     far_least = F.floor((config.percent * least + 99) / 100)
@@ -575,7 +630,7 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     counts = counts.groupBy("piece").applyInArrow(_summed, "h1 long, _s long")
     able = saved(counts.join(classes, "h1").where(F.col("_s") >= fewest).select(F.col("rep").alias("key")).distinct(), "able")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    sets = saved(_full_sets(texts.join(able, "key", "left_semi"), hot, hot_n, config), "sets")
+    sets = saved(_full_sets(texts.join(able, "key", "left_semi"), hot, config), "sets")
     found = sets.where("n > 0")
     dropped(able)
 
@@ -583,16 +638,21 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     led = int(found.agg(F.sum(F.expr(f"({config.lead} * n + 99) div 100")).alias("led")).first()["led"] or 0)
     bits = max(0, 2 * led // config.bucket).bit_length()
     voted = _home_blocks(found, bits).groupBy("bucket").applyInArrow(_votes(pieces, config.cell), _COUNTS_DDL).groupBy("piece").applyInArrow(_elected, "sid long, voted long")
-    placed = found.select("sid", "doc_id", "n", "home", "salts").distinct().join(voted, "sid", "left")
-    placed = placed.select("sid", "doc_id", "n", F.coalesce("home", "voted", "sid").alias("home"), F.pmod(F.xxhash64("sid"), "salts").cast("int").alias("salt"))
-    placed = saved(placed, "homes")
-    size = placed.groupBy("home", "salt").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("parts"))
-    placed_parts = placed.join(size, ["home", "salt"]).withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int"))
-    cells = saved(placed_parts.select("sid", "doc_id", "n", "home", F.xxhash64("home", "salt", "part").alias("gid")), "cells")
-    dropped(placed)
-    hosts = cells.groupBy("home").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.min(F.struct("sid", "doc_id", "gid")).alias("g")).where("lo <> hi")
-    guests = cells.select("home", "gid").distinct().join(hosts, "home").where(F.col("gid") != F.col("g.gid")).select(F.col("g.sid").alias("sid"), F.col("g.doc_id").alias("doc_id"), "gid", F.lit(True).alias("guest"))
-    seats = cells.select("sid", "doc_id", "gid", F.lit(False).alias("guest")).unionByName(guests)
+    band = F.floor(F.log("n") / F.log(F.lit(100 / config.percent))).cast("long")  # of linked sets no two are further apart than one
+    placed = found.select("sid", "doc_id", "n", "home", "central").distinct().join(voted, "sid", "left")
+    placed = saved(placed.select("sid", "doc_id", "n", band.alias("band"), "central", F.coalesce("home", "voted", "sid").alias("home")), "homes")
+    large = placed.groupBy("home", "band").agg(F.ceil(F.greatest(F.count("*") / config.cell, F.sum("n") / config.cell_tokens)).cast("int").alias("parts")).where("parts > 1")
+    large = saved(large, "large-groups")
+    part = placed.join(F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, ["home", "band"], "left").withColumn("part", F.pmod(F.xxhash64("sid", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int"))
+    cells = saved(part.select("sid", "doc_id", "n", "band", "home", F.xxhash64("home", "band", "part").alias("gid")), "cells")
+    dropped(large)
+    able_guests = found.where("home is not null").select(F.explode("heads").alias("home"), band.alias("band"), F.pmod("sid", F.lit(GUESTS)).alias("slot"), "central", "sid", "doc_id")
+    able_guests = able_guests.unionByName(placed.select("home", "band", F.lit(0).cast("long").alias("slot"), "central", "sid", "doc_id"))
+    guests = able_guests.groupBy("home", "band", "slot").agg(F.max(F.struct("central", "sid", "doc_id")).alias("g"))
+    several = cells.groupBy("home").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("home")
+    guests = guests.join(several, "home").select("home", F.col("g.sid").alias("sid"), F.col("g.doc_id").alias("doc_id"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")).distinct()
+    guests = cells.select("home", "band", "gid").distinct().join(guests, ["home", "band"]).select("sid", "doc_id", "gid", F.lit(True).alias("guest"))
+    seats = cells.select("sid", "doc_id", "gid", F.lit(False).alias("guest")).unionByName(guests).groupBy("sid", "doc_id", "gid").agg(F.min("guest").alias("guest"))
     unique = found.select("sid", "doc_id", "n", "tokens").dropDuplicates(["sid", "doc_id"])
     near = saved(seats.join(unique, ["sid", "doc_id"]).select("gid", "guest", "doc_id", "n", "tokens").groupBy("gid").applyInArrow(_grouped(config), _LINK_DDL), "groups")
     near_links, unions = near.where("union is null").select("src", "dst"), near.where("union is not null").select(F.col("src").alias("gid"), F.col("union").alias("tokens"))
@@ -601,16 +661,18 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     # the matrix: which groups hold enough of a query's leading tokens
     weight = first.groupBy("component").agg(F.count("*").alias("weight"))
     ranked = first.join(weight, "component").select(F.col("node").alias("doc_id"), "component", F.floor(F.log2("weight")).cast("long").alias("power"))
-    rank = F.shiftleft(F.coalesce("power", F.lit(0).cast("long")), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64("component"), 7))
+    # the power of a component's size, a hash of it (which tells components of like size apart), and the band
+    rank = F.shiftleft(F.coalesce("power", F.lit(0).cast("long")), 57).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64("component"), 7 + BAND_BITS), BAND_BITS)).bitwiseOR(F.least("band", F.lit((1 << BAND_BITS) - 1)))
     members = cells.join(ranked, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     members = saved(members.select("sid", "doc_id", "n", "gid", "component", rank.alias("rank")), "members")
     dropped(cells)
+    dropped(placed)
     tops = members.groupBy("gid").agg(F.max("rank").alias("rank"))
     held = unions.join(tops, "gid").select("gid", "tokens", "rank", (F.octet_length("tokens") / 8).cast("long").alias("lead"))
     asking = members.groupBy("sid").agg(F.min("rank").alias("rank")).join(found.select("sid", "n", "tokens").dropDuplicates(["sid"]), "sid")
     lead = F.expr(f"greatest(n - (({config.percent} * n + 99) div 100) + 1, ({config.lead} * n + 99) div 100)")
     blocks = _matrix_blocks(asking.select("sid", "tokens", "rank", lead.cast("long").alias("lead")), 0, hot, hot_n, bits, config).unionByName(_matrix_blocks(held, 1, hot, hot_n, bits, config))
-    met = blocks.groupBy("bucket").applyInArrow(_met, "sid long, gid long, c long").groupBy("sid", "gid").agg(F.sum("c").alias("_s"))
+    met = blocks.groupBy("bucket").applyInArrow(_met(pieces), "piece long, pairs binary, counts binary").groupBy("piece").applyInArrow(_total, "sid long, gid long, _s long")
     asked = met.join(members.withColumnRenamed("gid", "own"), "sid").where((F.col("_s") >= fewest) & (F.col("gid") != F.col("own")))
     asked = saved(asked.select("sid", "doc_id", "n", "component", "gid"), "asked")
 
