@@ -33,6 +33,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def folded(c: Column) -> Column:
+    """For comparing without case: lower case, and the letters that lower case leaves apart (sharp s, final sigma)."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def collapse(c: Column, limit: int | None = None) -> Column:
     """Runs of white space become one space; cut to `limit` characters."""
     out = strip(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the session names; a local one is made only where none is named (tests)."""
+    """The folder that the session names; where none is named a local one is made, but only for a local master (tests)."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

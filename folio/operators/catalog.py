@@ -38,13 +38,20 @@ def missing(requested: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return requested.join(existing.select(key), key, "left_anti")
 
 
-def unique_slugs(names: DataFrame, taken: DataFrame, name: str = "name", most: int = 1000) -> DataFrame:
-    """A free slug for each name on its own: the slug, else with -2, -3 and so on."""
+def unique_slugs(names: DataFrame, taken: DataFrame, name: str = "name") -> DataFrame:
+    """A free slug for each name, different ones for names that give the same: the slug, else with -2, -3 and so on. A number is also left out if it would make what another
+    of the names gives."""
     base = names.withColumn("_base", slugify(F.col(name)))
-    used = taken.select("slug").distinct().withColumn("_base", F.regexp_replace("slug", r"-\d+$", "")).withColumn("_n", F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("int"), F.lit(1)))
-    used = used.unionByName(taken.select("slug", F.col("slug").alias("_base"), F.lit(1).alias("_n"))).groupBy("_base").agg(F.collect_set("_n").alias("_used"))
-    tries = base.join(used, "_base", "left").withColumn("_free", F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(most)), F.coalesce("_used", F.array().cast("array<int>")))))
-    return tries.withColumn("slug", F.when(F.col("_free") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_free").cast("string")))).drop("_base", "_used", "_free")
+    base = base.withColumn("_k", F.row_number().over(Window.partitionBy("_base").orderBy(F.col(name))))
+    number = r"-([1-9]\d*)$"
+    words = taken.select("slug", F.lit(1).alias("_own")).unionByName(base.select(F.col("_base").alias("slug"), F.lit(0).alias("_own"))).groupBy("slug").agg(F.max("_own").alias("_own"))
+    used = words.where("_own = 1").select(F.col("slug").alias("_base"), F.lit(1).alias("_n"))
+    used = used.unionByName(words.select(F.regexp_replace("slug", number, "").alias("_base"), F.regexp_extract("slug", number, 1).try_cast("int").alias("_n")).where("_n > 1"))
+    used = used.groupBy("_base").agg(F.collect_set("_n").alias("_used"))
+    none = F.coalesce("_used", F.array().cast("array<int>"))
+    # of the first (used + k) numbers k are free at least
+    tries = base.join(used, "_base", "left").withColumn("_free", F.element_at(F.array_except(F.sequence(F.lit(1), F.size(none) + F.col("_k")), none), F.col("_k")))
+    return tries.withColumn("slug", F.when(F.col("_free") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_free").cast("string")))).drop("_base", "_k", "_used", "_free")
 
 
 def chat_models(models: DataFrame) -> DataFrame:

@@ -39,14 +39,14 @@ def modularity_terms(edges: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("community", "size", internal.cast("long").alias("internal"), F.coalesce("internal_edges", F.lit(0)).cast("long").alias("internal_edges"), F.col("degree").cast("long").alias("degree"), F.round(share, 6).alias("modularity"))
 
 
-def local_moves(edges: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, str]:
-    """Modularity optimisation by local moves and contraction, in sorted order, without randomness."""
+def local_moves(edges: list[tuple[str, str, float]], resolution: float = 1.0, total: float | None = None) -> dict[str, str]:
+    """Modularity optimisation by local moves and contraction, in sorted order, without randomness. `total`: the weight of a graph of which these edges are a part."""
     graph: dict[str, dict[str, float]] = defaultdict(dict)
     for u, v, w in edges:
         graph[u][v] = graph[u].get(v, 0.0) + w
         if u != v:
             graph[v][u] = graph[v].get(u, 0.0) + w
-    total = sum(w for u, line in graph.items() for v, w in line.items() if u <= v)
+    total = total or sum(w for u, line in graph.items() for v, w in line.items() if u <= v)
     home = {n: n for n in graph}
     while total:
         degree = {n: sum(line.values()) + line.get(n, 0.0) for n, line in graph.items()}
@@ -83,24 +83,31 @@ def local_moves(edges: list[tuple[str, str, float]], resolution: float = 1.0) ->
 
 
 def louvain(edges: DataFrame, group: str | None = None, resolution: float = 1.0) -> DataFrame:
-    """(group, entity_id, label). One task per group: a group's entity graph (hundreds of nodes a book) is small, its number of groups is not."""
-    keyed = edges if group else edges.withColumn("_group", F.lit(""))
-    name = group or "_group"
+    """(group, entity_id, label). One task per group, or per connected part where there are no groups: no community reaches over parts,
+    and moves within a part depend on the others by the total weight alone, which is sent along."""
+    name, total = group or "_part", None
+    if group is None:
+        ends = edges.select(F.col("src").alias("entity_id")).unionByName(edges.select(F.col("dst").alias("entity_id"))).distinct()
+        part = components(edges, ends.withColumn("label", F.lit("")))
+        keyed = edges.join(part.select(F.col("entity_id").alias("src"), F.col("component").alias("_part")), "src")
+        total = float(edges.agg(F.sum("weight").cast("double").alias("w")).first()["w"] or 0.0)
+    else:
+        keyed = edges
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = local_moves(list(zip(pdf["src"], pdf["dst"], pdf["weight"].astype(float), strict=True)), resolution)
+        found = local_moves(list(zip(pdf["src"], pdf["dst"], pdf["weight"].astype(float), strict=True)), resolution, total)
         return pd.DataFrame({name: pdf[name].iloc[0], "entity_id": list(found), "label": list(found.values())})
 
     out = keyed.select(name, "src", "dst", "weight").groupBy(name).applyInPandas(one, f"{name} string, entity_id string, label string")
-    return out if group else out.drop("_group")
+    return out if group else out.drop("_part")
 
 
-def components(edges: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(entity_id, component): the smallest id reachable inside one label; min-label propagation with pointer jumping until nothing changes."""
     inside = edges.join(members.select(F.col("entity_id").alias("src"), F.col("label").alias("l1")), "src").join(members.select(F.col("entity_id").alias("dst"), F.col("label").alias("l2")), "dst").where("l1 = l2")
     near = saved(both_ways(inside.withColumn("weight", F.lit(1))).select("src", "dst").distinct(), "edges")
     labels = members.select("entity_id", F.col("entity_id").alias("component"))
-    for _ in range(rounds):
+    while True:
         heard = near.join(labels.withColumnRenamed("entity_id", "dst"), "dst").groupBy(F.col("src").alias("entity_id")).agg(F.min("component").alias("_heard"))
         fresh = labels.join(heard, "entity_id", "left").select("entity_id", F.least("component", F.coalesce("_heard", "component")).alias("component"))
         jump = fresh.select(F.col("entity_id").alias("component"), F.col("component").alias("_up"))
@@ -108,8 +115,7 @@ def components(edges: DataFrame, members: DataFrame, rounds: int = 30) -> DataFr
         changed = fresh.join(labels.withColumnRenamed("component", "_was"), "entity_id").where("component <> _was").limit(1).count()
         labels = fresh
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 3, min_mentions: int = 2, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -173,15 +173,30 @@ def grader_calibration(graded: DataFrame, truth: DataFrame, query: str = "query_
     ).withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
 
 
-def report_prompt(members: Column, relations: Column, excerpts: Column, budget: int = 18_000) -> Column:
-    """Text for a community report within a character budget: excerpts go first, last ones before first ones, then relations are halved, then entities, not below ten."""
-    entities, edges, passages = F.slice(members, 1, 40), F.slice(relations, 1, 60), excerpts
-    text = lambda e, r, p: F.concat_ws("\n\n", F.array_join(e, "\n"), F.array_join(r, "\n"), F.array_join(p, "\n---\n"))
-    head = text(entities, edges, F.array().cast("array<string>"))
-    room = F.aggregate(passages, F.struct(F.lit(0).alias("n"), F.length(head).alias("used")), lambda s, x: F.when(s["used"] + F.length(x) + 7 <= budget, F.struct((s["n"] + 1).alias("n"), (s["used"] + F.length(x) + 7).alias("used"))).otherwise(s))["n"]
-    kept = F.slice(passages, F.lit(1), room)
-    halved = edges
-    for _ in range(6):
-        halved = F.when(F.length(text(entities, halved, F.array().cast("array<string>"))) > budget, F.slice(halved, F.lit(1), F.greatest(F.floor(F.size(halved) / 2), F.lit(0)).cast("int"))).otherwise(halved)
-    few = F.when(F.length(text(entities, halved, F.array().cast("array<string>"))) > budget, F.slice(entities, 1, 10)).otherwise(entities)
-    return F.when(F.length(head) <= budget, text(entities, edges, kept)).otherwise(text(few, halved, F.array().cast("array<string>")))
+#: Characters of a report's prompt, entities and relations in it at most, and when it has to be shortened at least.
+PROMPT_CHARS, MOST_ENTITIES, MOST_RELATIONS, LEAST_LINES = 18_000, 40, 60, 10
+
+
+def _halves(first: Column, most: int) -> list[Column]:
+    """A number and what halving makes of it, down to LEAST_LINES."""
+    out = [first]
+    while most > LEAST_LINES:
+        out.append(F.greatest(F.least(out[-1], F.lit(LEAST_LINES)), F.floor(out[-1] / 2).cast("int")))
+        most //= 2
+    return out
+
+
+def report_prompt(members: Column, relations: Column, excerpts: Column, budget: int = PROMPT_CHARS) -> Column:
+    """Text for a community report. While it is too long, the last excerpt goes; then relations are halved, then entities, neither below ten lines."""
+    part = lambda lines, n, by: F.coalesce(F.nullif(F.array_join(F.slice(lines, F.lit(1), n), by), F.lit("")), F.lit("-"))
+    text = lambda e, r, x: F.concat_ws("\n\n", F.lit("Entities:"), part(members, e, "\n"), F.lit("Relations:"), part(relations, r, "\n"), F.lit("Excerpts:"), part(excerpts, x, "\n\n"))
+    entities, edges = F.least(F.size(members), F.lit(MOST_ENTITIES)), F.least(F.size(relations), F.lit(MOST_RELATIONS))
+    size = lambda e, r, x: F.struct(e.alias("e"), r.alias("r"), x.alias("x"))
+    fewer_edges, fewer = _halves(edges, MOST_RELATIONS), _halves(entities, MOST_ENTITIES)
+    shapes = F.concat(
+        F.transform(F.sequence(F.size(excerpts), F.lit(0), F.lit(-1)), lambda x: size(entities, edges, x)),
+        F.array(*[size(entities, r, F.lit(0)) for r in fewer_edges[1:]], *[size(e, fewer_edges[-1], F.lit(0)) for e in fewer[1:]]),
+    )
+    good = F.filter(shapes, lambda s: F.length(text(s["e"], s["r"], s["x"])) <= budget)
+    chosen = F.transform(F.array(F.coalesce(F.get(good, F.lit(0)), F.element_at(shapes, -1))), lambda s: text(s["e"], s["r"], s["x"]))
+    return F.element_at(chosen, 1)

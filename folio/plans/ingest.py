@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.functions.vectors import l2_normalize
+from folio.lineage import saved
 from folio.operators.intervals import as_of
 from folio.sources.store import chunk_key
 
@@ -68,33 +70,34 @@ def chapter_starts(flagged: DataFrame, key: str = "book_id") -> DataFrame:
     return flagged.where(F.col("heading") & ~T.is_contents(F.col("paragraph"))).select(key, F.col("start").alias("offset"), T.strip(F.col("paragraph")).alias("title"))
 
 
+def passage_ranges(sizes: np.ndarray, target: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of paragraphs: each the shortest from its start whose characters, and two more a paragraph, reach `target`; the next one starts
+    so far back that `overlap` characters are taken up again, but not as far as the start before. By binary search in running sums."""
+    filled, plain = (np.concatenate([[0], np.cumsum(sizes + extra)]) for extra in (2, 0))
+    start, n = 0, len(sizes)
+    while start < n:
+        end = min(n, int(np.searchsorted(filled, filled[start] + target)))
+        end = max(end, start + 1)
+        yield start, end
+        if end == n:
+            return
+        back = int(np.searchsorted(plain, plain[end] - overlap, side="right")) - 1
+        start = min(end, max(start + 1, back))
+
+
 def _packer(target: int, overlap: int):
-    """The scan that packs one chapter's paragraphs: each passage's start depends on the one before, so a window cannot say it."""
+    """Packs one chapter's paragraphs: each passage's start depends on the one before, so a window cannot say it."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("para")
-        texts, starts = pdf["paragraph"].tolist(), pdf["start"].tolist()
-        sizes = [len(t) for t in texts]
-        out, first = [], 0
-        while True:
-            last, filled = first, 0
-            while last < len(texts) and filled < target:
-                filled += sizes[last] + 2
-                last += 1
-            out.append(("\n\n".join(texts[first:last]), starts[first], starts[last - 1] + sizes[last - 1]))
-            if last >= len(texts):
-                break
-            again, back = 0, last
-            while back - 1 > first and again < overlap:
-                back -= 1
-                again += sizes[back]
-            first = max(back, first + 1)
-        frame = pd.DataFrame(out, columns=["text", "char_start", "char_end"])
-        frame.insert(0, "chapter_no", pdf["chapter_no"].iloc[0])
-        frame.insert(0, "book_id", pdf["book_id"].iloc[0])
-        frame["chapter"] = pdf["chapter"].iloc[0]
-        frame["piece"] = range(len(frame))
-        return frame
+        texts, starts = pdf["paragraph"].tolist(), pdf["start"].to_numpy()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ranges = list(passage_ranges(sizes, target, overlap))
+        return pd.DataFrame({
+            "book_id": pdf["book_id"].iloc[0], "chapter_no": pdf["chapter_no"].iloc[0], "text": ["\n\n".join(texts[a:b]) for a, b in ranges],
+            "char_start": [starts[a] for a, _ in ranges], "char_end": [starts[b - 1] + sizes[b - 1] for _, b in ranges],
+            "chapter": pdf["chapter"].iloc[0], "piece": np.arange(len(ranges)),
+        })
 
     return pack
 
@@ -132,18 +135,15 @@ def points(chunks: DataFrame, books: DataFrame, embed: Callable[[Column], Column
 def ingest(texts: DataFrame, embed: Callable[[Column], Column], store=None, context=None, dry_run: bool = False, compose: bool = True) -> tuple[DataFrame, DataFrame]:
     """(report of every book, points of those that pass). texts: book_id, group_id, text, and title as fallback.
 
-    With a store, a book's old points go before its new ones come; a dry run makes no points.
+    With a store, a book's old points are replaced by its new ones in one rewrite of the groups concerned, once the new ones are there; a dry run makes no points.
     """
     report = clean_report(parse_frame(texts), compose=compose)
     report = report.withColumn("errors", T.document_errors(F.col("cleaned"))).withColumn("book_title", F.coalesce("meta_title", "title")).withColumnRenamed("meta_author", "author")
     good = report.where((F.size("errors") == 0) & F.lit(not dry_run))
     made = points(chunk_books(good), good, embed, context)
     if store is not None and not dry_run:
-        store.ensure()
-        made = made.persist()
-        for r in good.select("book_id").distinct().collect():  # one upload's books
-            store.delete_book(r["book_id"])
-        store.upsert(made)
+        made = saved(made, "points")
+        store.replace_books(good.select("book_id").distinct(), made)
     return report, made
 
 

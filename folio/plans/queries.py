@@ -58,8 +58,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(c: DataFrame) -> DataFrame:
-    """Every 25th vector asks; its own chunk is no candidate."""
-    return c.where(F.col("vec_id") % 25 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("book_id").alias("query_book"), F.col("chunk_index").alias("query_index"))
+    """Every vector whose id is divisible by 20 asks; its own chunk is no candidate."""
+    return c.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("book_id").alias("query_book"), F.col("chunk_index").alias("query_index"))
 
 
 OTHERS = "vec_id <> query_id"
@@ -68,7 +68,7 @@ CHUNKS = """
 ch as (select vec_id, 'b' || label as book_id, 'g' || (label % 4) as group_id, ci as chunk_index, 'b' || label || ':' || ci as chunk_key, 1600 * ci as char_start, 1600 * ci + 1800 as char_end,
         list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector
       from (select *, embedding::double[] as v, row_number() over (partition by label order by vec_id) - 1 as ci from embeddings)),
-qs as (select vec_id as query_id, vector as query_vector, book_id as query_book, chunk_index as query_index from ch where vec_id % 25 = 0),
+qs as (select vec_id as query_id, vector as query_vector, book_id as query_book, chunk_index as query_index from ch where vec_id % 20 = 0),
 sc as (select query_id, query_book, query_index, ch.* exclude (vector), round(list_dot_product(vector, query_vector), 6) as score from ch, qs where vec_id <> query_id)"""
 
 
@@ -138,27 +138,23 @@ bo as (select src, dst, weight from ed union all select dst, src, weight from ed
 
 
 def linked_entities(spark: SparkSession, d: str, mentions: DataFrame) -> DataFrame:
-    """Documents divisible by 50 ask; an entity of theirs is the more alike the more letters it has."""
-    scores = mentions.where(F.col("chunk_key") % 50 == 0).select(F.col("chunk_key").alias("query_id"), "entity_id", F.round(0.30 + 0.05 * (F.length("entity_id") % 9), 6).alias("score"))
+    """Documents whose id is divisible by 20 ask; an entity of theirs is the more alike the more letters it has."""
+    scores = mentions.where(F.col("chunk_key") % 20 == 0).select(F.col("chunk_key").alias("query_id"), "entity_id", F.round(0.30 + 0.05 * (F.length("entity_id") % 9), 6).alias("score"))
     return graph.link_entities(scores)
 
 
 LINKED = ENTITIES + """,
 ln as (select * exclude (rank) from (select chunk_key as query_id, entity_id, round(0.30 + 0.05 * (length(entity_id) % 9), 6)::double as score,
-         row_number() over (partition by chunk_key order by round(0.30 + 0.05 * (length(entity_id) % 9), 6) desc, entity_id) as rank from me where chunk_key % 50 = 0) where rank <= 5 and score >= 0.45),
+         row_number() over (partition by chunk_key order by round(0.30 + 0.05 * (length(entity_id) % 9), 6) desc, entity_id) as rank from me where chunk_key % 20 = 0) where rank <= 5 and score >= 0.45),
 nb as (select * from (select *, row_number() over (partition by src order by weight desc, dst) as n from bo) where n <= 3),
 ac as (select query_id, entity_id, round(max(a), 6) as activation from (
          select query_id, entity_id, score as a from ln union all
          select l.query_id, nb.dst, 0.5 * l.score from ln l join nb on l.entity_id = nb.src where not exists (select 1 from ln x where x.query_id = l.query_id and x.entity_id = nb.dst)) group by 1, 2)"""
 
 
-#: The SQL of four graph queries is written over these vectors only; their namesakes in _whole, and global_search, take all.
-FIFTH = "vec_id % 5 = 0"
-
-
-def nearest(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+def nearest(spark: SparkSession, d: str) -> DataFrame:
     """Each vector with its most similar other one: edges of a graph. Of the first two one at most is the vector itself. Saved, as callers read it several times."""
-    c = chunks(spark, d).where(where)
+    c = chunks(spark, d)
     q = c.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
     two = ranking.dense_top_k_blocks(c, q, 2, 64, key="vec_id").drop("rank").where(OTHERS)
     best = top_k(two, 1, "query_id", F.desc("score"), F.col("vec_id"))
@@ -167,7 +163,7 @@ def nearest(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
 
 
 NEAREST = """
-cv as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from (select *, embedding::double[] as v from embeddings) where vec_id % 5 = 0),
+cv as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as vector from (select *, embedding::double[] as v from embeddings)),
 ps as (select q.vec_id as query_id, c.vec_id, round(list_dot_product(c.vector, q.vector), 6) as score from cv c, cv q where c.vec_id <> q.vec_id),
 ne as (select distinct printf('v%06d', least(query_id, vec_id)) as src, printf('v%06d', greatest(query_id, vec_id)) as dst, 1 as weight from
         (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from ps) where r = 1)"""
@@ -593,14 +589,9 @@ def boilerplate_lines(spark, d):
     return lines.select(T.boilerplate_key(F.col("u")).alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query(f"""with {PARAS}, q as (select book_id, para, case when para % 11 = 5 then 'CHAPTER ' || (para % 40) when book_id like '%3' and para % 5 = 0 then 'CHAPTER I CHAPTER II CHAPTER III' else paragraph end as paragraph from pa where para % 2 = 1)
+@query(f"""with {PARAS}, q as (select book_id, para, case when para % 11 = 5 then 'CHAPTER ' || (para % 40) when book_id like '%3' and para % 5 = 0 then 'CHAPTER I CHAPTER II CHAPTER III' else paragraph end as paragraph from pa)
   select book_id, para, (regexp_matches(paragraph, '^(CHAPTER|Chapter|KAPITEL|Kapitel|BOOK|Book)\\b.{{0,70}}$') and length(paragraph) <= 80) as heading, len(regexp_extract_all(paragraph, '(?i)\\b(CHAPTER|KAPITEL)\\b')) >= 3 as contents from q""")
 def heading_flags(spark, d):
-    return _flagged(paragraphs_of_books(spark, d).where("para % 2 = 1"))
-
-
-@query(SQL["heading_flags"].replace(" where para % 2 = 1", ""))
-def heading_flags_whole(spark, d):
     return _flagged(paragraphs_of_books(spark, d))
 
 
@@ -665,11 +656,6 @@ def alias_merge_candidates(spark, d):
 
 @query(f"with recursive {NEAREST.strip()}, bo as (select src as a, dst as b from ne union all select dst, src from ne), re(x, y) as (select a, a from bo union select r.x, b.b from re r join bo b on r.y = b.a) select x as entity_id, min(y) as component from re group by 1")
 def connected_components(spark, d):
-    return _components(nearest(spark, d, FIFTH))
-
-
-@query(SQL["connected_components"].replace(f" where {FIFTH}", ""))
-def connected_components_whole(spark, d):
     return _components(nearest(spark, d))
 
 
@@ -678,34 +664,24 @@ def _components(e: DataFrame) -> DataFrame:
     return communities.components(e, nodes)
 
 
-def _labelled(spark, d, where="true"):
-    return t(spark, d, "embeddings").where(where).select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.format_string("c%03d", "label").alias("community"))
+def _labelled(spark, d):
+    return t(spark, d, "embeddings").select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.format_string("c%03d", "label").alias("community"))
 
 
-def _keyed(spark, d, where="true"):
-    return t(spark, d, "embeddings").where(where).select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.concat(F.lit("k"), F.col("vec_id") % 13).alias("chunk_key"))
+def _keyed(spark, d):
+    return t(spark, d, "embeddings").select(F.format_string("v%06d", "vec_id").alias("entity_id"), F.concat(F.lit("k"), F.col("vec_id") % 13).alias("chunk_key"))
 
 
 @query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c from cv), dg as (select e, sum(w) as deg from (select src as e, weight as w from ne union all select dst, weight from ne) group by 1), m as (select sum(weight)::double as m from ne),
   inn as (select a.c, sum(weight) as i, count(*) as k from ne join mb a on a.e = src join mb b on b.e = dst where a.c = b.c group by 1)
   select mb.c as community, count(*) as size, coalesce(any_value(i), 0)::bigint as internal, coalesce(any_value(k), 0)::bigint as internal_edges, sum(deg)::bigint as degree, round(coalesce(any_value(i), 0) / any_value(m) - pow(sum(deg) / (2 * any_value(m)), 2), 6) as modularity from mb join dg using (e) left join inn on inn.c = mb.c, m group by 1""")
 def modularity_terms(spark, d):
-    return communities.modularity_terms(nearest(spark, d, FIFTH), _labelled(spark, d, FIFTH))
-
-
-@query(SQL["modularity_terms"].replace(f" where {FIFTH}", ""))
-def modularity_terms_whole(spark, d):
     return communities.modularity_terms(nearest(spark, d), _labelled(spark, d))
 
 
 @query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c, 'k' || (vec_id % 13) as chunk_key from cv), dg as (select e, sum(w) as deg from (select src as e, weight as w from ne union all select dst, weight from ne) group by 1)
   select community, rank, chunk_key, score from (select c as community, chunk_key, sum(coalesce(deg, 0))::bigint as score, row_number() over (partition by c order by sum(coalesce(deg, 0)) desc, chunk_key) as rank from mb left join dg using (e) group by 1, 2) where rank <= 3""")
 def community_representatives(spark, d):
-    return communities.representatives(_labelled(spark, d, FIFTH), _keyed(spark, d, FIFTH), nearest(spark, d, FIFTH)).select("community", "rank", "chunk_key", "score")
-
-
-@query(SQL["community_representatives"].replace(f" where {FIFTH}", ""))
-def community_representatives_whole(spark, d):
     return communities.representatives(_labelled(spark, d), _keyed(spark, d), nearest(spark, d)).select("community", "rank", "chunk_key", "score")
 
 
@@ -738,27 +714,17 @@ def graph_build(spark, d):
     return g.nodes.join(communities.weighted_degree(g.edges), "entity_id", "left").select("entity_id", "name", "type", "n_mentions", "idf", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query(f"""with {CHUNKS}, rk as ({ranked_sql(8)}), gr as (select query_id, chunk_key, 1.0 * (chunk_index % 7) as graph_score from (select query_id, chunk_key, chunk_index, row_number() over (partition by query_id order by chunk_index % 7 desc, chunk_key) as r from sc where vec_id % 3 = 0) where r <= 40),
+@query(f"""with {CHUNKS}, rk as ({ranked_sql(8)}), gr as (select query_id, chunk_key, 1.0 * (chunk_index % 7) as graph_score from (select query_id, chunk_key, chunk_index, row_number() over (partition by query_id order by chunk_index % 7 desc, chunk_key) as r from sc) where r <= 40),
   sh as (select query_id, chunk_key, graph_score / max(graph_score) over (partition by query_id) as g, row_number() over (partition by query_id order by graph_score desc, chunk_key) as r from gr),
   al as (select r.query_id, r.chunk_key, r.score, 0 as l, r.rank as o, coalesce(g, 0) as g from rk r left join sh using (query_id, chunk_key) union all
          select s.query_id, s.chunk_key, sc.score, 1, s.r, s.g from sh s join sc using (query_id, chunk_key) where s.r <= 20 and not exists (select 1 from rk x where x.query_id = s.query_id and x.chunk_key = s.chunk_key))
   select query_id, chunk_key, round(score + 0.10 * g, 6) as fused, round(g, 4) as graph_score from al""")
 def fuse_scores(spark, d):
-    return _fused(spark, d, "vec_id % 3 = 0")
-
-
-@query(SQL["fuse_scores"].replace(" where vec_id % 3 = 0", ""))
-def fuse_scores_whole(spark, d):
-    return _fused(spark, d, "true")
-
-
-def _fused(spark, d, pool):
-    """`pool`: the chunks that the graph's own ranking takes."""
     c = chunks(spark, d)
     q = asked(c)
     scores = ranking.pair_scores(c, q, on=F.expr(OTHERS))
     dense = top_k(scores, 8, "query_id", F.desc("score"), F.col("chunk_key"))
-    g = top_k(scores.where(pool), 40, "query_id", F.desc(F.col("chunk_index") % 7), F.col("chunk_key")).select("query_id", "chunk_key", (1.0 * (F.col("chunk_index") % 7)).alias("graph_score"))
+    g = top_k(scores, 40, "query_id", F.desc(F.col("chunk_index") % 7), F.col("chunk_key")).select("query_id", "chunk_key", (1.0 * (F.col("chunk_index") % 7)).alias("graph_score"))
     # without overlaps between candidates nothing is dropped, so that scores alone are seen
     apart = lambda x: x.withColumn("book_id", F.concat_ws("/", "book_id", "chunk_key"))
     return graph.fuse(apart(dense), g, apart(scores), 0, graph.GraphParams(alpha=0.10)).select("query_id", "chunk_key", "fused", "graph_score")
@@ -786,13 +752,8 @@ def distinct_chapters(spark, d):
     return rows.groupBy("source").agg(evaluation.distinct_with_null("lang").alias("distinct_langs"))
 
 
-@query("select item_id, answer, coalesce(lead(answer) over (order by item_id), first_value(answer) over (order by item_id)) as other_answer from (select item_id, left(text, 20) as answer from benchmark)")
+@query("select item_id, answer, coalesce(lead(answer) over (order by item_id), first_value(answer) over (order by item_id)) as other_answer from (select item_id, text as answer from benchmark)")
 def calibration_pairs(spark, d):
-    return evaluation.calibration_pairs(t(spark, d, "benchmark").select("item_id", F.substring("text", 1, 20).alias("answer")))
-
-
-@query(SQL["calibration_pairs"].replace("left(text, 20)", "text"))
-def calibration_pairs_whole(spark, d):
     return evaluation.calibration_pairs(t(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")))
 
 

@@ -83,18 +83,28 @@ class ChunkStore:
         self._rewrite(merged(old, points, ["chunk_key"]))
         return points.count()
 
-    def delete_book(self, book: str) -> None:
-        every = self.scan(vectors=True)
-        touched = every.where(F.col("book_id") == book).select("group_id").distinct()
-        left = every.join(touched, "group_id", "left_semi").where(F.col("book_id") != book)
-        gone = [r["group_id"] for r in touched.join(left.select("group_id").distinct(), "group_id", "left_anti").collect()]  # groups, at most as many as the book is in
+    def replace_books(self, books: DataFrame, points: DataFrame | None = None) -> None:
+        """The books' old chunks (column book_id) go and `points` come, in one rewrite of the groups that either is in."""
+        self.ensure()
+        every, none = self.scan(vectors=True), self.spark.createDataFrame([], CHUNK)
+        fresh = none if points is None else none.unionByName(points, allowMissingColumns=True)
+        gone = books.select("book_id").distinct()
+        touched = every.join(gone, "book_id", "left_semi").select("group_id").unionByName(fresh.select("group_id")).distinct()
+        left = every.join(touched, "group_id", "left_semi").join(gone, "book_id", "left_anti").select(*names(CHUNK)).unionByName(fresh.select(*names(CHUNK)))
+        empty = [r["group_id"] for r in touched.join(left.select("group_id").distinct(), "group_id", "left_anti").collect()]  # groups without any other book
         self._rewrite(left)
-        for g in gone:
+        for g in empty:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/group_id={g}")
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def delete_book(self, book: str) -> None:
+        self.replace_books(self.spark.createDataFrame([(book,)], "book_id string"))
+
     def set_payload(self, fields: DataFrame) -> None:
-        self._rewrite(patched(self.scan(vectors=True), fields, ["chunk_key"]).select(*names(CHUNK)))
+        """Rewrites the groups that have one of the keys."""
+        every = self.scan(vectors=True)
+        touched = every.join(fields.select("chunk_key"), "chunk_key", "left_semi").select("group_id").distinct()
+        self._rewrite(patched(every.join(touched, "group_id", "left_semi"), fields, ["chunk_key"]).select(*names(CHUNK)))
 
 
 def replace_partitions(rows: DataFrame, path: str) -> None:

@@ -40,8 +40,8 @@ def nearest_edges(spark, sf_dir):
 def test_every_vector_is_node_and_candidate(spark, sf_dir, nearest_edges):
     ids, want = nearest_edges
     assert {(r["src"], r["dst"]) for r in Q.nearest(spark, sf_dir).collect()} == want
-    assert {r["entity_id"] for r in Q.QUERIES["connected_components_whole"](spark, sf_dir).collect()} == {f"v{k:06d}" for k in ids}
-    assert Q.QUERIES["modularity_terms_whole"](spark, sf_dir).agg(F.sum("size")).first()[0] == len(ids)
+    assert {r["entity_id"] for r in Q.QUERIES["connected_components"](spark, sf_dir).collect()} == {f"v{k:06d}" for k in ids}
+    assert Q.QUERIES["modularity_terms"](spark, sf_dir).agg(F.sum("size")).first()[0] == len(ids)
 
 
 def test_global_search_ranks_passages_over_all_vectors(spark, sf_dir, nearest_edges):
@@ -59,14 +59,14 @@ def test_global_search_ranks_passages_over_all_vectors(spark, sf_dir, nearest_ed
 def test_every_vector_is_in_the_graph_pool(spark, sf_dir):
     c = Q.chunks(spark, sf_dir)
     rows = c.select("vec_id", "chunk_key", "chunk_index").collect()
-    got = {r["chunk_key"] for r in Q.QUERIES["fuse_scores_whole"](spark, sf_dir).where("query_id = 0 and graph_score > 0").collect()}
+    got = {r["chunk_key"] for r in Q.QUERIES["fuse_scores"](spark, sf_dir).where("query_id = 0 and graph_score > 0").collect()}
     pool = sorted((r for r in rows if r["vec_id"] != 0), key=lambda r: (-(r["chunk_index"] % 7), r["chunk_key"]))[:40]
     assert {r["chunk_key"] for r in pool[:20]} <= got and any(r["vec_id"] % 3 for r in pool[:20])
 
 
 def test_every_paragraph_is_flagged(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
-    got = [r["para"] for r in Q.QUERIES["heading_flags_whole"](spark, sf_dir).collect()]
+    got = [r["para"] for r in Q.QUERIES["heading_flags"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(r[0] for r in docs) and any(k % 2 == 0 for k in got)
 
 
@@ -85,7 +85,7 @@ def test_extraction_and_calibration_take_whole_texts(spark, sf_dir, tmp_path):
     spark.createDataFrame([(2, " ".join(["Abcdef"] * 12 + names))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert Q.QUERIES["extraction_parse"](spark, str(tmp_path)).first()["n_entities"] == 8
     texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()}
-    assert {r["item_id"]: r["answer"] for r in Q.QUERIES["calibration_pairs_whole"](spark, sf_dir).collect()} == texts
+    assert {r["item_id"]: r["answer"] for r in Q.QUERIES["calibration_pairs"](spark, sf_dir).collect()} == texts
 
 
 def test_communities_use_edges_of_single_documents(spark, sf_dir):
