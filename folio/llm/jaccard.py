@@ -610,6 +610,10 @@ def _opened(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+#: Copies from which on a class may count as very large.
+COPIES = 1000
+
+
 def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     profile = saved(profiles(docs, config, key, text), "profiles")
@@ -617,7 +621,7 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     total = rows.agg(F.count("*").alias("docs"), F.sum(F.expr(f"greatest(n - (({config.percent} * n + 99) div 100) + 1, ({config.lead} * n + 99) div 100)")).alias("lead")).first()
     hot, hot_n = hot_tokens(profile, config)
     bits = max(0, int(total["lead"] or 0) // config.bucket).bit_length()
-    classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # an id with several texts ties their classes together
     with_more = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("h1").alias("_lo"), F.max("h1").alias("_hi")).where("_lo <> _hi").select("_id")
     tied = saved(rows.join(with_more, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")), "tied")
@@ -686,10 +690,15 @@ def components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), key: st
     for old in (sets, near, members, asked, far, tied, first):
         dropped(old)
 
-    mapped = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("_component"))
-    joined = profile.join(mapped, (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    mapped = classes.join(final, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("_component"), "copies")
+    # classes of very many copies are few (100,000 at most), so they are broadcast and their rows are not dealt by class
+    many = max(COPIES, total["docs"] // 100_000)
+    same = (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    ids = profile.select("doc_id", "n", "h1", "h2")
+    large = F.broadcast(saved(mapped.where(F.col("copies") >= many), "large-classes"))
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.least("_component", "doc_id")).otherwise(F.col("doc_id")))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    parts = [ids.join(large, same), ids.join(large, same, "left_anti").join(mapped.where(F.col("copies") < many), same, "left")]
+    return parts[0].select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).unionByName(parts[1].select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
 
 
 SQL = """

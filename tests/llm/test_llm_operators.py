@@ -198,7 +198,8 @@ def family(seed, copies, words=90, rate=0.05, line=""):
 
 
 @pytest.mark.parametrize("config", [jaccard.JaccardConfig(), jaccard.JaccardConfig(cell=4, bucket=50, hot=6), jaccard.JaccardConfig(cell=3, cell_tokens=200, bucket=10, hot=8, hot_most=300)])
-def test_jaccard_against_all_pairs(spark, config):
+def test_jaccard_against_all_pairs(spark, config, monkeypatch):
+    monkeypatch.setattr(jaccard, "COPIES", 5 if config.cell < 10 else 1000)
     line = "the one line that very many of these documents begin with today "
     texts = [t for s in range(6) for t in family(s, 14, rate=0.02 + 0.02 * s)] + [line + f"and {k} tail {k * k}" for k in range(30)] + family(99, 20, line=line) + strange()[4:] + ["a b c d e f g"] * 9 + [None, "", "x y", "x y", "x Y"]
     texts = [t if t is None or len(t) < 200_000 else t[:5000] for t in texts]
