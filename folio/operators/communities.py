@@ -162,3 +162,28 @@ def global_points(selected: DataFrame, reports: DataFrame, chunks: DataFrame, pe
     passages = first.join(chunks.select("chunk_key", "text"), "chunk_key").select(query, "rank", "community", (F.col("k") + 1).alias("part"), F.lit("chunk").alias("kind"), "chunk_key", "text", "score")
     every = own.unionByName(passages)
     return every.withColumn("marker", F.row_number().over(Window.partitionBy(query).orderBy("rank", "part"))).drop("rank", "part")
+
+
+def ordered_entities(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, entities): each community's entities by weighted degree, equal ones by id."""
+    ranked = members.join(weighted_degree(edges), "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    lists = ranked.groupBy("community").agg(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "entity_id"))).alias("l"))
+    return lists.select("community", F.transform("l", lambda x: x["entity_id"]).alias("entities"))
+
+
+def report_edges(members: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+    """(community, rank, src, dst, weight): the heaviest edges inside each community, equal ones by their ends."""
+    one, two = (members.select(F.col("entity_id").alias(end), F.col("community").alias(f"_{end}")) for end in ("src", "dst"))
+    inside = edges.join(one, "src").join(two, "dst").where(F.col("_src") == F.col("_dst")).withColumnRenamed("_src", "community").drop("_dst")
+    return top_k(inside, most, "community", F.desc("weight"), F.col("src"), F.col("dst")).select("community", "rank", "src", "dst", "weight")
+
+
+def union_indexes(indexes: dict[str, DataFrame]) -> DataFrame:
+    """Several groups' community reports as one table, ids and entities told apart by their group."""
+    every = None
+    for group, t in sorted(indexes.items()):
+        named = t.withColumn("community", F.concat(F.lit(f"{group}/"), F.col("community")))
+        if "entities" in named.columns:
+            named = named.withColumn("entities", F.transform("entities", lambda e, g=group: F.concat(F.lit(f"{g}/"), e)))
+        every = named if every is None else every.unionByName(named, allowMissingColumns=True)
+    return every

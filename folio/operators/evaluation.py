@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,3 +166,60 @@ def verdict(gain: Column, better: Column, faithful: Column, faithful_base: Colum
     void = calibrated_low.isNotNull() & ((calibrated_low > 0.2) | (F.coalesce(calibrated_high, F.lit(0.0)) < 0.8))
     kept = faithful.isNull() | faithful_base.isNull() | (faithful >= faithful_base - 0.15)
     return F.when(void, "UNCALIBRATED").when((gain >= 0.15) & (better >= 6) & kept, "POSITIVE").when((gain <= 0) | (faithful < 0.35), "NEGATIVE").otherwise("MIXED")
+
+
+def chapter_statistics(chunks: DataFrame) -> DataFrame:
+    """Chunks of each chapter (one without a chapter is a group of its own), their mean and largest length, and where the book ends."""
+    size = F.col("char_end") - F.col("char_start")
+    return chunks.groupBy("book_id", "chapter").agg(F.count("*").alias("n_chunks"), F.round(F.avg(size), 6).alias("mean_chars"), F.max(size).alias("most_chars"), F.max("char_end").alias("extent"))
+
+
+def chapter_coverage(items: DataFrame, chunks: DataFrame, item: str = "item_id") -> DataFrame:
+    """For each item with a set of chapters, how many chunks are in one of them."""
+    wanted = items.select(item, F.explode(F.array_distinct("chapters")).alias("chapter"))
+    per = chunks.groupBy("chapter").agg(F.count("*").alias("n"))
+    return items.select(item).join(wanted.join(per, "chapter").groupBy(item).agg(F.sum("n").alias("n_chunks")), item, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+def gold_with_controls(items: DataFrame, fixed: list[str], n: int, seed: int = 42) -> DataFrame:
+    """Items about the whole book, and `n` control items: those with fixed ids first, then facts in an order of hashes; a control's rubric is its answer."""
+    facts = items.where((F.col("qtype") == "fact") | F.col("id").isin(fixed))
+    order = Window.orderBy(F.when(F.col("id").isin(fixed), 0).otherwise(1), F.md5(F.concat("id", F.lit(f":{seed}"))))  # a gold set has tens of items
+    control = facts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k").withColumn("rubric", F.array("answer")).withColumn("control", F.lit(True))
+    return items.where("qtype = 'global'").withColumn("control", F.lit(False)).unionByName(control, allowMissingColumns=True)
+
+
+def model_name(name: Column) -> Column:
+    """A model's name for tables: without its size tag's suffixes."""
+    return F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"-(instruct|it)\b.*$", "")
+
+
+def projection(vectors: DataFrame, dims: int = 2, vector: str = "vector") -> tuple[DataFrame, list[float]]:
+    """(rows with `point`, share of variance of each axis): principal axes of the centred vectors; moments are summed in the tables, axes found on the driver.
+
+    An axis points to where its largest component is positive.
+    """
+    spots = vectors.select(F.posexplode(vector).alias("i", "x"))
+    mean = spots.groupBy("i").agg(F.avg("x").alias("m"))
+    centre = np.array([r["m"] for r in sorted(mean.collect())])  # as many as a vector has components
+    shifted = F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: a - b)
+    rows = vectors.withColumn("_v", shifted)
+    lines = rows.select(F.posexplode("_v").alias("i", "a"), "_v").select("i", F.transform("_v", lambda b: F.col("a") * b).alias("p")).select("i", F.posexplode("p").alias("j", "p")).groupBy("i", "j").agg(F.sum("p").alias("p"))
+    moments = np.zeros((len(centre), len(centre)))
+    for r in lines.collect():  # the square of the number of components
+        moments[r["i"], r["j"]] = r["p"]
+    values, axes = np.linalg.eigh(moments)
+    axes = axes[:, ::-1][:, :dims].T
+    axes = [a * np.sign(a[np.argmax(np.abs(a))]) for a in axes]
+    along = [F.round(F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(c)) for c in a]), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p), 6) for a in axes]
+    total = float(values.sum()) or 1.0
+    return rows.withColumn("point", F.array(*along)).drop("_v"), [float(v) / total for v in values[::-1][:dims]]
+
+
+def health(tables: dict[str, DataFrame], services: dict[str, bool]) -> DataFrame:
+    """One row of what is there: how many rows each table has, which services answer, and ok if all do."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.range(1).select(*[F.lit(up).alias(f"{name}_up") for name, up in sorted(services.items())], F.lit("ok" if all(services.values()) else "degraded").alias("status"))
+    for name, t in sorted(tables.items()):
+        out = out.crossJoin(t.agg(F.count("*").alias(f"n_{name}")))
+    return out

@@ -20,7 +20,9 @@ from folio.models import HashEmbedder, complete, embed, lexical_score
 from folio.operators import catalog, communities, evaluation, graph, intervals, lexical, ranking
 from folio.operators.ranking import top_k
 from folio.plans import answer as A
+from folio.plans import generation as G
 from folio.plans import ingest as I
+from folio.plans import retrieval as R
 from folio.sources import files, store
 from folio.streaming import events as E
 
@@ -852,3 +854,130 @@ def global_search(spark, d):
     scores = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(F.broadcast(reports.select("community")), F.lit(True)).withColumn("score", F.round(F.pmod(F.xxhash64("query_id", "community"), F.lit(1000)) / 1000.0, 3))
     texts = keys.select("chunk_key", F.concat(F.lit("text of "), "chunk_key").alias("text")).distinct()
     return communities.global_points(communities.select_reports(scores), reports, texts)
+
+
+# --- statistics of corpora, answers and graphs ----------------------------------------------------------------------------------
+
+
+@query(f"""with {CHUNKS} select book_id, chapter, count(*) as n_chunks, round(avg(char_end - char_start), 6)::double as mean_chars, max(char_end - char_start)::bigint as most_chars, max(char_end)::bigint as extent
+  from (select *, case when chunk_index % 7 > 0 then 'c' || (chunk_index // 10) end as chapter from ch) group by 1, 2""")
+def chapter_statistics(spark, d):
+    chapter = F.when(F.col("chunk_index") % 7 > 0, F.concat(F.lit("c"), F.floor(F.col("chunk_index") / 10)))
+    return evaluation.chapter_statistics(chunks(spark, d).withColumn("chapter", chapter))
+
+
+@query(f"""with {CHUNKS}, per as (select 'c' || (chunk_index // 10) as chapter, count(*) as n from ch group by 1), it as (select n_nationkey as item_id, unnest(list_distinct(['c' || (n_nationkey % 3), 'c' || (n_nationkey % 2), 'none'])) as chapter from nation)
+  select item_id, coalesce(sum(n), 0)::bigint as n_chunks from it left join per using (chapter) group by 1""")
+def chapter_coverage(spark, d):
+    c = chunks(spark, d).withColumn("chapter", F.concat(F.lit("c"), F.floor(F.col("chunk_index") / 10)))
+    name = lambda n: F.concat(F.lit("c"), F.col("n_nationkey") % n)
+    items = t(spark, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.array(name(3), name(2), F.lit("none")).alias("chapters"))
+    return evaluation.chapter_coverage(items, c)
+
+
+def _extractions(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))
+    return t(spark, d, "documents").select("source", words.alias("entities"), F.when(F.col("doc_id") % 3 > 0, words).alias("relations"), F.when(F.col("doc_id") % 5 == 0, "invalid JSON").alias("error"), (F.col("doc_id") % 7 == 0).alias("truncated"), (F.col("n_chars") % 4).alias("ms"))
+
+
+@query("""select count(*) as n_rows, count(error) as errors, round(count(error)::double / count(*), 6) as error_rate, count(*) filter (truncated) as repaired, round(avg(e), 6) as avg_entities, round(avg(r), 6) as avg_relations, round(avg(nullif(ms, 0)), 6) as avg_ms
+  from (select len(w) as e, case when doc_id % 3 > 0 then len(w) else 0 end as r, case when doc_id % 5 = 0 then 'x' end as error, doc_id % 7 = 0 as truncated, n_chars % 4 as ms from (select *, regexp_extract_all(text, '[A-Z][a-z]{5,}') as w from documents))""")
+def extraction_summary(spark, d):
+    return G.extraction_summary(_extractions(spark, d))
+
+
+@query("select doc_id % 4 as grp, count(*) as points, round(avg(case when quality = 1 and doc_id % 9 > 0 then 1.0 else 0.0 end), 6)::double as coverage from labels group by 1")
+def rubric_coverage(spark, d):
+    said = F.when(F.col("doc_id") % 9 > 0, F.when(F.col("quality") == 1, " ja, sicher").otherwise("Nein"))
+    return G.rubric_coverage(t(spark, d, "labels").select((F.col("doc_id") % 4).alias("grp"), G.says_yes(said).alias("present")), ["grp"])
+
+
+@query("""select user_id, count(*) filter (event_type in ('view', 'click', 'purchase')) as llm_calls, count(*) filter (event_type = 'click') as retries, greatest(count(*) filter (event_type = 'purchase') - 1, 0) as regens from events group by 1""")
+def trace_counts(spark, d):
+    node = F.when(F.col("event_type") == "view", "grade").when(F.col("event_type") == "click", "rewrite").when(F.col("event_type") == "purchase", "generate").otherwise("search")
+    traces = t(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(node.alias("node"))).alias("trace"))
+    out = G.trace_counts(traces)
+    return out.select("user_id", *[F.col(c).cast("long").alias(c) for c in ("llm_calls", "retries", "regens")])
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'Kapitel ' || doc_id when doc_id % 3 = 1 then source || ' · bei ' || (doc_id % 100) || ' %' when doc_id % 2 = 0 then source else 'Quelle' end as label from documents")
+def source_labels(spark, d):
+    k = F.col("doc_id")
+    chapter, title = F.when(k % 3 == 0, F.concat(F.lit("Kapitel "), k.cast("string"))).otherwise(F.when(k % 2 == 0, F.lit(""))), F.when((k % 3 == 1) | (k % 2 == 0), F.col("source"))
+    return t(spark, d, "documents").select("doc_id", G.source_label(chapter, title, F.when(k % 3 == 1, k % 100)).alias("label"))
+
+
+@query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c from cv), dg as (select e, sum(w) as deg from (select src as e, weight as w from ne union all select dst, weight from ne) group by 1)
+  select c as community, string_agg(e, ',' order by coalesce(deg, 0) desc, e) as entities from mb left join dg using (e) group by 1""")
+def community_entities(spark, d):
+    return communities.ordered_entities(_labelled(spark, d), nearest(spark, d)).select("community", F.array_join("entities", ",").alias("entities"))
+
+
+@query(f"""with {NEAREST}, mb as (select printf('v%06d', vec_id) as e, printf('c%03d', label) as c from cv)
+  select * from (select a.c as community, row_number() over (partition by a.c order by weight desc, src, dst) as rank, src, dst, weight from ne join mb a on a.e = src join mb b on b.e = dst where a.c = b.c) where rank <= 12""")
+def community_edges(spark, d):
+    return communities.report_edges(_labelled(spark, d), nearest(spark, d), 12)
+
+
+@query(f"""with {ENTITIES}, dg as (select src as e, sum(weight)::bigint as n from bo group by 1), al as (select 'degree' as kind, e, n from dg union all select 'mentions', entity_id, n_mentions from no union all select 'type', upper(left(entity_id, 1)), count(*) from no group by 2)
+  select kind, rank, e as name, n from (select *, row_number() over (partition by kind order by n desc, e) as rank from al) where rank <= 10 or kind = 'type'""")
+def graph_top_stats(spark, d):
+    nodes, edges, mentions, _ = entity_graph(spark, d)
+    named = nodes.withColumn("name", F.col("entity_id")).withColumn("type", F.upper(F.substring("entity_id", 1, 1)))
+    return graph.top_stats(graph.Graph(named, edges, mentions, mentions, mentions))
+
+
+@query("select row_number() over (order by md5(doc_id || ':42'), doc_id) as place, doc_id from labels")
+def judge_order(spark, d):
+    tasks = G.blind_order(t(spark, d, "labels").select("doc_id"), "doc_id")
+    return tasks.select(F.row_number().over(Window.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), "doc_id")).alias("place"), "doc_id")
+
+
+def chunk_graph(c: DataFrame) -> tuple[graph.Graph, DataFrame]:
+    """A graph over chunks: two entities a chunk, by remainders of its number, each with the vector of its first chunk."""
+    pair = F.array(F.concat(F.lit("e"), F.col("vec_id") % 17), F.concat(F.lit("f"), F.col("vec_id") % 23))
+    mentions = saved(c.select("chunk_key", "vec_id", "vector", F.explode(pair).alias("entity_id")), "chunk-mentions")
+    n = c.count()
+    nodes = mentions.groupBy("entity_id").agg(F.count("*").alias("n_mentions"), F.min_by("vector", "vec_id").alias("vector")).withColumn("idf", graph.idf(F.col("n_mentions"), n)).withColumn("name", F.col("entity_id"))
+    edges = c.select(pair.alias("p")).groupBy(F.col("p")[0].alias("src"), F.col("p")[1].alias("dst")).agg(F.count("*").alias("weight"))
+    plain = mentions.select("entity_id", "chunk_key")
+    return graph.Graph(nodes, edges, plain, plain, plain), nodes.select("entity_id", "vector")
+
+
+def _graph_hits(spark, d, mode):
+    c = chunks(spark, d)
+    g, vectors = chunk_graph(c)
+    q = asked(c).select("query_id", "query_vector")
+    return R.graph_hits(q, c, g, vectors, 5, mode, graph.GraphParams(min_sim=0.1)).select("query_id", "rank", "chunk_key", F.round("score", 5).alias("score"))
+
+
+@query()
+def graph_link(spark, d):
+    """Dense hits fused with passages of the entities that the question activates; tests hold it against plain loops, as the two below."""
+    return _graph_hits(spark, d, "link")
+
+
+@query()
+def graph_expand(spark, d):
+    return _graph_hits(spark, d, "expand")
+
+
+@query()
+def graph_only(spark, d):
+    return _graph_hits(spark, d, "graph_only")
+
+
+@query()
+def service_answers(spark, d):
+    """Each question by its service, with dense retrieval for those that get nothing; then answered and checked by stand-ins."""
+    c = chunks(spark, d)
+    g, vectors = chunk_graph(c)
+    kind = F.when(F.col("query_id") % 3 == 0, "graph").when(F.col("query_id") % 3 == 1, "global").otherwise("dense")
+    q = asked(c).select("query_id", "query_vector", F.concat(F.lit("Frage "), F.col("query_id").cast("string")).alias("question")).withColumn("service", kind)
+    pick = lambda t: t.select("query_id", "rank", "score", *R.PLACE)
+    services = {"graph": lambda x: pick(R.graph_hits(x, c, g, vectors, 4)), "global": lambda x: pick(ranking.retrieve(c, x, 4).withColumn("score", F.lit(0.0)).where("false")), "dense": lambda x: pick(ranking.retrieve(c, x, 4).withColumn("score", F.lit(0.0)))}
+    hits = saved(R.by_service(q, services).withColumn("text", F.concat(F.lit("Stelle "), F.col("chunk_key"))), "hits")
+    model = lambda p: F.when(p.contains("STRENG"), F.lit("Es steht da [1].")).otherwise(F.concat(F.lit("Antwort mit [1] und [2]. "), F.substring(F.md5(p), 1, 4)))
+    entails = lambda premise, hypothesis: F.when(hypothesis.contains("Es steht") | premise.endswith("0"), 0.9).otherwise(0.1)
+    answers, sources = G.checked_answers(q.drop("service"), hits, model, entails, Settings(), "system", "Antworte.", "STRENG")
+    return answers.join(hits.select("query_id", "service").distinct(), "query_id", "left").select("query_id", "service", "regen", "n_sources", "unsupported", "llm_calls", F.length("answer").alias("chars"))

@@ -116,3 +116,43 @@ def sse_blocks(text: Column) -> Column:
     whole = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
     field = lambda b, name: F.regexp_extract(b, rf"(?m)^{name}: ?(.*)$", 1)
     return F.transform(F.filter(whole, lambda b: F.trim(b) != ""), lambda b: F.struct(field(b, "event").alias("event"), field(b, "data").alias("data")))
+
+
+# --- graphs and community indexes ---------------------------------------------------------------------------------------------
+
+_GRAPH_ORDER = {"nodes": ["entity_id"], "edges": ["src", "dst"], "mentions": ["entity_id", "chunk_key"], "merges": ["entity_id"], "ambiguous": ["entity_id"]}
+
+
+def save_graph(g, path: str) -> None:
+    """A graph's tables as JSON lines under one folder, each sorted by its key, so that equal graphs give equal files."""
+    for name, keys in _GRAPH_ORDER.items():
+        getattr(g, name).orderBy(*keys).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_graph(spark: SparkSession, path: str):
+    """What `save_graph` wrote. Columns that had no value in any row are typed as in a graph that is built."""
+    from folio.operators.graph import Graph
+
+    kinds = {
+        "nodes": "entity_id string, name string, type string, aliases array<string>, desc string, n_mentions long, idf double",
+        "edges": "src string, dst string, weight long, rels array<struct<rel:string,chunk:string>>", "mentions": "entity_id string, chunk_key string",
+        "merges": "entity_id string, target string", "ambiguous": "entity_id string, candidates array<string>",
+    }
+    return Graph(**{name: spark.read.schema(kind).json(f"{path}/{name}") for name, kind in kinds.items()})
+
+
+def save_partition(members: DataFrame, path: str) -> None:
+    """Communities as JSON lines: community, size and entities in order."""
+    lists = members.groupBy("community").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("entity_id")).alias("entities"))
+    lists.orderBy("community").write.mode("overwrite").json(path)
+
+
+def load_partition(spark: SparkSession, path: str) -> DataFrame:
+    """(entity_id, community, size) of what `save_partition` wrote."""
+    return spark.read.schema("community string, size long, entities array<string>").json(path).select(F.explode("entities").alias("entity_id"), "community", "size")
+
+
+def graph_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a graph was saved there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
