@@ -184,6 +184,6 @@ def union_indexes(indexes: dict[str, DataFrame]) -> DataFrame:
     for group, t in sorted(indexes.items()):
         named = t.withColumn("community", F.concat(F.lit(f"{group}/"), F.col("community")))
         if "entities" in named.columns:
-            named = named.withColumn("entities", F.transform("entities", lambda e, g=group: F.concat(F.lit(f"{g}/"), e)))
+            named = named.withColumn("_group", F.lit(f"{group}/")).withColumn("entities", F.transform("entities", lambda e: F.concat(F.col("_group"), e))).drop("_group")
         every = named if every is None else every.unionByName(named, allowMissingColumns=True)
     return every

@@ -12,6 +12,7 @@ from folio.functions import text as T
 from folio.operators import catalog, communities, ranking
 from folio.plans import answer as A
 from folio.plans import ingest as I
+from tests_plain import plain_ranges
 
 
 def test_components_of_a_long_chain(spark):
@@ -43,23 +44,6 @@ def test_small_counts_bytes(spark):
     assert ranking.small(wide, 100, 10**6) and not ranking.small(wide, 100, 700_000) and not ranking.small(wide, 49, 10**7)
 
 
-def plain_ranges(sizes, target, overlap):
-    """The rule step by step: take paragraphs until the target is reached; take up the last ones again until the overlap is reached, never the first."""
-    out, start = [], 0
-    while start < len(sizes):
-        end = start
-        while end < len(sizes) and (end == start or sum(s + 2 for s in sizes[start:end]) < target):
-            end += 1
-        out.append((start, end))
-        if end == len(sizes):
-            break
-        back = end
-        while back > start + 1 and sum(sizes[back:end]) < overlap:
-            back -= 1
-        start = max(start + 1, back)
-    return out
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_passage_ranges_against_the_rule(seed):
     rng = random.Random(seed)
