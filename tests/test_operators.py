@@ -187,7 +187,7 @@ def test_graph_of_four_chunks(spark):
     assert nodes["PERSON:dracula"]["name"] == "Dracula" and nodes["PERSON:dracula"]["aliases"] == ["Count Dracula"] and nodes["PERSON:dracula"]["desc"] == "vampire"
     edges = {(r["src"], r["dst"]): r for r in g.edges.collect()}
     assert edges["PERSON:dracula", "PERSON:lucy westenra"]["weight"] == 2 and [x["rel"] for x in edges["PERSON:dracula", "PERSON:lucy westenra"]["rels"]] == ["bites", "knows"]
-    assert graph.stats(g).first().asDict() == {"n_nodes": 3, "n_edges": 2, "isolated": 0}
+    assert graph.stats(g).first().asDict() == {"n_nodes": 3, "n_edges": 2, "isolated": 0, "chunks_with_entities": 4}
     linked = spark.createDataFrame([(1, "PLACE:whitby", 0.9)], "query_id int, entity_id string, score double")
     act = graph.hop_activations(linked, g.edges)
     assert {r["entity_id"]: r["activation"] for r in act.collect()} == {"PLACE:whitby": 0.9, "PERSON:dracula": 0.45}
