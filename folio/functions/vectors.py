@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    wide, n = a.cast("array<double>"), norm(a)
-    return F.when(n == 0, wide).otherwise(F.transform(wide, lambda x: x / n))
+    """Unit length; a zero vector stays as it is. The norm stands in an array, so that it is taken once a vector and not once a component."""
+    wide = a.cast("array<double>")
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n == 0, wide).otherwise(F.transform(wide, lambda x: x / n))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

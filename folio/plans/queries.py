@@ -64,7 +64,8 @@ def asked(c: DataFrame) -> DataFrame:
     return c.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("book_id").alias("query_book"), F.col("chunk_index").alias("query_index"))
 
 
-OTHERS = "vec_id <> query_id"
+OTHER = "vec_id"
+OTHERS = f"{OTHER} <> query_id"
 
 CHUNKS = """
 ch as (select vec_id, 'b' || label as book_id, 'g' || (label % 4) as group_id, ci as chunk_index, 'b' || label || ':' || ci as chunk_key, 1600 * ci as char_start, 1600 * ci + 1800 as char_end,
@@ -176,7 +177,7 @@ ne as (select distinct printf('v%06d', least(query_id, vec_id)) as src, printf('
 @query(f"with {CHUNKS} select query_id, rank, chunk_key, score from ({ranked_sql(8)})")
 def dense_topk(spark, d):
     c = chunks(spark, d)
-    return ranking.dense_top_k(c, asked(c), 8, on=F.expr(OTHERS)).select("query_id", "rank", "chunk_key", "score")
+    return ranking.dense_top_k(c, asked(c), 8, other=OTHER).select("query_id", "rank", "chunk_key", "score")
 
 
 @query(f"with {CHUNKS} select query_id, rank, chunk_key, score from (select *, row_number() over (partition by query_id order by score desc, chunk_key) as rank from (select q.query_id, c.chunk_key, round(list_dot_product(c.vector, q.query_vector), 6) as score from ch c, qs q)) where rank <= 5")
@@ -188,14 +189,14 @@ def dense_topk_blocks(spark, d):
 @query(f"with {CHUNKS}, rk as ({ranked_sql(16)}) {dedup_sql(8)}")
 def dense_dedup(spark, d):
     c = chunks(spark, d)
-    return ranking.retrieve(c, asked(c), 8, on=F.expr(OTHERS)).select("query_id", "rank", "chunk_key", "book_id", "chunk_index", "char_start", "char_end")
+    return ranking.retrieve(c, asked(c), 8, other=OTHER).select("query_id", "rank", "chunk_key", "book_id", "chunk_index", "char_start", "char_end")
 
 
 @query(f"""with {CHUNKS} select query_id, rank, chunk_key, group_id from ({ranked_sql(5, "group_id in ('g0', 'g2')")})""")
 def dense_group_filter(spark, d):
     c = chunks(spark, d)
     few = ranking.group_filter(c, group="g1", groups=["g0", "g2"])
-    return ranking.dense_top_k(few, asked(c), 5, on=F.expr(OTHERS)).select("query_id", "rank", "chunk_key", "group_id")
+    return ranking.dense_top_k(few, asked(c), 5, other=OTHER).select("query_id", "rank", "chunk_key", "group_id")
 
 
 def _gold(c: DataFrame) -> DataFrame:
@@ -257,7 +258,7 @@ def paired_rank_sign_test(spark, d):
   select query_id, rank, count(*) as pieces, min(char_start)::bigint as char_start, max(char_end)::bigint as char_end from ex group by 1, 2""")
 def neighbour_expand(spark, d):
     c = chunks(spark, d)
-    top = ranking.dense_top_k(c, asked(c), 8, on=F.expr(OTHERS)).where("rank <= 3")
+    top = ranking.dense_top_k(c, asked(c), 8, other=OTHER).where("rank <= 3")
     wanted = top.select("query_id", "rank", "book_id", F.explode(F.sequence(F.greatest(F.col("chunk_index") - 1, F.lit(0)), F.col("chunk_index") + 1)).alias("chunk_index"))
     return wanted.join(c.select("book_id", "chunk_index", "char_start", "char_end"), ["book_id", "chunk_index"]).groupBy("query_id", "rank").agg(F.count("*").alias("pieces"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.vectors import dot
+from folio.lineage import saved
 from folio.operators import graph, ranking
 from folio.operators.graph import Graph, GraphParams
 from folio.operators.ranking import OVERFETCH, top_k
@@ -24,7 +25,7 @@ def similarity(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, q
 
 def activated(questions: DataFrame, g: Graph, entities: DataFrame, params: GraphParams, query: str = "query_id") -> DataFrame:
     """Entities that are like the question (entities: entity_id, vector of unit length) and, damped, their neighbours."""
-    scores = ranking.pair_scores(entities.select("entity_id", "vector"), questions.select(query, "query_vector"))
+    scores = ranking.dense_top_k(entities.select("entity_id", "vector"), questions.select(query, "query_vector"), params.top_m, query, "entity_id").drop("rank")
     return graph.hop_activations(graph.link_entities(scores, params, query), g.edges, params, query)
 
 
@@ -38,19 +39,24 @@ def graph_hits(questions: DataFrame, chunks: DataFrame, g: Graph, entities: Data
         raise ValueError(f"unknown mode {mode!r}")
     n, fetched = k + OVERFETCH, max(params.expand_dense_k, k + OVERFETCH) if mode == "expand" else k + OVERFETCH
     columns = [query, "rank", "score", *PLACE]
-    dense = None if mode == "graph_only" else ranking.dense_top_k(chunks.select(*PLACE, *[c for c in ("vec_id", "group_id") if c in chunks.columns], "vector"), questions, fetched, query, on=on).select(*columns)
+    dense = None if mode == "graph_only" else saved(ranking.dense_top_k(chunks.select(*PLACE, *[c for c in ("vec_id", "group_id") if c in chunks.columns], "vector"), questions, fetched, query, on=on).select(*columns), "dense")
+    least = params.expand_min_shared if mode == "expand" else 1
     if mode == "expand":
-        seeds = graph.seeds_from_dense(ranking.dedup_overlaps(dense, params.expand_dense_k, query), g.mentions, g.nodes, params, query)
-        scores = graph.chunk_scores(seeds, g.mentions, g.nodes, params.expand_min_shared, query)
+        active = graph.seeds_from_dense(ranking.dedup_overlaps(dense, params.expand_dense_k, query), g.mentions, g.nodes, params, query)
     else:
-        scores = graph.chunk_scores(activated(questions, g, entities, params, query), g.mentions, g.nodes, 1, query)
+        active = activated(questions, g, entities, params, query)
+    active = saved(active, "activations")
     if mode == "graph_only":
-        best = scores.groupBy(query).agg(F.max("graph_score").alias("_max"))
-        ranked = top_k(scores, n, query, F.desc("graph_score"), F.col("chunk_key")).join(best, query)
+        ranked = graph.top_chunks(active, g.mentions, g.nodes, n, least, query)
+        best = ranked.where("rank = 1").select(query, F.col("graph_score").alias("_max"))
+        ranked = ranked.join(best, query)
         ranked = ranked.join(chunks.select(*PLACE), "chunk_key").select(query, "rank", F.round(F.coalesce(F.try_divide("graph_score", "_max"), F.lit(0.0)), 6).alias("score"), *PLACE)
         return ranking.dedup_overlaps(ranked, k, query)
-    pool = top_k(scores, params.pool, query, F.desc("graph_score"), F.col("chunk_key"))
-    return graph.fuse(dense.where(F.col("rank") <= n), scores, similarity(pool, chunks, questions, query), k, params, query).withColumnRenamed("fused", "score")
+    dense = dense.where(F.col("rank") <= n)
+    pool = saved(graph.top_chunks(active, g.mentions, g.nodes, params.pool, least, query).drop("rank"), "pool")
+    # the pool has the best score, so that with the scores of the dense hits it is all that fusion reads
+    scores = pool.unionByName(graph.chunk_scores(active, g.mentions, g.nodes, least, query, dense).join(pool.select(query, "chunk_key"), [query, "chunk_key"], "left_anti"))
+    return graph.fuse(dense, scores, similarity(pool, chunks, questions, query), k, params, query).withColumnRenamed("fused", "score")
 
 
 def chosen_service(mode: Column, corrective: bool, has_graph: Column, has_index: Column) -> Column:
