@@ -725,9 +725,11 @@ def graph_build(spark, d):
 def fuse_scores(spark, d):
     c = chunks(spark, d)
     q = asked(c)
-    scores = ranking.pair_scores(c, q, on=F.expr(OTHERS))
-    dense = top_k(scores, 8, "query_id", F.desc("score"), F.col("chunk_key"))
-    g = top_k(scores, 40, "query_id", F.desc(F.col("chunk_index") % 7), F.col("chunk_key")).select("query_id", "chunk_key", (1.0 * (F.col("chunk_index") % 7)).alias("graph_score"))
+    dense = ranking.dense_top_k(c, q, 8, other=OTHER)
+    # remainders as vectors of one component: the same ranking, of all chunks but the asking one
+    by_rest = ranking.dense_top_k(c.withColumn("vector", F.array((F.col("chunk_index") % 7).cast("double"))), q.withColumn("query_vector", F.array(F.lit(1.0))), 40, other=OTHER)
+    g = by_rest.select("query_id", "chunk_key", F.col("score").alias("graph_score"))
+    scores = R.similarity(g, c, q)
     # without overlaps between candidates nothing is dropped, so that scores alone are seen
     apart = lambda x: x.withColumn("book_id", F.concat_ws("/", "book_id", "chunk_key"))
     return graph.fuse(apart(dense), g, apart(scores), 0, graph.GraphParams(alpha=0.10)).select("query_id", "chunk_key", "fused", "graph_score")
