@@ -212,7 +212,7 @@ gs as (select query_id as item_id, query_book as book_id, span_no, 1600 * i as s
 
 def _span_hits(c: DataFrame, k: int, deduped: bool) -> DataFrame:
     """(item_id, rank, span_no) of hits that overlap a gold span of their question."""
-    found = ranking.retrieve(c, asked(c), k, on=F.expr(OTHERS)) if deduped else ranking.dense_top_k(c, asked(c), k, on=F.expr(OTHERS))
+    found = ranking.retrieve(c, asked(c), k, other=OTHER) if deduped else ranking.dense_top_k(c, asked(c), k, other=OTHER)
     hits = found.select(F.col("query_id").alias("item_id"), "rank", "book_id", "char_start", "char_end").withColumn("key", F.concat_ws("|", F.col("item_id").cast("string"), "book_id"))
     gold = _gold(c).withColumn("key", F.concat_ws("|", F.col("item_id").cast("string"), "book_id")).select("key", "span_no", "span_start", "span_end")
     return intervals.overlap_join(hits, gold, "key", 4000).select("item_id", "rank", "span_no")
