@@ -273,7 +273,7 @@ def _two_rankings(spark, d, k):
     out = []
     for part in (0, 1):
         h = _half(c, part)
-        out.append(ranking.dense_top_k(h, asked(h), k, on=F.expr(OTHERS)).select("query_id", "rank", "chunk_key"))
+        out.append(ranking.dense_top_k(h, asked(h), k, other=OTHER).select("query_id", "rank", "chunk_key"))
     return out
 
 
