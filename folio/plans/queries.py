@@ -296,7 +296,8 @@ def interleave_rankings(spark, d):
 def rerank_topk(spark, d):
     first, _ = _two_rankings(spark, d, 30)
     c = _half(chunks(spark, d), 1)
-    scored = ranking.dense_top_k(c, asked(c), 10**9, on=F.expr(OTHERS)).select("query_id", "chunk_key", F.col("rank").alias("rerank_score"))
+    # ranks among the hits themselves: in the same order as their ranks among all chunks
+    scored = top_k(R.similarity(first, c, asked(c)), 2**31 - 1, "query_id", F.desc("score"), F.col("chunk_key")).select("query_id", "chunk_key", F.col("rank").alias("rerank_score"))
     return ranking.rerank(first, scored, 8).select("query_id", "rank", "chunk_key")
 
 
