@@ -8,7 +8,7 @@ from folio.operators import graph, ranking
 from folio.plans.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", ["graph_expand", "service_answers", "fuse_scores", "graph_link", "hit_mrr_by_k", "interleave_rankings", "paired_rank_sign_test", "span_coverage", "rerank_topk"])
+@pytest.mark.parametrize("name", ["graph_expand", "service_answers", "fuse_scores", "graph_link", "hit_mrr_by_k", "interleave_rankings", "paired_rank_sign_test", "span_coverage", "rerank_topk", "rrf_hybrid"])
 def test_no_row_for_every_pair(spark, sf_dir, monkeypatch, name):
     def refuse(*_, **__):
         raise AssertionError("pair by pair")
