@@ -254,12 +254,16 @@ def parameter_count(c: Column) -> Column:
 def document_errors(c: Column) -> Column:
     """Names of the checks that a cleaned text fails."""
     dense = F.regexp_replace(c, r"(?U)\s+", "")
-    garbled = F.regexp_count(c, F.lit("�"))
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
+    return counted_errors(F.length(strip(c)), F.regexp_count(c, F.lit("\ufffd")), F.regexp_count(c, F.lit(r"\p{L}")), F.length(dense), F.length(c))
+
+
+def counted_errors(stripped: Column, garbled: Column, letters: Column, dense: Column, length: Column | None = None) -> Column:
+    """The same by counts: characters of the stripped text, replacement characters, letters, characters without white space, and of the text (else as stripped)."""
+    length = stripped if length is None else length
     return F.array_compact(F.array(
-        F.when(F.length(strip(c)) < 200, "too_short"),
-        F.when(garbled > F.greatest(F.lit(10), F.floor(0.001 * F.length(c))), "garbled"),
-        F.when((F.length(dense) > 0) & (letters / F.length(dense) < 0.5), "few_letters"),
+        F.when(stripped < 200, "too_short"),
+        F.when(garbled > F.greatest(F.lit(10), F.floor(0.001 * length)), "garbled"),
+        F.when((dense > 0) & (letters / dense < 0.5), "few_letters"),
     ))
 
 

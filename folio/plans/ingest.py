@@ -86,15 +86,14 @@ def passage_ranges(sizes: np.ndarray, target: int, overlap: int) -> Iterator[tup
 
 
 def _packer(target: int, overlap: int):
-    """Packs one chapter's paragraphs: each passage's start depends on the one before, so a window cannot say it."""
+    """Ranges of one chapter's paragraphs by their sizes: each passage's start depends on the one before, so a window cannot say it."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("para")
-        texts, starts = pdf["paragraph"].tolist(), pdf["start"].to_numpy()
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ranges = list(passage_ranges(sizes, target, overlap))
+        paras, starts, sizes = (pdf[c].to_numpy() for c in ("para", "start", "size"))
+        ranges = list(passage_ranges(sizes.astype(np.int64), target, overlap))
         return pd.DataFrame({
-            "book_id": pdf["book_id"].iloc[0], "chapter_no": pdf["chapter_no"].iloc[0], "text": ["\n\n".join(texts[a:b]) for a, b in ranges],
+            "book_id": pdf["book_id"].iloc[0], "chapter_no": pdf["chapter_no"].iloc[0], "paras": [paras[a:b] for a, b in ranges],
             "char_start": [starts[a] for a, _ in ranges], "char_end": [starts[b - 1] + sizes[b - 1] for _, b in ranges],
             "chapter": pdf["chapter"].iloc[0], "piece": np.arange(len(ranges)),
         })
@@ -102,21 +101,54 @@ def _packer(target: int, overlap: int):
     return pack
 
 
-def chunk_books(books: DataFrame, target: int = 1800, overlap: int = 200, key: str = "book_id", text: str = "cleaned") -> DataFrame:
-    """(book_id, chapter, chunk_index, text, char_start, char_end): paragraphs packed to about `target` characters within chapters,
-    the last ones (`overlap` characters) taken up again. One task per chapter, so a long book is spread."""
-    paras = heading_flags(paragraphs(books, key, text), key).where(~T.is_contents(F.col("paragraph")))
+def _flagged_sizes(paras: DataFrame, key: str) -> DataFrame:
+    """Paragraphs without their texts: place, size, `heading` (by the rule of heading_flags), title of those that may be one, `contents`."""
+    p = F.col("paragraph")
+    norm = T.boilerplate_key(p)
+    slim = paras.select(
+        key, "para", "start", F.length(p).alias("size"), T.is_heading(p).alias("_word"), T.is_caps_heading(p).alias("_caps"), T.is_marker(p).alias("_marker"), T.is_contents(p).alias("contents"),
+        F.md5(norm).alias("_norm"), (norm != "").alias("_named"), F.when(T.is_heading(p) | T.is_caps_heading(p), T.strip(p)).alias("title"),
+    )
+    words = slim.groupBy(key).agg(F.max("_word").alias("_any"))
+    times = slim.groupBy(key, "_norm").agg(F.count(F.when(F.col("size") <= 150, F.lit(1))).alias("_times"))
+    slim = slim.join(times, [key, "_norm"]).join(words, key)
     order = Window.partitionBy(key).orderBy("para")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    title = F.last(F.when(F.col("heading"), T.strip(F.col("paragraph"))), ignorenulls=True).over(upto)
+    after = F.lag("_marker").over(order) | ((F.lag("_times").over(order) >= 5) & F.lag("_named").over(order))
+    caps = F.col("_caps") & F.coalesce(after, F.lit(False))
+    return slim.withColumn("heading", F.when(F.col("_any"), F.col("_word")).otherwise(caps)).select(key, "para", "start", "size", "heading", "title", "contents")
+
+
+def chunk_paragraphs(paras: DataFrame, target: int = 1800, overlap: int = 200, key: str = "book_id") -> DataFrame:
+    """Passages of (key, para, start, paragraph). Headings, chapters and ranges are found by sizes and flags alone; texts are joined to their passages last, so that no
+    task holds the text of a book or a chapter."""
+    paras = paras.withColumnRenamed(key, "book_id").withColumn("book_id", F.col("book_id").cast("string"))
+    flagged = _flagged_sizes(paras, "book_id").where(~F.col("contents"))
+    upto = Window.partitionBy("book_id").orderBy("para").rowsBetween(Window.unboundedPreceding, 0)
+    title = F.last(F.when(F.col("heading"), F.col("title")), ignorenulls=True).over(upto)
     number = F.count(F.when(F.col("heading"), F.lit(1))).over(upto)
-    body = paras.withColumn("chapter", title).withColumn("chapter_no", number).where(~F.col("heading"))
-    body = body.select(F.col(key).cast("string").alias("book_id"), "chapter_no", "chapter", "para", "start", "paragraph")
-    packed = body.groupBy("book_id", "chapter_no").applyInPandas(_packer(target, overlap), "book_id string, chapter_no long, text string, char_start long, char_end long, chapter string, piece long")
+    body = flagged.withColumn("chapter", title).withColumn("chapter_no", number).where(~F.col("heading")).select("book_id", "chapter_no", "chapter", "para", "start", "size")
+    shape = "book_id string, chapter_no long, paras array<long>, char_start long, char_end long, chapter string, piece long"
+    packed = saved(body.withColumn("para", F.col("para").cast("long")).groupBy("book_id", "chapter_no").applyInPandas(_packer(target, overlap), shape), "ranges")
     counts = packed.groupBy("book_id", "chapter_no").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("book_id").orderBy("chapter_no").rowsBetween(Window.unboundedPreceding, -1)
     offset = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return packed.join(offset, ["book_id", "chapter_no"]).select("book_id", "chapter", (F.col("_before") + F.col("piece")).cast("int").alias("chunk_index"), "text", "char_start", "char_end")
+    place = ["book_id", "chapter_no", "piece"]
+    lines = packed.select(*place, F.explode("paras").alias("para")).join(paras.select("book_id", F.col("para").cast("long").alias("para"), "paragraph"), ["book_id", "para"])
+    lists = lines.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("para", "paragraph"))).alias("_l"))
+    texts = lists.select(*place, F.array_join(F.transform("_l", lambda x: x["paragraph"]), "\n\n").alias("text"))
+    out = packed.drop("paras").join(offset, ["book_id", "chapter_no"]).join(texts, place)
+    return out.select("book_id", "chapter", (F.col("_before") + F.col("piece")).cast("int").alias("chunk_index"), "text", "char_start", "char_end")
+
+
+def chunk_books(books: DataFrame, target: int = 1800, overlap: int = 200, key: str = "book_id", text: str = "cleaned") -> DataFrame:
+    """(book_id, chapter, chunk_index, text, char_start, char_end): paragraphs packed to about `target` characters within chapters,
+    the last ones (`overlap` characters) taken up again."""
+    return chunk_paragraphs(paragraphs(books, key, text), target, overlap, key)
+
+
+def chunk_parts(parts: DataFrame, target: int = 1800, overlap: int = 200) -> DataFrame:
+    """The same of books that come in parts (see ingest_parts)."""
+    return chunk_paragraphs(paragraphs_of_parts(parts), target, overlap)
 
 
 def embedding_text(text: Column, context: Column) -> Column:
@@ -125,7 +157,7 @@ def embedding_text(text: Column, context: Column) -> Column:
 
 def points(chunks: DataFrame, books: DataFrame, embed: Callable[[Column], Column], context: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows of the chunk store: vectors of (contextual) texts at unit length, and what is known of the book."""
-    out = chunks.join(books.select("book_id", "group_id", "book_title", "author", F.length("cleaned").cast("long").alias("book_chars")), "book_id")
+    out = chunks.join(books.select("book_id", "group_id", "book_title", "author", (F.col("cleaned_chars") if "cleaned" not in books.columns else F.length("cleaned")).cast("long").alias("book_chars")), "book_id")
     said = F.coalesce(context(F.substring("text", 1, 2400)), F.lit("")) if context else F.lit("")
     out = out.withColumn("context", F.nullif(said, F.lit("")))
     out = out.withColumn("_raw", embed(embedding_text(F.col("text"), F.col("context")))).withColumn("vector", l2_normalize(F.col("_raw")).cast("array<float>")).drop("_raw")
@@ -147,6 +179,100 @@ def ingest(texts: DataFrame, embed: Callable[[Column], Column], store=None, cont
     return report, made
 
 
+# --- books in parts -----------------------------------------------------------------------------------------------------------
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """Where each part begins in its book, two characters standing between parts. sizes: book_id, part, size."""
+    before = Window.partitionBy("book_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("start", F.coalesce(F.sum(F.col("size") + 2).over(before), F.lit(0)))
+
+
+def _heads(parts: DataFrame, text: str, n: int, name: str) -> DataFrame:
+    """(book_id, name): the first n characters of each book; only parts that begin within them are gathered."""
+    first = _starts(parts.select("book_id", "part", F.length(text).alias("size"))).where(F.col("start") < n).select("book_id", "part")
+    lists = parts.select("book_id", "part", F.substring(text, 1, n).alias("_t")).join(first, ["book_id", "part"]).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("part", "_t"))).alias("_l"))
+    return lists.select("book_id", F.substring(F.array_join(F.transform("_l", lambda x: x["_t"]), "\n\n"), 1, n).alias(name))
+
+
+def parse_frame_parts(parts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """parse_frame for books in parts: (parts with `body`, books with meta_title, meta_author, meta_language, had_frame). A line of the frame stands in one part."""
+    t = F.col(text)
+    start_mark, end_mark = _FRAME.format("START"), _FRAME.format("END")
+    start, end = F.regexp_instr(t, F.lit(start_mark)), F.regexp_instr(t, F.lit(end_mark))
+    at = parts.groupBy("book_id").agg(
+        F.min(F.when(start > 0, F.struct("part", (start + F.length(F.regexp_substr(t, F.lit(start_mark)))).alias("at")))).alias("_s"),
+        F.min(F.when(end > 0, F.struct("part", end.alias("at")))).alias("_e"),
+    ).withColumn("had_frame", F.coalesce((F.col("_s.part") < F.col("_e.part")) | ((F.col("_s.part") == F.col("_e.part")) & (F.col("_s.at") <= F.col("_e.at"))), F.lit(False)))
+    cut = parts.join(at, "book_id")
+    low, high = (F.when(F.col("part") == F.col(f"_{x}.part"), F.col(f"_{x}.at")) for x in "se")
+    inside = F.substr(t, F.coalesce(low, F.lit(1)), F.coalesce(high, F.length(t) + 1) - F.coalesce(low, F.lit(1)))
+    cut = cut.where(~F.col("had_frame") | F.col("part").between(F.col("_s.part"), F.col("_e.part"))).withColumn("body", F.when(F.col("had_frame"), inside).otherwise(t)).select(*parts.columns, "body")
+    # white space goes at both ends of the book, so blank parts there too
+    ends = cut.where(T.strip(F.col("body")) != "").groupBy("book_id").agg(F.min("part").alias("_a"), F.max("part").alias("_b"))
+    cut = cut.join(ends, "book_id").where(F.col("part").between(F.col("_a"), F.col("_b")))
+    cut = cut.withColumn("body", F.when(F.col("part") == F.col("_a"), F.regexp_replace("body", r"(?U)^\s+", "")).otherwise(F.col("body")))
+    cut = cut.withColumn("body", F.when(F.col("part") == F.col("_b"), F.regexp_replace("body", r"(?U)\s+$", "")).otherwise(F.col("body"))).drop("_a", "_b")
+    books = at.select("book_id", "had_frame").join(_heads(parts, text, 5000, "_head"), "book_id")
+    for name in ("Title", "Author", "Language"):
+        books = books.withColumn(f"meta_{name.lower()}", F.nullif(T.strip(F.regexp_extract("_head", rf"(?m)^{name}:\s*([^\n]+)$", 1)), F.lit("")))
+    return cut, books.drop("_head")
+
+
+def clean_report_parts(parts: DataFrame, compose: bool = True, most_dropped: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """clean_report and document_errors for books in parts: (parts with `cleaned`, blank ones left out; books with the report's columns but `cleaned`).
+
+    Every rule of cleaning ends at a blank line, and one stands between parts; so parts are cleaned one by one and their counts are summed.
+    """
+    summed = ["control_chars_removed", "special_chars_normalized", "lines_merged", "pagenumber_lines_removed"]
+    c = F.col("cleaned")
+    counts = {"_ascii": F.regexp_count(c, F.lit(r"[^\x00-\x7f]")), "_dense": F.length(F.regexp_replace(c, r"(?U)\s+", "")), "_garbled": F.regexp_count(c, F.lit("\ufffd")), "_letters": F.regexp_count(c, F.lit(r"\p{L}"))}
+    done = clean_report(parts, compose=compose).select("book_id", "part", "cleaned", "original_chars", "cleaned_chars", F.substring("body", 1, 300).alias("_body"), *summed)
+    done = saved(done.select("*", *[v.alias(k) for k, v in counts.items()]), "cleaned")
+    total = lambda x: F.sum(x).alias(x)
+    joined = lambda x, n: (F.sum(x) + 2 * F.greatest(n - 1, F.lit(0))).alias(x)  # noqa: E731  blank lines between parts
+    books = done.groupBy("book_id").agg(*[total(x) for x in (*summed, *counts)], joined("original_chars", F.count("*")), joined("cleaned_chars", F.count_if(F.col("cleaned_chars") > 0)))
+    size = F.col("cleaned_chars")
+    books = books.withColumn("nonascii_ratio_after", F.round(F.col("_ascii") / F.greatest(size, F.lit(1)), 4)).withColumn("dropped_ratio", F.round(1 - size / F.greatest("original_chars", F.lit(1)), 4))
+    books = books.withColumn("warnings", T.cleaning_warnings(F.col("dropped_ratio"), F.col("nonascii_ratio_after"), most_dropped))
+    books = books.withColumn("errors", T.counted_errors(size, F.col("_garbled"), F.col("_letters"), F.col("_dense"))).drop(*counts)
+    kept = done.where(F.col("cleaned_chars") > 0).select("book_id", "part", "cleaned")
+    for name, df, text in (("before_sample", done.withColumn("_t", F.col("_body")), "_t"), ("after_sample", kept, "cleaned")):
+        books = books.join(_heads(df, text, 300, name), "book_id", "left").withColumn(name, T.collapse(F.coalesce(name, F.lit(""))))
+    return kept, books
+
+
+def paragraphs_of_parts(parts: DataFrame) -> DataFrame:
+    """`paragraphs` of books in parts: (book_id, para, start, paragraph)."""
+    split = F.split("cleaned", "\n\n", -1)
+    order = Window.partitionBy("book_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _starts(parts.select("book_id", "part", F.length("cleaned").alias("size"), F.size(split).alias("_n"))).withColumn("_para", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    pieces = parts.join(placed.select("book_id", "part", F.col("start").alias("_at"), "_para"), ["book_id", "part"]).select("book_id", "part", "_at", "_para", F.posexplode(split).alias("_i", "paragraph"))
+    within = Window.partitionBy("book_id", "part").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("start", F.col("_at") + F.coalesce(F.sum(F.length("paragraph") + 2).over(within), F.lit(0)))
+    return pieces.select("book_id", (F.col("_para") + F.col("_i")).alias("para"), "start", "paragraph").where(T.strip(F.col("paragraph")) != "")
+
+
+def ingest_parts(parts: DataFrame, books: DataFrame, embed: Callable[[Column], Column], store=None, context=None, dry_run: bool = False, compose: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`ingest` for books of any length: (report of every book, points of those that pass, cleaned parts of all).
+
+    parts: book_id, part (ascending, one row each), text; a book's text is its parts with a blank line between them. books: book_id, group_id, title. No task holds a whole book's text.
+    """
+    framed, meta = parse_frame_parts(parts.where("text is not null"))
+    cleaned, counted = clean_report_parts(framed, compose=compose)
+    report = books.join(meta, "book_id").join(counted, "book_id", "left")
+    # a book of blank parts alone is an empty text
+    empty = {"before_sample": F.lit(""), "after_sample": F.lit(""), "nonascii_ratio_after": F.lit(0.0), "dropped_ratio": F.lit(1.0), "warnings": T.cleaning_warnings(F.lit(1.0), F.lit(0.0)), "errors": F.array(F.lit("too_short"))}
+    report = report.select(*[c for c in report.columns if c not in counted.columns or c == "book_id"], *[F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in counted.columns if c != "book_id"])
+    report = saved(report.withColumn("book_title", F.coalesce("meta_title", "title")).withColumnRenamed("meta_author", "author"), "report")
+    good = report.where((F.size("errors") == 0) & F.lit(not dry_run))
+    made = points(chunk_parts(cleaned.join(good.select("book_id"), "book_id", "left_semi")), good, embed, context) if not dry_run else None
+    if store is not None and not dry_run:
+        made = saved(made, "points")
+        store.replace_books(good.select("book_id").distinct(), made)
+    return report, made, cleaned
+
+
 def reembed(chunks: DataFrame, contexts: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """Chunks with contexts from a checkpoint and vectors made anew."""
     out = chunks.drop("context", "vector").join(contexts.select("chunk_key", "context"), "chunk_key", "left")

@@ -808,10 +808,19 @@ def _books(spark, d) -> DataFrame:
     return lists.select("book_id", F.concat(F.lit("g"), F.length("book_id")).alias("group_id"), F.col("book_id").alias("title"), F.array_join(F.transform("l", lambda x: x["p"]), "\n\n").alias("text"))
 
 
+def _book_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The same books in parts, and what is known of the books: a document is a part, with a chapter heading before every 23rd; documents of one id are one part."""
+    head = F.when(F.col("para") % 23 == 0, F.concat(F.lit("CHAPTER "), F.col("para").cast("string"), F.lit("\n\n"))).otherwise(F.lit(""))
+    docs = t(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("para"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("paragraph"))
+    p = docs.select("book_id", F.coalesce("para", F.lit(-(2**63))).alias("part"), F.concat(head, "paragraph").alias("p"))
+    parts = p.groupBy("book_id", "part").agg(F.array_join(F.array_sort(F.collect_list("p")), "\n\n").alias("text"), F.count("p").alias("_n")).where("_n > 0").drop("_n")
+    return parts, docs.select("book_id").distinct().select("book_id", F.concat(F.lit("g"), F.length("book_id")).alias("group_id"), F.col("book_id").alias("title"))
+
+
 @query()
 def chunk_book(spark, d):
-    report, _ = I.ingest(_books(spark, d), embed(HashEmbedder()), dry_run=True)
-    return I.chunk_books(report).select("book_id", "chapter", "chunk_index", "char_start", "char_end", F.md5("text").alias("text_md5"))
+    _, _, cleaned = I.ingest_parts(*_book_parts(spark, d), embed(HashEmbedder()), dry_run=True)
+    return I.chunk_parts(cleaned).select("book_id", "chapter", "chunk_index", "char_start", "char_end", F.md5("text").alias("text_md5"))
 
 
 @query()

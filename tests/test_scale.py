@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from folio.models import HashEmbedder, embed
 from folio.operators import graph, ranking
+from folio.plans import ingest as I
 from folio.plans.queries import QUERIES
 
 
@@ -43,3 +45,31 @@ def test_best_chunks_of_a_graph_are_those_of_all_scores(spark, monkeypatch):
             monkeypatch.setattr(graph, "CELLS", cells)
             monkeypatch.setattr(ranking, "BROADCAST_ROWS", most)
             assert want and rows(graph.top_chunks(active, mentions, nodes, 6, shared)) == want
+
+
+WORDS = ["Haus", "wald", "Ab-\nsatz", "été", "ﬁne", "“q”", "x\x07y", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\n 17 \n", "wort-\nteil", "…", "�", "CHAPTER 3\n\n", "\n\nTHE SCAR\n\n", "\n\nIV\n\n", " ", "CHAPTER I CHAPTER II CHAPTER III", "\x0b"]
+
+
+def test_books_in_parts_are_those_of_whole_texts(spark):
+    rng = random.Random(8)
+    texts = {}
+    for b in range(14):
+        texts[f"b{b}"] = ["".join(rng.choice(WORDS) + rng.choice([" ", " ", ""]) for _ in range(rng.choice([0, 1, 3, 60, 200]))) for _ in range(rng.randrange(1, 9))]
+    texts["b1"][0] = " \x0bTitle: Ein Buch\nAuthor:\n\n Jemand\n*** START OF THE PROJECT GUTENBERG EBOOK X *** a " + texts["b1"][0]
+    texts["b1"].append("some more text here\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nlicence")
+    texts["b2"] = ["one *** START OF THIS PROJECT GUTENBERG E *** in *** END OF THIS PROJECT GUTENBERG E *** out"]
+    texts["b3"] = [" ", "", "\n"]
+    texts["b4"].insert(0, "*** END OF THE PROJECT GUTENBERG E ***")
+    texts["b4"].append("*** START OF THE PROJECT GUTENBERG E ***")
+    parts = spark.createDataFrame([(b, k, x) for b, l in texts.items() for k, x in enumerate(l)], "book_id string, part long, text string").repartition(3)
+    books = spark.createDataFrame([(b, "g", f"t {b}") for b in texts], "book_id string, group_id string, title string")
+    whole = spark.createDataFrame([(b, "\n\n".join(l)) for b, l in texts.items()], "book_id string, text string").join(books, "book_id")
+    report, made = I.ingest(whole, embed(HashEmbedder()))
+    report2, made2, cleaned = I.ingest_parts(parts, books, embed(HashEmbedder()))
+    columns = ["book_id", "had_frame", "book_title", "author", "meta_language", "original_chars", "cleaned_chars", "control_chars_removed", "special_chars_normalized", "lines_merged", "pagenumber_lines_removed", "nonascii_ratio_after", "dropped_ratio", "before_sample", "after_sample", "warnings", "errors"]
+    rows = lambda df, c: sorted(map(str, df.select(c).collect()))
+    assert rows(report2, columns) == rows(report, columns)
+    columns = ["chunk_key", "group_id", "chapter", "char_start", "char_end", "book_chars", "text", "vector"]
+    assert rows(made, columns) == rows(made2, columns) and made.count() > 10
+    columns = ["book_id", "chapter", "chunk_index", "text", "char_start", "char_end"]
+    assert rows(I.chunk_parts(cleaned, 60, 20), columns) == rows(I.chunk_books(report, 60, 20), columns)
