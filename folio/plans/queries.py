@@ -825,7 +825,7 @@ def chunk_book(spark, d):
 
 @query()
 def ingest_points(spark, d):
-    _, made = I.ingest(_books(spark, d), embed(HashEmbedder()))
+    _, made, _ = I.ingest_parts(*_book_parts(spark, d), embed(HashEmbedder()))
     return made.select("chunk_key", "group_id", "chapter", "char_start", "char_end", "book_chars", F.size("vector").alias("dims"))
 
 
