@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from folio.config import Settings
 from folio.functions import text as T
 from folio.functions.json import grade as parsed_grade
+from folio.lineage import saved
 from folio.models import windows
-from folio.operators.ranking import dedup_overlaps, dense_top_k, expand, interleave, rerank, top_k
+from folio.operators.ranking import dedup_overlaps, dense_top_k, expand, interleave, rerank, small, top_k
 
 Model = Callable[[Column], Column]
 NOTHING_FOUND = "Dazu steht in den Quellen nichts."
@@ -84,17 +85,22 @@ def answer_faithfulness(answers: DataFrame, hits: DataFrame, entails: Callable[[
     return answers.select(query).join(share, query, "left").withColumn("faithfulness", F.round(F.coalesce("faithfulness", F.lit(0.0)), 6))
 
 
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the texts of their chunks. Few hits are broadcast, so that the texts are not shuffled."""
+    hits = saved(hits, "hits")
+    return chunks.select("chunk_key", "text").join(F.broadcast(hits) if small(hits) else hits, "chunk_key")
+
+
 def select_hits(questions: DataFrame, chunks: DataFrame, settings: Settings, relevance: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Dense retrieval, optional re-ranking, then optional small-to-big: in this order.
 
     questions: query_id, question, query_vector, group_ids (null: all groups). chunks: the store's rows with vectors.
     """
-    allowed = F.col("group_ids").isNull() | F.array_contains("group_ids", F.col("group_id"))
     fetch = settings.rerank_candidates if settings.rerank else settings.top_k
     asked = questions.select("query_id", "question", "query_vector", "group_ids")
-    found = dense_top_k(chunks.select("chunk_key", "book_id", "group_id", "chunk_index", "char_start", "char_end", "vector"), asked, fetch + 8, on=allowed)
+    found = dense_top_k(chunks.select("chunk_key", "book_id", "group_id", "chunk_index", "char_start", "char_end", "vector"), asked, fetch + 8, groups="group_ids")
     hits = dedup_overlaps(found.select("query_id", "rank", "score", "chunk_key", "book_id", "chunk_index", "char_start", "char_end", "question"), fetch)
-    hits = hits.join(chunks.select("chunk_key", "text"), "chunk_key")
+    hits = with_texts(hits, chunks)
     if settings.rerank and relevance is not None:
         hits = rerank(hits, hits.select("query_id", "chunk_key", relevance(F.col("text"), F.col("question")).alias("rerank_score")), settings.top_k)
     hits = hits.drop("question").where(F.col("rank") <= settings.top_k)

@@ -836,9 +836,10 @@ def _asked_texts(spark, d) -> DataFrame:
 
 @query()
 def prompt_build(spark, d):
-    _, made = I.ingest(_books(spark, d), embed(HashEmbedder()), compose=False)
+    _, made, _ = I.ingest_parts(*_book_parts(spark, d), embed(HashEmbedder()), compose=False)
+    made = saved(made.select("chunk_key", "book_id", "group_id", "chunk_index", "char_start", "char_end", "text", "vector"), "points")
     questions = _asked_texts(spark, d)
-    hits = A.select_hits(questions, made.persist(), Settings(top_k=4, small_to_big=True))
+    hits = A.select_hits(questions, made, Settings(top_k=4, small_to_big=True))
     out = A.build_messages(questions, A.context_blocks(hits), None, "system", "Antworte mit Quellen.")
     return out.select("query_id", F.size("messages").alias("n_messages"), A.prompt_chars(F.col("messages")).alias("chars"), "n_sources")
 
