@@ -846,13 +846,13 @@ def prompt_build(spark, d):
 
 @query()
 def crag_flow(spark, d):
-    _, made = I.ingest(_books(spark, d), embed(HashEmbedder()), compose=False)
-    made = made.select("chunk_key", "book_id", "group_id", "chunk_index", "char_start", "char_end", "text", "vector").persist()  # searched once an attempt
+    _, made, _ = I.ingest_parts(*_book_parts(spark, d), embed(HashEmbedder()), compose=False)
+    made = saved(made.select("chunk_key", "book_id", "group_id", "chunk_index", "char_start", "char_end", "text", "vector"), "points")  # searched once an attempt
 
     def search(q: DataFrame) -> DataFrame:
         v = q.withColumn("_raw", embed(HashEmbedder())(F.col("query"))).withColumn("query_vector", l2_normalize(F.col("_raw"))).drop("_raw")
         found = ranking.retrieve(made.drop("text"), v, 4)
-        return found.join(made.select("chunk_key", "text"), "chunk_key")
+        return A.with_texts(found, made)
 
     grader = lambda question, passages: F.when(lexical_score(passages, question) > 0.9, F.lit('{"relevant": [1, "2"]}')).otherwise(F.lit('{"relevant": []}'))
     rewriter = complete(lambda s: s.str.slice(0, 60))
