@@ -226,17 +226,17 @@ def clean_report_parts(parts: DataFrame, compose: bool = True, most_dropped: flo
     """
     summed = ["control_chars_removed", "special_chars_normalized", "lines_merged", "pagenumber_lines_removed"]
     c = F.col("cleaned")
-    counts = {"_ascii": F.regexp_count(c, F.lit(r"[^\x00-\x7f]")), "_dense": F.length(F.regexp_replace(c, r"(?U)\s+", "")), "_garbled": F.regexp_count(c, F.lit("\ufffd")), "_letters": F.regexp_count(c, F.lit(r"\p{L}"))}
-    done = clean_report(parts, compose=compose).select("book_id", "part", "cleaned", "original_chars", "cleaned_chars", F.substring("body", 1, 300).alias("_body"), *summed)
-    done = saved(done.select("*", *[v.alias(k) for k, v in counts.items()]), "cleaned")
+    counts = {"cleaned_chars": F.length(c), "_ascii": F.regexp_count(c, F.lit(r"[^\x00-\x7f]")), "_dense": F.length(F.regexp_replace(c, r"(?U)\s+", "")), "_garbled": F.regexp_count(c, F.lit("\ufffd")), "_letters": F.regexp_count(c, F.lit(r"\p{L}"))}
+    done = clean_report(parts, compose=compose).select("book_id", "part", "cleaned", "original_chars", F.substring("body", 1, 300).alias("_body"), *summed)
+    done = saved(done, "cleaned").select("*", *[v.alias(k) for k, v in counts.items()])  # counted after saving: cleaning would be done again for each count
     total = lambda x: F.sum(x).alias(x)
     joined = lambda x, n: (F.sum(x) + 2 * F.greatest(n - 1, F.lit(0))).alias(x)  # noqa: E731  blank lines between parts
-    books = done.groupBy("book_id").agg(*[total(x) for x in (*summed, *counts)], joined("original_chars", F.count("*")), joined("cleaned_chars", F.count_if(F.col("cleaned_chars") > 0)))
+    books = done.groupBy("book_id").agg(*[total(x) for x in (*summed, *counts) if x != "cleaned_chars"], joined("original_chars", F.count("*")), joined("cleaned_chars", F.count_if(F.col("cleaned_chars") > 0)))
     size = F.col("cleaned_chars")
     books = books.withColumn("nonascii_ratio_after", F.round(F.col("_ascii") / F.greatest(size, F.lit(1)), 4)).withColumn("dropped_ratio", F.round(1 - size / F.greatest("original_chars", F.lit(1)), 4))
     books = books.withColumn("warnings", T.cleaning_warnings(F.col("dropped_ratio"), F.col("nonascii_ratio_after"), most_dropped))
-    books = books.withColumn("errors", T.counted_errors(size, F.col("_garbled"), F.col("_letters"), F.col("_dense"))).drop(*counts)
-    kept = done.where(F.col("cleaned_chars") > 0).select("book_id", "part", "cleaned")
+    books = books.withColumn("errors", T.counted_errors(size, F.col("_garbled"), F.col("_letters"), F.col("_dense"))).drop(*[x for x in counts if x != "cleaned_chars"])
+    kept = done.where("cleaned <> ''").select("book_id", "part", "cleaned")
     for name, df, text in (("before_sample", done.withColumn("_t", F.col("_body")), "_t"), ("after_sample", kept, "cleaned")):
         books = books.join(_heads(df, text, 300, name), "book_id", "left").withColumn(name, T.collapse(F.coalesce(name, F.lit(""))))
     return kept, books
