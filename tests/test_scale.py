@@ -102,3 +102,8 @@ def test_later_rows_are_those_that_reach_the_best(spark, monkeypatch):
         assert made == [5]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid"])
+def test_vectors_are_numbered_once(spark, sf_dir, name):
+    assert "label" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
