@@ -104,6 +104,13 @@ def test_later_rows_are_those_that_reach_the_best(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "paired_rank_sign_test"])
 def test_vectors_are_numbered_once(spark, sf_dir, name):
     assert "label" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["paired_rank_sign_test"])
+def test_both_arms_are_of_one_ranking(spark, sf_dir, monkeypatch, name):
+    asked, rank = [], ranking.dense_top_k
+    monkeypatch.setattr(ranking, "dense_top_k", lambda *a, **b: asked.append(a[2]) or rank(*a, **b))
+    assert QUERIES[name](spark, sf_dir).count() == 1 and asked == [16]
