@@ -104,7 +104,7 @@ def test_later_rows_are_those_that_reach_the_best(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "paired_rank_sign_test"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "paired_rank_sign_test", "graph_link"])
 def test_vectors_are_numbered_once(spark, sf_dir, name):
     assert "label" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
@@ -114,3 +114,14 @@ def test_both_arms_are_of_one_ranking(spark, sf_dir, monkeypatch, name):
     asked, rank = [], ranking.dense_top_k
     monkeypatch.setattr(ranking, "dense_top_k", lambda *a, **b: asked.append(a[2]) or rank(*a, **b))
     assert QUERIES[name](spark, sf_dir).count() == 1 and asked == [16]
+
+
+def test_every_core_scores_passages_of_a_graph(spark):
+    one = lambda rows, kinds: spark.createDataFrame(rows, kinds).coalesce(1)
+    active, nodes = one([(1, "e", 0.5)], "query_id int, entity_id string, activation double"), one([("e", 2.0)], "entity_id string, idf double")
+    part = [spark.createDataFrame([(1, [("e", 1.0)])], "query_id int, _a array<struct<entity_id: string, _w: double>>").first()]
+    lists = one([(f"c{n:02d}", ["e"]) for n in range(40)], "chunk_key string, _e array<string>")
+    scored = graph._scored_batches(lists, active.select("query_id"), part, 3, 1)
+    assert scored.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    best = graph.top_chunks(active, one([(f"c{n:02d}", "e") for n in range(40)], "chunk_key string, entity_id string"), nodes, 3)
+    assert [tuple(r) for r in best.select("rank", "chunk_key", "graph_score").orderBy("rank").collect()] == [(1, "c00", 1.0), (2, "c01", 1.0), (3, "c02", 1.0)]
