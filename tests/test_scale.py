@@ -104,7 +104,7 @@ def test_later_rows_are_those_that_reach_the_best(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "paired_rank_sign_test", "graph_link"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "paired_rank_sign_test", "graph_link", "service_answers"])
 def test_vectors_are_numbered_once(spark, sf_dir, name):
     assert "label" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
