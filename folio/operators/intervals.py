@@ -28,9 +28,9 @@ def as_of(rows: DataFrame, events: DataFrame, on: str, at: str, event_at: str, v
 
 
 def merge_spans(spans: DataFrame, by: str, start: str = "char_start", end: str = "char_end") -> DataFrame:
-    """Overlapping or touching spans as one."""
-    before = Window.partitionBy(by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.coalesce((F.col(start) > F.max(end).over(before)).cast("int"), F.lit(1))
+    """Overlapping or touching spans as one. A null bound opens no island but the first: such a span goes with the one before it, nulls being last."""
+    order = Window.partitionBy(by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
+    before, upto = (order.rowsBetween(Window.unboundedPreceding, k) for k in (-1, 0))
+    fresh = F.when((F.col(start) > F.max(end).over(before)) | (F.row_number().over(order) == 1), 1).otherwise(0)
     islands = spans.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(upto))
     return islands.groupBy(by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")

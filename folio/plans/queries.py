@@ -373,7 +373,7 @@ def interval_overlap_join(spark, d):
   i as (select *, sum(n) over (partition by l_orderkey order by a, b rows unbounded preceding) as g from f)
   select l_orderkey, min(a)::bigint as char_start, max(b)::bigint as char_end from i group by l_orderkey, g""")
 def span_merge_islands(spark, d):
-    s = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 25).cast("long").alias("char_start"), (F.col("l_linenumber") * 25 + F.col("l_quantity")).cast("long").alias("char_end"))
+    s = t(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 25).cast("long").alias("char_start"), F.rint(F.col("l_linenumber") * 25 + F.col("l_quantity")).cast("long").alias("char_end"))
     return intervals.merge_spans(s, "l_orderkey")
 
 

@@ -1,7 +1,9 @@
 """Operators and queries leave nothing out: beyond one broadcast, beyond the sample that SQL is held against, beyond a prefix."""
 
+import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,14 @@ def test_support_late_in_a_long_passage(spark):
     one = spark.createDataFrame([(1, "The red fox ran [1].")], "query_id int, answer string")
     assert A.answer_faithfulness(one, hits.where("rank = 1"), bounded).first()["faithfulness"] == 1.0
     assert A.answer_faithfulness(one, hits.where("rank > 9"), bounded).first()["faithfulness"] == 0.0
+
+
+def test_islands_of_fractions_and_nulls_are_those_of_sql(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(o, rng.choice([*range(1, 8), None]) if o % 3 else n, rng.choice([24.5, 25.5, 24.4, 0.5, 60.0, None])) for o in range(60) for n in range(1, rng.randrange(2, 8))]
+    rows = sorted({(o, n): (o, n, q) for o, n, q in rows}.values(), key=str)  # no equal spans: their order is open in SQL
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = Counter(db.execute(Q.SQL["span_merge_islands"]).fetchall())
+    assert Counter(map(tuple, Q.QUERIES["span_merge_islands"](spark, str(tmp_path)).collect())) == want
