@@ -47,6 +47,30 @@ def test_best_chunks_of_a_graph_are_those_of_all_scores(spark, monkeypatch):
             assert want and rows(graph.top_chunks(active, mentions, nodes, 6, shared)) == want
 
 
+def test_scores_of_all_pairs_shuffle_no_pair(spark, monkeypatch):
+    rng = random.Random(7)
+    idf = {f"e{e}": rng.choice([0.0, 0.5, 1.25, 2.0]) for e in range(12)}
+    held = [(f"e{rng.randrange(13)}", rng.choice([None, *(f"c{c:02d}" for c in range(40))])) for _ in range(200)]  # some twice
+    active = {(rng.choice([None, *range(25)]), f"e{rng.randrange(14)}"): round(rng.random(), 2) for _ in range(90)}
+    want = {}
+    for (q, e), a in active.items():
+        for f, c in held:
+            if e == f and a * idf.get(e, 0) > 0:
+                total, n = want.get((q, c), (0.0, 0))
+                want[q, c] = total + a * idf[e], n + 1
+    nodes, mentions = spark.createDataFrame(list(idf.items()), "entity_id string, idf double"), spark.createDataFrame(held, "entity_id string, chunk_key string")
+    asking = spark.createDataFrame([(*k, a) for k, a in active.items()], "query_id int, entity_id string, activation double")
+    for cells, most in ((1 << 22, 20_000), (40, 7)):
+        monkeypatch.setattr(graph, "CELLS", cells)
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", most)
+        for shared in (1, 2):
+            out = graph.chunk_scores(asking, mentions, nodes, shared)
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan
+            got = {(r["query_id"], r["chunk_key"]): (r["graph_score"], r["n_shared"]) for r in out.collect()}
+            assert got == {k: (pytest.approx(s, abs=2e-6), n) for k, (s, n) in want.items() if n >= shared}
+
+
 WORDS = ["Haus", "wald", "Ab-\nsatz", "été", "ﬁne", "“q”", "x\x07y", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\n 17 \n", "wort-\nteil", "…", "�", "CHAPTER 3\n\n", "\n\nTHE SCAR\n\n", "\n\nIV\n\n", " ", "CHAPTER I CHAPTER II CHAPTER III", "\x0b"]
 
 
