@@ -699,7 +699,7 @@ def community_representatives(spark, d):
 
 @query()
 def louvain_communities(spark, d):
-    nodes, edges, _, _ = entity_graph(spark, d)
+    nodes, edges, _, _ = entity_graph(spark, d, once=True)
     members, _ = communities.communities(nodes, edges, min_size=3)
     return members
 

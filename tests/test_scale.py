@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from folio.models import HashEmbedder, embed
-from folio.operators import graph, ranking
+from folio.operators import communities, graph, ranking
 from folio.plans import ingest as I
 from folio.plans.queries import QUERIES
 
@@ -71,6 +72,29 @@ def test_scores_of_all_pairs_shuffle_no_pair(spark, monkeypatch):
             assert got == {k: (pytest.approx(s, abs=2e-6), n) for k, (s, n) in want.items() if n >= shared}
 
 
+def test_moves_over_a_file_are_those_of_the_whole_graph(spark, monkeypatch):
+    rng = random.Random(9)
+    for trial in range(60):
+        n = rng.choice([1, 2, 12, 60])
+        edges = [(f"n{rng.randrange(n):02d}", f"n{min(n - 1, int(rng.random() ** 2 * n)):02d}", float(rng.choice([0, 1, 1, 1, 2, 7]))) for _ in range(rng.choice([1, 3, 40, 300]))]
+        names = sorted({x for e in edges for x in e[:2]})
+        at = {x: k for k, x in enumerate(names)}
+        rows = sorted([(at[u], at[v], w) for u, v, w in edges] + [(at[v], at[u], w) for u, v, w in edges if u != v])
+        block, merged, held = rng.choice([(1, 1, 1), (7, 20, 64), (1 << 19, 1 << 21, 32 << 20)])
+        monkeypatch.setattr(communities, "LONG", rng.choice([1, 5, 128]))
+        lines, (total, resolution) = communities.Lines(block, held), rng.choice([(None, 1.0), (500.0, 1.0), (None, 2.5)])
+        for k in range(0, len(rows), 11):
+            lines.append(*map(np.array, zip(*rows[k : k + 11], strict=True)))
+        home = communities.stored_moves(lines.close(), resolution, total, merged, held)
+        assert {x: names[h] for x, h in zip(names, home, strict=True)} == communities.local_moves(edges, resolution, total)
+    edges = [(g, f"{c}{a}", f"{c}{b}", 1) for g in ("x", "y", None) for c in "pq" for a in range(9) for b in range(a, 9) if a // 3 == b // 3 or rng.random() < 0.1]
+    df = spark.createDataFrame(edges, "g string, src string, dst string, weight long").repartition(3)
+    out = communities.louvain(df, "g")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()  # no task holds a group's edges
+    want = {(g, x): c for g in ("x", "y", None) for x, c in communities.local_moves([(u, v, float(w)) for k, u, v, w in edges if k == g]).items()}
+    assert {(r["g"], r["entity_id"]): r["label"] for r in out.collect()} == want and out.count() == len(want)
+
+
 WORDS = ["Haus", "wald", "Ab-\nsatz", "été", "ﬁne", "“q”", "x\x07y", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\n 17 \n", "wort-\nteil", "…", "�", "CHAPTER 3\n\n", "\n\nTHE SCAR\n\n", "\n\nIV\n\n", " ", "CHAPTER I CHAPTER II CHAPTER III", "\x0b"]
 
 
