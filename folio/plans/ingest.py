@@ -53,16 +53,26 @@ def paragraphs(texts: DataFrame, key: str = "book_id", text: str = "cleaned") ->
     return placed.where(T.strip(F.col("paragraph")) != "")
 
 
+def heading_marks(paras: DataFrame) -> DataFrame:
+    """Adds what heading_rule asks of each paragraph, so that it needs no texts."""
+    p = F.col("paragraph")
+    norm = T.boilerplate_key(p)
+    marks = {"_word": T.is_heading(p), "_caps": T.is_caps_heading(p), "_marker": T.is_marker(p), "_short": F.length(p) <= 150, "_norm": F.sha2(norm, 256), "_named": norm != ""}
+    return paras.withColumns(marks)
+
+
+def heading_rule(marked: DataFrame, key: str = "book_id") -> DataFrame:
+    """Adds `heading` to rows of heading_marks and drops the marks. Books go through windows: rows should not carry texts."""
+    order = Window.partitionBy(key).orderBy("para")
+    out = marked.withColumn("_times", F.count(F.when(F.col("_short"), F.lit(1))).over(Window.partitionBy(key, "_norm"))).withColumn("_any", F.max("_word").over(Window.partitionBy(key)))
+    after = F.lag("_marker").over(order) | ((F.lag("_times").over(order) >= 5) & F.lag("_named").over(order))
+    caps = F.col("_caps") & F.coalesce(after, F.lit(False))
+    return out.withColumn("heading", F.when(F.col("_any"), F.col("_word")).otherwise(caps)).drop("_word", "_caps", "_marker", "_short", "_norm", "_named", "_times", "_any")
+
+
 def heading_flags(paras: DataFrame, key: str = "book_id") -> DataFrame:
     """Adds `heading`: paragraphs with a chapter word; in books without any, capitals right after a number or a recurring line."""
-    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("para")
-    out = paras.withColumn("_word", T.is_heading(F.col("paragraph"))).withColumn("_norm", T.boilerplate_key(F.col("paragraph")))
-    short = F.length("paragraph") <= 150
-    out = out.withColumn("_times", F.count(F.when(short, F.lit(1))).over(Window.partitionBy(key, "_norm"))).withColumn("_any", F.max("_word").over(whole))
-    prev = F.lag("paragraph").over(order)
-    after = T.is_marker(prev) | ((F.lag("_times").over(order) >= 5) & (F.lag("_norm").over(order) != ""))
-    caps = T.is_caps_heading(F.col("paragraph")) & F.coalesce(after, F.lit(False))
-    return out.withColumn("heading", F.when(F.col("_any"), F.col("_word")).otherwise(caps)).drop("_word", "_norm", "_times", "_any")
+    return heading_rule(heading_marks(paras), key)
 
 
 def chapter_starts(flagged: DataFrame, key: str = "book_id") -> DataFrame:

@@ -609,8 +609,8 @@ def heading_flags(spark, d):
 
 def _flagged(p: DataFrame) -> DataFrame:
     text = F.when(F.col("para") % 11 == 5, F.concat(F.lit("CHAPTER "), (F.col("para") % 40).cast("string"))).when(F.col("book_id").endswith("3") & (F.col("para") % 5 == 0), F.lit("CHAPTER I CHAPTER II CHAPTER III")).otherwise(F.col("paragraph"))
-    flagged = I.heading_flags(p.withColumn("paragraph", text))
-    return flagged.select("book_id", "para", F.col("heading"), T.is_contents(F.col("paragraph")).alias("contents"))
+    marked = I.heading_marks(p.select("book_id", "para", text.alias("paragraph"))).withColumn("contents", T.is_contents(F.col("paragraph")))
+    return I.heading_rule(marked.drop("paragraph")).select("book_id", "para", "heading", "contents")
 
 
 @query(rf"with {BENCH.replace('length(x) > 1', 'length(x) > 3')} select term, sum(tf)::bigint as n from po group by 1 order by n desc, term limit 120")

@@ -95,6 +95,16 @@ def test_moves_over_a_file_are_those_of_the_whole_graph(spark, monkeypatch):
     assert {(r["g"], r["entity_id"]): r["label"] for r in out.collect()} == want and out.count() == len(want)
 
 
+def test_no_window_over_a_book_holds_its_texts(spark, sf_dir):
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    windows = [n.output().mkString(",") for n in nodes(QUERIES["heading_flags"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not [w for w in windows if "text#" in w or "paragraph#" in w]
+
+
 WORDS = ["Haus", "wald", "Ab-\nsatz", "été", "ﬁne", "“q”", "x\x07y", "  ", "\t", "\n", "\n\n", "\r\n", "\r", "\n 17 \n", "wort-\nteil", "…", "�", "CHAPTER 3\n\n", "\n\nTHE SCAR\n\n", "\n\nIV\n\n", " ", "CHAPTER I CHAPTER II CHAPTER III", "\x0b"]
 
 
